@@ -1,7 +1,7 @@
 """All driver queries of this subpackage, and their SQL."""
 
-from . import q_jaccard
+from . import q_jaccard, q_packing, q_sentencepiece, q_token_files, q_vectors
 
-_MODULES = [q_jaccard]
+_MODULES = [q_jaccard, q_vectors, q_token_files, q_sentencepiece, q_packing]
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
