@@ -132,26 +132,30 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
 
 def identify(docs: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``lang_pred, score`` beside the id, or beside the columns named in ``keep``."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # BUCKETS x languages doubles
-    cols = keep or [id_col]
-    base = docs.select(*[F.col(f"`{c}`") for c in cols], F.col(f"`{text_col}`").alias("_text_"))
-    kept = base.select(*[F.col(f"`{c}`") for c in cols]).schema
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages doubles
+
+    def predict(texts):
+        langs, scores = [], []
+        for _, part in blocks(texts, texts):
+            a, b = shared.value.predict(part)
+            langs += a
+            scores.append(b)
+        return [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
+
+    return beside(docs, keep or [id_col], text_col, predict, "lang_pred string, score double")
+
+
+def beside(docs: DataFrame, keep: list[str], text_col: str, predict, added: str) -> DataFrame:
+    """The ``keep`` columns of every row and the ``added`` ones, which ``predict`` makes from a list of texts."""
+    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+
+    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
+    new = _parse_datatype_string(added)
+    schema = StructType([*(StructField(f.name, f.dataType, True) for f in held.schema.fields[:-1]), *new.fields])
 
     def run(batches):
-        own = shared.value
         for batch in batches:
-            langs, scores = [], []
-            texts = batch.column(len(cols)).to_pylist()
-            for _, part in blocks(texts, texts):
-                a, b = own.predict(part)
-                langs += a
-                scores.append(b)
-            arrays = [*batch.columns[: len(cols)], pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
-            yield pa.record_batch(arrays, names=[*(f"c{i}" for i in range(len(cols))), "lang_pred", "score"])
-
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    fields = [StructField(f"c{i}", f.dataType, True) for i, f in enumerate(kept)]
-    out = base.mapInArrow(run, StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
-    return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(cols)], "lang_pred", "score")
+            more = predict(batch.column(len(keep)).to_pylist())
+            yield pa.record_batch([*batch.columns[: len(keep)], *more], names=[f.name for f in schema.fields])
+
+    return held.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[f.name for f in new.fields])

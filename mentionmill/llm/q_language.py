@@ -4,17 +4,17 @@ from pyspark.sql import functions as F
 
 from .language_id import identify, learn
 
-HELD = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 4 = 2")
+HELD = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 
 def train(docs):
-    return learn(docs.where(~F.coalesce(HELD, F.lit(True))))
+    return learn(docs.where(~F.coalesce(F.expr(HELD), F.lit(True))))
 
 
 def op4_language_id(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     found = identify(docs, train(docs))
-    return found.select("doc_id", HELD.alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", F.expr(HELD).alias("held_out"), "lang_pred", "score")
 
 
 QUERIES = {"op4_language_id": op4_language_id}

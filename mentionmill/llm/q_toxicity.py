@@ -4,19 +4,19 @@ from pyspark.sql import functions as F
 
 from .toxicity import learn, score
 
-HELD = F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 = 1")
+HELD = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"
 THRESHOLD = 0.7
 
 
 def train(docs, labels):
-    return learn(docs.where(~HELD), labels.where(~HELD).select("doc_id", "toxic"))
+    return learn(docs.where(~F.expr(HELD)), labels.where(~F.expr(HELD)).select("doc_id", "toxic"))
 
 
 def op9_toxicity(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     found = score(docs, train(docs, labels))
-    return found.select("doc_id", HELD.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return found.select("doc_id", F.expr(HELD).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 QUERIES = {"op9_toxicity": op9_toxicity}

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .language_id import sample_rows
+from .language_id import beside, sample_rows
 from .texthash import _BYTE, blocks, joined, word_hash, word_hashes
 
 SAMPLE, LEXICON, MIN_ODDS, NEAR = 16_384, 4096, 2.5, 6
@@ -271,14 +271,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
     return Toxicity(words, stems, x[order], y[order])
 
 
-def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``score`` (0 to 1) beside the id."""
+def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``score`` (0 to 1) beside the id, or beside the columns named in ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON keys and some trees
 
-    def run(batches):
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            parts = [shared.value.score(part) for _, part in blocks(texts, texts)]
-            yield pa.record_batch([batch.column(0), pa.array(np.concatenate(parts) if parts else [], pa.float64())], names=["doc_id", "score"])
+    def predict(texts):
+        parts = [shared.value.score(part) for _, part in blocks(texts, texts)]
+        return [pa.array(np.concatenate(parts) if parts else [], pa.float64())]
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, score double")
+    return beside(docs, keep or [id_col], text_col, predict, "score double")
