@@ -13,7 +13,8 @@ import numpy as np
 CHUNK = 1 << 20
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
-_BYTE = (_rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(_U) << _U(1)) | _U(1)
+EXACT = (_rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(_U) << _U(1)) | _U(1)
+_BYTE = EXACT.copy()
 for _c in range(65, 91):
     _BYTE[_c] = _BYTE[_c + 32]
 _SPACE = np.zeros(256, bool)
@@ -43,20 +44,32 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POW["p"][:n], _POW["i"][:n]
 
 
-def _piece(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    sp = _SPACE[data]
+def word_spans(data: np.ndarray, table: np.ndarray = _BYTE):
+    """Starts and ends of the words, prefix sums of the polynomial, and the inverse powers that shift it."""
     edge = np.empty(len(data) + 1, np.int8)
-    body = (~sp).view(np.int8)
-    edge[0], edge[-1] = body[0], -body[-1]
-    np.subtract(body[1:], body[:-1], out=edge[1:-1])
-    s, e = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not len(s):
-        return np.empty(0, _U), s
+    if len(data):
+        body = (~_SPACE[data]).view(np.int8)
+        edge[0], edge[-1] = body[0], -body[-1]
+        np.subtract(body[1:], body[:-1], out=edge[1:-1])
+    else:
+        edge[0] = 0
     p, inv = _powers(len(data) + 1)
     h = np.empty(len(data) + 1, _U)
     h[0] = 0
-    np.cumsum(table[data] * p[: len(data)], out=h[1:])
-    return mix((h[e] - h[s]) * inv[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93)), s
+    v = table[data]
+    v *= p[: len(data)]
+    np.cumsum(v, out=h[1:])
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), h, inv
+
+
+def mix_hash(prefix: np.ndarray, inverse: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hash of the bytes s..e-1 of each span."""
+    return mix((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
+
+
+def _piece(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    s, e, h, inv = word_spans(data, table)
+    return mix_hash(h, inv, s, e), s
 
 
 def word_hashes(data: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
@@ -102,6 +115,13 @@ def blocks(ids: list, texts: list, limit: int = CHUNK):
         yield ids[lo:], texts[lo:]
 
 
+def hash_text(text: str) -> int:
+    """64-bit hash of a whole text, blanks and all."""
+    from hashlib import blake2b
+
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
+
+
 def doc_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, and n+1 offsets of each text's words."""
     data, off = joined(texts)

@@ -1,24 +1,83 @@
-"""Exact, fast batch encoding with the tokenizers library.
-
-Tokenizers whose pre-tokenizer never lets a token cross white space give the
-same ids for a text as for its white-space separated pieces in order.  So each
-distinct piece is encoded once by the library and kept in a memo of bounded
-size, and a text's ids are gathered with numpy.  Plain words are sent to the
-library a thousand at a time, joined by spaces, and split again at tokens that
-end a word; a batch in which the count of such tokens is not as expected is
-encoded piece by piece instead.  Texts that hold ``<|`` (where a special token
-may match inside) go to the library whole.
+"""Fast batch encoding with the tokenizers library.
+
+Tokenizers whose pre-tokenizer never lets a token cross white space, and which
+lower their input, give the same ids for a text as for its white-space
+separated words in order; a full stop or comma after a letter at a word's end
+is a token of its own.  So each distinct word is encoded once by the library
+and kept in a memo of bounded size, and a text's ids are gathered with numpy.
+
+The memo is an open-addressing table of 64-bit word hashes (A-Z lowered).  New
+words are sent to the library a thousand at a time, joined by spaces, and split
+again at tokens that end a word; a batch in which the count of such tokens is
+not as expected is encoded word by word.  Texts that hold ``<|`` (where a
+special token may match inside) go to the library whole.
 """
 
 from __future__ import annotations
 
 import os
-from itertools import chain
 
 import numpy as np
 
-MEMO_PIECES = 400_000
+from .texthash import joined, mix_hash, word_spans
+
+MEMO_WORDS = 1_500_000
+LONG = 1 << 22
+_U = np.uint64
 _OPEN: dict[str, "WordMemo"] = {}
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+
+
+class HashTable:
+    """uint64 keys to the order in which they were added; linear probing, grown at half load."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.count = bits, 0
+        self.keys = np.zeros(1 << bits, _U)
+        self.values = np.zeros(1 << bits, np.int32)
+
+    def _home(self, k: np.ndarray) -> np.ndarray:
+        return (k >> _U(64 - self.bits)).astype(np.int64)
+
+    def find(self, k: np.ndarray) -> np.ndarray:
+        """Value of each key (none is 0), or -1."""
+        out = np.full(len(k), -1, np.int32)
+        slot = self._home(k)
+        held = self.keys[slot]
+        hit = held == k
+        out[hit] = self.values[slot[hit]]
+        left = np.flatnonzero(~hit & (held != 0))
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            held = self.keys[slot[left]]
+            hit = held == k[left]
+            out[left[hit]] = self.values[slot[left[hit]]]
+            left = left[~hit & (held != 0)]
+        return out
+
+    def add(self, k: np.ndarray) -> None:
+        """Add distinct keys that are not there."""
+        if (self.count + len(k)) * 2 > 1 << self.bits:
+            used = self.keys != 0
+            keys, values = self.keys[used], self.values[used]
+            while (self.count + len(k)) * 2 > 1 << self.bits:
+                self.bits += 1
+            self.keys, self.values = np.zeros(1 << self.bits, _U), np.zeros(1 << self.bits, np.int32)
+            self._place(keys, values)
+        self._place(k, np.arange(self.count, self.count + len(k), dtype=np.int32))
+        self.count += len(k)
+
+    def _place(self, k: np.ndarray, v: np.ndarray) -> None:
+        slot = self._home(k)
+        while len(k):
+            free = np.flatnonzero(self.keys[slot] == 0)
+            _, first = np.unique(slot[free], return_index=True)
+            own = free[first]
+            self.keys[slot[own]], self.values[slot[own]] = k[own], v[own]
+            rest = np.ones(len(k), bool)
+            rest[own] = False
+            k, v, slot = k[rest], v[rest], (slot[rest] + 1) & ((1 << self.bits) - 1)
 
 
 class WordMemo:
@@ -33,60 +92,87 @@ class WordMemo:
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.parts: list[np.ndarray] = []
-        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table = HashTable()
+        self.flat, self.filled = np.empty(1 << 20, np.uint16 if len(self.ends) < 1 << 16 else np.uint32), 0
+        self.start, self.size = np.empty(1 << 18, np.int32), np.empty(1 << 18, np.int32)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _add(self, pieces: list[bytes]) -> None:
-        plain, other = [], []
-        for p in pieces:
-            t = p.decode("utf-8", "surrogatepass")
-            (plain if t.isalpha() or (t[:-1].isalpha() and t[-1] in ".,") else other).append((p, t))
-        found: list[tuple[bytes, np.ndarray]] = []
+    def _add(self, keys: np.ndarray, words: list[bytes]) -> None:
+        """Encode new words and store their ids."""
+        texts = b" ".join(words).decode("utf-8", "surrogatepass").lower().split(" ")
+        plain = [i for i, t in enumerate(texts) if t.isalpha()]
+        other = [i for i, t in enumerate(texts) if not t.isalpha()]
+        parts, sizes, where = [], [], []
         for lo in range(0, len(plain), 1000):
             some = plain[lo : lo + 1000]
-            ids = np.array(self._encode([" ".join(t for _, t in some)])[0], np.uint32)
+            ids = np.array(self._encode([" ".join([texts[i] for i in some])])[0], self.flat.dtype)
             last = np.flatnonzero(self.ends[ids]) + 1
-            parts = np.cumsum([1 if t[-1].isalpha() else 2 for _, t in some])
-            if parts[-1] != len(last) or last[-1] != len(ids):
+            if len(last) != len(some) or last[-1] != len(ids):
                 other += some
                 continue
-            cut = last[parts - 1]
-            found += zip((p for p, _ in some), np.split(ids, cut[:-1]))
+            parts.append(ids)
+            sizes.append(np.diff(last, prepend=0))
+            where += some
         if other:
-            found += [(p, np.array(i, np.uint32)) for (p, _), i in zip(other, self._encode([t for _, t in other]))]
-        at = len(self.index)
-        for k, (p, ids) in enumerate(found):
-            self.index[p] = at + k
-        sizes = np.array([len(i) for _, i in found], np.int64)
-        self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-        self.size = np.concatenate([self.size, sizes])
-        self.flat = np.concatenate([self.flat, *(i for _, i in found)])
+            got = self._encode([texts[i] for i in other])
+            parts += [np.array(g, self.flat.dtype) for g in got]
+            sizes.append(np.array([len(g) for g in got], np.int64))
+            where += other
+        size, flat = np.concatenate(sizes), np.concatenate(parts)
+        at = self.table.count + np.array(where)
+        need = self.table.count + len(words)
+        if need > len(self.start):
+            self.start, self.size = (np.concatenate([a, np.empty(need, np.int32)]) for a in (self.start, self.size))
+        if self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.empty(self.filled + len(flat), self.flat.dtype)])
+        self.flat[self.filled : self.filled + len(flat)] = flat
+        self.start[at], self.size[at] = self.filled + np.cumsum(size) - size, size
+        self.filled += len(flat)
+        self.table.add(keys)
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and n+1 offsets; ``end_id`` closes each text."""
-        if len(self.index) > MEMO_PIECES:
+        if any(t and len(t) > LONG for t in texts):
+            return self._encode_long(texts, end_id)
+        if self.table.count > MEMO_WORDS:
             self.clear()
-        pieces, whole = [], {}
-        for i, t in enumerate(texts):
-            t = t or ""
-            if "<|" in t:
-                whole[i] = t
-                pieces.append(())
-            else:
-                raw = t.encode("utf-8", "surrogatepass")
-                pieces.append((raw.lower() if t.isascii() else raw).split())
-        words = list(chain.from_iterable(pieces))
-        if new := [w for w in set(words) if w not in self.index]:
-            self._add(sorted(new))
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        whole = {i: t for i, t in enumerate(texts) if t and "<|" in t}
+        data, off = joined([None if i in whole else t for i, t in enumerate(texts)] if whole else texts)
+        s, e, prefix, inverse = word_spans(data)
+        # a full stop or comma after a letter at the end of a word is cut off
+        final = data[e - 1]
+        cut = np.flatnonzero(((final == 44) | (final == 46)) & (e - s >= 3))
+        before = data[e[cut] - 2]
+        latin = (data[e[cut] - 3] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+        cut = cut[_LETTER[before] | latin]
+        times = np.ones(len(s), np.int64)
+        times[cut] = 2
+        place = np.cumsum(times) - times
+        us, ue = np.repeat(s, times), np.repeat(e, times)
+        ue[place[cut]] -= 1
+        us[place[cut] + 1] = ue[place[cut]]
+        keys = mix_hash(prefix, inverse, us, ue)
+        at = self.table.find(keys)
+        if len(miss := np.flatnonzero(at < 0)):
+            new, first, back = np.unique(keys[miss], return_index=True, return_inverse=True)
+            view = data.tobytes()
+            a, b = us[miss[first]].tolist(), ue[miss[first]].tolist()
+            held = self.table.count
+            self._add(new, [view[x:y] for x, y in zip(a, b)])
+            at[miss] = held + back
         size = self.size[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]
-        bound = total[np.concatenate([[0], np.cumsum([len(p) for p in pieces])])]
+        total = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        step = np.ones(total[-1], np.int32)
+        some = np.flatnonzero(size)
+        if len(some):  # gather by running sums of jumps, cheaper than repeating starts
+            src = self.start[at[some]]
+            step[0] = src[0]
+            step[total[some[1:]]] = src[1:] - (src[:-1] + size[some[:-1]] - 1)
+        ids = self.flat[np.cumsum(step, dtype=np.int64)].astype(np.uint32) if len(some) else np.empty(0, np.uint32)
+        bound = total[np.searchsorted(us, off)]
         extra = int(end_id is not None)
         if not whole and not extra:
             return ids, bound
@@ -94,15 +180,51 @@ class WordMemo:
         sizes = np.diff(bound)
         for i, d in direct.items():
             sizes[i] = len(d)
-        off = np.concatenate([[0], np.cumsum(sizes + extra)])
-        out = np.empty(off[-1], np.uint32)
+        to = np.concatenate([[0], np.cumsum(sizes + extra)])
+        out = np.empty(to[-1], np.uint32)
+        own = np.ones(len(out), bool)
         if extra:
-            out[off[1:] - 1] = end_id
-        inner = np.repeat(off[:-1] - bound[:-1], np.diff(bound)) + np.arange(len(ids))
-        out[inner] = ids
+            out[to[1:] - 1] = end_id
+            own[to[1:] - 1] = False
         for i, d in direct.items():
-            out[off[i] : off[i] + len(d)] = d
-        return out, off
+            out[to[i] : to[i] + len(d)] = d
+            own[to[i] : to[i] + len(d)] = False
+        out[own] = ids
+        return out, to
+
+
+    def _encode_long(self, texts: list[str | None], end_id: int | None) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, for texts longer than ``LONG``: in parts that end at white space, so memory stays bounded."""
+        parts, sizes = [], [0]
+        for t in texts:
+            own = []
+            for part in cut_at_blanks(t or "", LONG):
+                own.append(self._encode([part])[0] if len(part) > LONG else self.encode([part])[0])
+            if end_id is not None:
+                own.append(np.array([end_id]))
+            parts += [np.asarray(o, np.uint32) for o in own]
+            sizes.append(sum(map(len, own)))
+        return np.concatenate([np.empty(0, np.uint32), *parts]), np.cumsum(sizes)
+
+
+def cut_at_blanks(text: str, most: int) -> list[str]:
+    """Parts of at most ``most`` characters that end at a blank or line end; a longer word stays whole.
+
+    A part with ``<|`` is not cut: the text comes back in one piece.
+    """
+    if "<|" in text:
+        return [text]
+    out, at = [], 0
+    while len(text) - at > most:
+        end = max(text.rfind(" ", at, at + most), text.rfind("\n", at, at + most))
+        if end < at:
+            ends = [x for x in (text.find(" ", at + most), text.find("\n", at + most)) if x >= 0]
+            if not ends:
+                break
+            end = min(ends)
+        out.append(text[at : end + 1])
+        at = end + 1
+    return [*out, text[at:]]
 
 
 def word_memo(path: str) -> WordMemo:
