@@ -31,59 +31,68 @@ _HEAD = struct.Struct("<4sIQQQQ")
 _U = np.uint64
 
 
+_SMALL = np.searchsorted(np.array([(1 << w) - 1 for _, w in PACKINGS], np.int64), np.arange(1 << 16), "left").astype(np.int8) + np.int8(1)
+
+
 def _widths(v: np.ndarray) -> np.ndarray:
     """Selector (1 to 14, 15 for an escape) that a value needs by itself."""
+    if len(v) and int(v.max()) < 1 << 16:
+        return _SMALL[v]
     limits = np.array([(1 << w) - 1 for _, w in PACKINGS], _U)
-    return np.searchsorted(limits, v, "left") + 1
+    return (np.searchsorted(limits, v, "left") + 1).astype(np.int8)
 
 
 def pack(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(words, block offsets) of an array of unsigned integers."""
-    v = np.asarray(values, _U)
+    v = np.asarray(values)
     n = len(v)
     nb = -(-n // BLOCK)
     if not n:
         return np.empty(0, _U), np.zeros(1, np.int64)
-    need = np.full(nb * BLOCK, 1, np.int64)
-    need[:n] = _widths(v)
+    need = _widths(v)
     end = np.minimum((np.arange(nb) + 1) * BLOCK, n)
     # best[i]: the first selector whose run of values from i all fit (a run may be cut by the block's end)
-    left = np.repeat(end, BLOCK)[:n] - np.arange(n)
-    best = np.full(n, 15, np.int8)
-    step = np.ones(n, np.int16)
-    for s in range(len(PACKINGS), 0, -1):
-        count = PACKINGS[s - 1][0]
-        over = np.concatenate([[0], np.cumsum(need > s)])
-        last = np.minimum(np.arange(n) + count, np.arange(n) + left)
-        ok = over[last] == over[:n]
-        best[ok] = s
-        step[ok] = (last - np.arange(n))[ok]
-    at, live, starts, block = np.arange(nb) * BLOCK, np.arange(nb), [], []
-    while len(live):
-        starts.append(at)
-        block.append(live)
+    best, step, over = np.full(n, 15, np.int8), np.ones(n, np.int16), np.zeros(n + 1, np.int32)
+    for s, (count, _) in enumerate(PACKINGS, 1):
+        at = np.flatnonzero((need <= s) & (best == 15))
+        if not len(at):
+            continue
+        np.cumsum(need > s, out=over[1:])
+        last = np.minimum(at + count, np.minimum(at - at % BLOCK + BLOCK, n))
+        ok = over[last] == over[at]
+        at, last = at[ok], last[ok]
+        best[at] = s
+        step[at] = last - at
+    # follow the runs of all blocks at once
+    at, stop, first = np.arange(nb) * BLOCK, end, np.zeros(n, bool)
+    while len(at):
+        first[at] = True
         at = at + step[at]
-        keep = at < end[live]
-        at, live = at[keep], live[keep]
-    starts, block = np.concatenate(starts), np.concatenate(block)
-    order = np.argsort(starts, kind="stable")
-    starts, block = starts[order], block[order]
-    sel = best[starts].astype(np.int64)
+        keep = at < stop
+        at, stop = at[keep], stop[keep]
+    starts = np.flatnonzero(first)
+    sel = best[starts]
     used = np.where(sel == 15, 2, 1)
     place = np.cumsum(used) - used
     words = np.zeros(int(used.sum()), _U)
-    for s in range(1, 15):
-        at = starts[sel == s]
-        if len(at):
-            count, width = PACKINGS[s - 1]
-            col = at[:, None] + np.arange(count)
-            inside = np.arange(count) < step[at][:, None]
-            got = np.where(inside, v[np.minimum(col, n - 1)], _U(0)) << (np.arange(count, dtype=_U) * _U(width))
-            words[place[sel == s]] = np.bitwise_or.reduce(got, axis=1) | _U(s) << _U(60)
-    words[place[sel == 15] + 1] = v[starts[sel == 15]]
+    padded = np.concatenate([v.astype(_U), np.zeros(PACKINGS[0][0], _U)])
+    for s, (count, width) in enumerate(PACKINGS, 1):
+        mine = np.flatnonzero(sel == s)
+        if not len(mine):
+            continue
+        at, size = starts[mine], step[starts[mine]]
+        got = np.full(len(at), s << 60, _U)
+        for j in range(count):
+            x = padded[at + j] << _U(j * width)
+            if j:
+                x[size <= j] = 0
+            got |= x
+        words[place[mine]] = got
+    raw = np.flatnonzero(sel == 15)
+    words[place[raw] + 1] = v[starts[raw]]
     offsets = np.zeros(nb + 1, np.int64)
-    np.add.at(offsets, block + 1, used)
-    return words, np.cumsum(offsets)
+    np.cumsum(np.bincount(starts // BLOCK, used, nb).astype(np.int64), out=offsets[1:])
+    return words, offsets
 
 
 def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
