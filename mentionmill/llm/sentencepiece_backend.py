@@ -27,9 +27,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .texthash import EXACT, blocks, hash_text, joined, mix_hash, word_spans
+from .tokenmemo import HashTable
+
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 800_000
+LONG = 1 << 22
+_BLANK = re.compile(r"(?<=\S) (?=\S)")
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 _OPEN: dict = {}
 
@@ -85,6 +90,14 @@ def rebuild(path: str):
 
 
 class PieceMemo:
+    """Encoder of batches of texts with a bounded memo of chunks.
+
+    Where a text's gaps are single blanks or line ends (and the model neither
+    maps characters nor trims), its chunks are words with or without a marker
+    before them, and line ends; they are looked up by a 64-bit hash in numpy.
+    Other texts are cut by the chunk pattern and looked up one by one.
+    """
+
     def __init__(self, path: str, threads: int):
         os.environ["RAYON_NUM_THREADS"] = str(threads)
         os.environ["TOKENIZERS_PARALLELISM"] = "true" if threads > 1 else "false"
@@ -92,41 +105,140 @@ class PieceMemo:
 
         self.tok, self.marked, self.model = rebuild(path)
         self.own = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = self.model.pieces
+        pieces, ns = self.model.pieces, self.model.normalizer_spec
         self.text = [
             bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" if p.type == CONTROL else p.piece.replace(MARK, " ").encode()
             for p in pieces
         ]
+        size = [len(t) for t in self.text]
+        self.byte, self.byte_size = np.frombuffer(b"".join(self.text), np.uint8), np.array(size, np.int64)
+        self.byte_start = np.cumsum(self.byte_size) - self.byte_size
+        line_end = any("\n" in p.piece and p.type != BYTE for p in pieces)
+        self.direct = not (ns.precompiled_charsmap or ns.remove_extra_whitespaces or line_end) and ns.add_dummy_prefix
         self.clear()
 
     def clear(self):
-        self.index: dict[str, int] = {}
-        self.flat, self.start, self.size = np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+        self.table, self.index = HashTable(), {}
+        self.flat, self.start, self.size = np.empty(0, np.uint16), np.empty(0, np.int32), np.empty(0, np.int32)
+        self.buffer: list[np.ndarray] = []
+        self.line = int(self._add(["\n"])[0])
+        self.table.add(np.array([1], np.uint64))
+
+    def _add(self, chunks: list[str]) -> np.ndarray:
+        """Encode new chunks; their places in the memo."""
+        ids = [e.ids for e in self.tok.encode_batch_fast(chunks, add_special_tokens=False)]
+        sizes = np.array([len(i) for i in ids], np.int32)
+        at = np.arange(len(self.start), len(self.start) + len(ids))
+        self.start = np.concatenate([self.start, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.size = np.concatenate([self.size, sizes])
+        kind = np.uint16 if len(self.text) < 1 << 16 else np.uint32
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), kind, int(sizes.sum()))])
+        return at
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = self.size[at]
+        total = np.zeros(len(at) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        return self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])], total
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and n+1 offsets."""
-        if len(self.index) > MEMO_CHUNKS:
+        if len(self.start) > MEMO_CHUNKS:
             self.clear()
-        chunks = [_CHUNK.findall(self.marked(t or "")) for t in texts]
-        words = list(chain.from_iterable(chunks))
-        new = sorted({w for w in words if w not in self.index})
-        if new:
-            ids = [e.ids for e in self.tok.encode_batch_fast(new, add_special_tokens=False)]
-            at = len(self.index)
-            self.index.update(zip(new, range(at, at + len(new))))
-            sizes = np.array([len(i) for i in ids], np.int64)
-            self.start = np.concatenate([self.start, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.size = np.concatenate([self.size, sizes])
-            self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))])
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-        size = self.size[at]
-        total = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat[np.repeat(self.start[at] - total[:-1], size) + np.arange(total[-1])]
-        return ids, total[np.concatenate([[0], np.cumsum([len(c) for c in chunks])])]
+        texts = [t or "" for t in texts]
+        if self.direct and any(len(t) > LONG for t in texts):
+            return self._encode_long(texts)
+        data, off = joined(texts)
+        s, e, prefix, inverse = word_spans(data, EXACT)
+        first = np.searchsorted(s, off)
+        # a word's gap: what stands before it; a text's own start counts as a blank
+        gap = np.full(len(s), 2, np.int8)
+        before = data[np.maximum(s - 1, 0)]
+        gap[before == 32] = 1
+        gap[before == 10] = 0
+        wide = np.concatenate([[False], s[1:] - e[:-1] > 1])
+        heads = first[:-1][np.diff(first) > 0]
+        wide[heads] = False
+        odd = wide | (gap == 2)
+        odd[heads] = False
+        bad = np.zeros(len(texts), bool)
+        text_of = np.repeat(np.arange(len(texts)), np.diff(first))
+        bad[text_of[odd]] = True
+        empty = np.diff(first) == 0
+        # blanks at either end, or none but blanks
+        lead = np.zeros(len(texts), bool)
+        some = np.flatnonzero(~empty)
+        lead[some] = (s[first[:-1][some]] != off[:-1][some]) | (e[first[1:][some] - 1] != off[1:][some] - 1)
+        bad |= lead | (empty & (np.diff(off) > 1))
+        if not self.direct:
+            bad[:] = True
+        gap[heads] = 1
+        use = ~bad[text_of]
+        keys = mix_hash(prefix, inverse, s, e) ^ np.where(gap == 1, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        place = np.full(len(s), -1, np.int64)
+        place[use] = self.table.find(keys[use])
+        if len(miss := np.flatnonzero(use & (place < 0))):
+            new, at, back = np.unique(keys[miss], return_index=True, return_inverse=True)
+            raw, own = data.tobytes(), miss[at]
+            words = [(MARK if g else "") + raw[x:y].decode("utf-8", "surrogatepass") for x, y, g in zip(s[own].tolist(), e[own].tolist(), gap[own].tolist())]
+            # the table numbers its keys as they come; dictionary chunks get theirs there too
+            where = self._add(words)
+            self.table.add(new)
+            place[miss] = where[back]
+        chunks, counts = [], np.zeros(len(texts), np.int64)
+        units = np.where(gap == 0, 2, 1)
+        units[~use] = 0
+        counts += np.bincount(text_of, units, len(texts)).astype(np.int64) if len(text_of) else 0
+        for i in np.flatnonzero(bad):
+            own = _CHUNK.findall(self.marked(texts[i]))
+            chunks.append(own)
+            counts[i] = len(own)
+        bound = np.concatenate([[0], np.cumsum(counts)])
+        at = np.empty(bound[-1], np.int64)
+        slow = np.repeat(bad, counts)
+        fast = np.repeat(place[use], units[use])
+        if len(fast):
+            ends = np.cumsum(units[use])
+            fast[(ends - units[use])[units[use] == 2]] = self.line
+        at[~slow] = fast
+        if chunks:
+            flat = list(chain.from_iterable(chunks))
+            fresh = sorted({c for c in flat if c not in self.index})
+            if fresh:
+                got = self._add(fresh)
+                self.table.add(np.array([hash_text(c) for c in fresh], np.uint64))
+                self.index.update(zip(fresh, got.tolist()))
+            at[slow] = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
+        ids, total = self._gather(at)
+        return ids, total[bound]
+
+    def _encode_long(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``encode``, with long texts cut at single blanks, which the dummy prefix stands for again."""
+        parts, sizes = [], [0]
+        for t in texts:
+            own, at = [], 0
+            while len(t) - at > LONG and (cut := _BLANK.search(t, at + LONG * 3 // 4)):
+                own.append(t[at : cut.start()])
+                at = cut.end()
+            got = [self.encode([p])[0] if len(p) <= LONG else np.array(self.tok.encode(self.marked(p)).ids) for p in (*own, t[at:])]
+            parts += got
+            sizes.append(sum(map(len, got)))
+        return np.concatenate(parts).astype(np.uint32), np.cumsum(sizes)
 
     def decode(self, ids: list[int]) -> str:
-        raw = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace")
-        return raw[1:] if self.model.normalizer_spec.add_dummy_prefix and raw.startswith(" ") else raw
+        return self._strip(b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "replace"))
+
+    def _strip(self, text: str) -> str:
+        return text[1:] if self.model.normalizer_spec.add_dummy_prefix and text.startswith(" ") else text
+
+    def decode_all(self, ids: np.ndarray, off: np.ndarray) -> list[str]:
+        """Texts of several runs of ids."""
+        size = self.byte_size[ids]
+        total = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(size, out=total[1:])
+        raw = self.byte[np.repeat(self.byte_start[ids] - total[:-1], size) + np.arange(total[-1])].tobytes()
+        cut = total[off].tolist()
+        return [self._strip(raw[a:b].decode("utf-8", "replace")) for a, b in zip(cut[:-1], cut[1:])]
 
 
 def piece_memo(path: str, threads: int) -> PieceMemo:
@@ -149,21 +261,19 @@ def encode_pieces(
     schema = pa.schema(fields)
 
     def run(batches):
-        from .texthash import blocks
-
         memo = piece_memo(model, threads)
         prefix = memo.model.normalizer_spec.add_dummy_prefix
         for batch in batches:
             for own, texts in blocks(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 ids, off = memo.encode(texts)
-                want = memo.own.encode([t or "" for t in texts], num_threads=1)
+                ids = ids.astype("<u4")
+                back = memo.decode_all(ids, off)
                 rows = []
-                for d, t, w, a, b in zip(own, texts, want, off[:-1].tolist(), off[1:].tolist()):
-                    got = ids[a:b].astype("<u4")
-                    listed = got.tolist()
-                    plain = memo.marked(t or "").replace(MARK, " ")[1 if prefix else 0 :]
-                    row = (d, b - a, zlib.crc32(got.data), listed == w, memo.decode(listed) == plain)
-                    rows.append((*row, listed) if with_ids else row)
+                for d, t, plain, a, b in zip(own, texts, back, off[:-1].tolist(), off[1:].tolist()):
+                    got = ids[a:b]
+                    want = np.array(memo.own.encode(t or "", num_threads=1), "<u4")
+                    row = (d, b - a, zlib.crc32(got.data), np.array_equal(got, want), plain == memo.marked(t or "").replace(MARK, " ")[1 if prefix else 0 :])
+                    rows.append((*row, got.tolist()) if with_ids else row)
                 if rows:
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
