@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..schemas import GOLD_CONLL, MARKABLES, RELATIONS, SELECTED, TOKENS
@@ -14,7 +14,8 @@ _FLAT = (
     "level string, doc_id string, t_id int, sent_id int, number int, token string, m_id string, tag string, anchors array<int>, "
     "related_to string, tag_descriptor string, instance_id string, r_id string, kind string, note string, sources array<string>, target string"
 )
-_NAMES = [x.strip().split(" ")[0] for x in _FLAT.split(", ")]
+_KINDS = {"string": pa.string(), "int": pa.int32(), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
+_ARROW = pa.schema([(x.split(" ")[0], _KINDS[x.split(" ")[1]]) for x in _FLAT.split(", ")])
 
 
 def scan_files(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFrame:
@@ -32,9 +33,9 @@ def parse_annotations(files: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for pdf in batches:
+        for batch in batches:
             rows = []
-            for name, text in zip(pdf.name, pdf.text):
+            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc = name.rsplit(".", 1)[0]
                 try:
                     root = ET.fromstring(text.encode())
@@ -54,12 +55,10 @@ def parse_annotations(files: DataFrame) -> DataFrame:
                         "level": "relation", "doc_id": doc, "r_id": r.get("r_id"), "kind": r.tag, "note": r.get("note"),
                         "sources": [s.get("m_id") for s in r.findall("source")], "target": None if target is None else target.get("m_id"),
                     })
-            out = pd.DataFrame(rows, columns=_NAMES)
-            for c in ("t_id", "sent_id", "number"):
-                out[c] = out[c].astype("Int32")
-            yield out
+            for lo in range(0, len(rows), 10_000):
+                yield pa.RecordBatch.from_pylist(rows[lo : lo + 10_000], schema=_ARROW)
 
-    return files.select("name", "text").mapInPandas(run, _FLAT)
+    return files.select("name", "text").mapInArrow(run, _FLAT)
 
 
 def tables(flat: DataFrame) -> dict[str, DataFrame]:

@@ -7,8 +7,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.metrics import confusion
 
 
-def read_stream(spark: SparkSession, path: str, schema, max_files: int = 8) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+def read_stream(spark: SparkSession, folder: str, table: str, max_files: int = 8) -> DataFrame:
+    """A table of a folder as a stream; a table in one file is the folder's only file of that name.
+
+    Times without a zone are taken as UTC.
+    """
+    path = f"{folder}/{table}.parquet"
+    schema = spark.read.parquet(path).schema
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    whole = jpath.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(jpath).isDirectory()
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
+    out = reader.parquet(path) if whole else reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    return out.select(*[F.col(f.name).cast("timestamp").alias(f.name) if f.dataType.typeName() == "timestamp_ntz" else F.col(f.name) for f in schema])
 
 
 def running_confusion(predictions: DataFrame, by: list[str]) -> DataFrame:
