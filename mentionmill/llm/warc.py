@@ -28,6 +28,7 @@ HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
 BREAKING = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|article|section|nav|header|footer|main|aside|table|tr|td|th|blockquote|pre|form|figure|hr|option|body|html"
 #: Named character references.
 NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&copy;": "©", "&eacute;": "é"}
+TITLE = r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>"
 VERSION = "WARC/1.1"
 _NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
@@ -51,34 +52,32 @@ def digest(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Numeric references, then named ones, the ampersand last."""
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMERIC), F.lit(0)))
+    """Numeric references, then named ones, the ampersand last.  Give it a plain column: it is read more than once."""
     code = lambda r: F.when(
         F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.regexp_extract(r, "([0-9a-fA-F]+);", 1), 16, 10)
     ).otherwise(F.regexp_extract(r, "([0-9]+);", 1)).cast("long")
     valid = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
     char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
-    out = F.when(
-        F.size(refs) > 0, F.aggregate(refs, text, lambda t, r: F.replace(t, r, F.when(valid(code(r)), char(code(r))).otherwise(F.lit("�"))))
-    ).otherwise(text)
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMERIC), F.lit(0)))
+    out = F.aggregate(refs, text, lambda t, r: F.replace(t, r, F.when(valid(code(r)), char(code(r))).otherwise(F.lit("�"))))
     for name, char_ in NAMED.items():
         out = F.replace(out, F.lit(name), F.lit(char_))
-    return F.replace(out, F.lit("&amp;"), F.lit("&"))
+    # most texts have no reference at all
+    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
-def plain_text(html: Column) -> Column:
-    """Visible text: hidden elements and tags dropped, lines at block elements, blanks collapsed."""
+def without_markup(html: Column) -> Column:
+    """Hidden elements and tags dropped, a line end at block elements."""
     out = F.regexp_replace(html, r"<!--[\s\S]*?(?:-->|$)", "")
-    for tag in HIDDEN:
-        out = F.regexp_replace(out, rf"(?i)<{tag}(?:\s[^>]*)?>[\s\S]*?</{tag}\s*>", "\n")
+    out = F.regexp_replace(out, rf"(?i)<({'|'.join(HIDDEN)})(?:\s[^>]*)?>[\s\S]*?</\1\s*>", "\n")
     out = F.regexp_replace(out, rf"(?i)</?(?:{BREAKING})(?:[\s/][^>]*)?>", "\n")
-    out = F.regexp_replace(out, r"<[!/?A-Za-z][^>]*>", "")
-    out = F.regexp_replace(unescape(out), "[ \\t\\r\\f ]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(out, r" ?\n[ \n]*", "\n"), r"^\n|\n$", ""))
+    return F.regexp_replace(out, r"<[!/?A-Za-z][^>]*>", "")
 
 
-def title(html: Column) -> Column:
-    return F.trim(F.regexp_replace(unescape(F.regexp_extract(html, r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>", 1)), r"\s+", " "))
+def tidy(text: Column) -> Column:
+    """Runs of blanks collapsed, lines trimmed, empty lines dropped."""
+    out = F.regexp_replace(text, "[\\t\\r\\f\u00a0]| [ \\t\\r\\f\u00a0]+", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "  +", " "), r" ?\n[ \n]*", "\n"), r"^\n|\n$", ""))
 
 
 def links(html: Column) -> Column:
@@ -111,8 +110,11 @@ def build_derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     base = responses.select(
         *[F.col(c) for c in keep], F.col("record_id").alias("_id"), F.col("target_uri").alias("_uri"), F.col("date").alias("_date"),
         headers.alias("_headers"), F.coalesce(F.col("payload_digest"), digest(html)).alias("_digest"),
-        plain_text(html).alias("_text"), title(html).alias("_title"), links(html).alias("_links"),
+        without_markup(html).alias("_bare"), F.regexp_extract(html, TITLE, 1).alias("_named"), links(html).alias("_links"),
     )
+    # each step reads plain columns, so no pattern runs twice
+    base = base.withColumn("_text", unescape(F.col("_bare"))).withColumn("_title", unescape(F.col("_named"))).drop("_bare", "_named")
+    base = base.withColumn("_text", tidy(F.col("_text"))).withColumn("_title", F.trim(F.regexp_replace("_title", r"\s+", " ")))
     status = F.regexp_extract("_headers", r"^HTTP/\S+ ([0-9]{3})", 1)
     charset = F.lower(F.regexp_extract("_headers", r"(?i)charset=([A-Za-z0-9_-]+)", 1))
     fields = F.concat(
