@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 #: File-name grammars of the two generations.
 NAME_V2 = r"^(.*)_(?:gold_mentions|mention_pairs)?_?([^_]+)\((.*)\)_shots(\d+)_(.*)_(\d+)_(\d+)\.(?:csv|c_mp)$"
@@ -34,9 +37,24 @@ def without_partner(files: DataFrame, partners: DataFrame) -> DataFrame:
     return stem(files).join(stem(partners), "stem", "left_anti")
 
 
+def read_quoted(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header and quoted line ends, all columns as text.
+
+    The schema comes from the header line, so nothing is inferred and names
+    with brackets work; a repeated name gets a number.
+    """
+    first = spark.read.text(path).first()
+    names, seen = [], {}
+    for n in next(csv.reader([first.value if first else ""]), []):
+        seen[n] = seen.get(n, 0) + 1
+        names.append(n if seen[n] == 1 else f"{n}#{seen[n]}")
+    schema = StructType([StructField(n or f"_c{i}", StringType()) for i, n in enumerate(names)])
+    return spark.read.csv(path, header=True, multiLine=True, escape='"', schema=schema, enforceSchema=True)
+
+
 def read_predictions_v2(spark: SparkSession, path: str, template: str) -> DataFrame:
     """Pair rows with ``correct, valid, repeat`` of the column named after the template."""
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    rows = read_quoted(spark, path)
     votes = F.from_json(F.col(f"`{template}`"), "array<int>")
     keep = [c for c in rows.columns if c != template and not c.startswith("_c")]
     got = rows.select(*[F.col(f"`{c}`").alias("scope" if c == "wd/cd" else c) for c in keep], F.lit(template).alias("template"), votes.alias("v"))
@@ -49,9 +67,9 @@ def read_predictions_v1(spark: SparkSession, path: str) -> DataFrame:
 
     Prompt columns are those named ``Prompt n``; a repeat of a name holds cell labels and is left out.
     """
-    rows = spark.read.csv(path, header=True, multiLine=True, escape='"')
+    rows = read_quoted(spark, path)
     prompts = [c for c in rows.columns if c.startswith("Prompt ") and c.split(" ", 1)[1].isdigit()]
-    if not prompts:  # readers number repeated names: ``Prompt 10`` for the first ``Prompt 1``
+    if not prompts:
         return spark.createDataFrame([], "row long, prompt int, yes int, valid int, label int, text string")
     label = F.expr("try_cast(label as double)").cast("int")
     base = rows.where("label is not null and label <> 'label'").withColumn("row", F.monotonically_increasing_id()).withColumn("_y", label)
