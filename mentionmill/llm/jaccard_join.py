@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.graph import connected_components
 from ..storage import Scratch
-from .texthash import blocks, doc_words, mix, shingles
+from .texthash import blocks, doc_words, mix, shingles, small_batches
 
 _U = np.uint64
 POSITIONS = 20  # bits of a position inside a segment
@@ -225,6 +225,7 @@ def jaccard_components(
 ) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs``; see the module's text."""
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sized = scratch.table(base.mapInArrow(_digests(k), "doc_id long, n long, d1 long, d2 long"), "sized")

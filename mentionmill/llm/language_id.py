@@ -14,11 +14,13 @@ are kept as they come; a repeated row is predicted again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .texthash import blocks, mix
+from .texthash import blocks, mix, small_batches
 
 BUCKETS, SAMPLE, ORDERS, ALPHA, MOST_LANGS = 1 << 16, 16_384, (2, 3, 4), 0.5, 256
 UNKNOWN = "und"
@@ -97,6 +99,7 @@ class NaiveBayes:
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> NaiveBayes:
     """Fit on at most about ``most`` rows; only sums per language and bucket reach the driver."""
+    small_batches(labelled.sparkSession)
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = sample_rows(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")), "id", most)
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -146,16 +149,20 @@ def identify(docs: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_co
 
 
 def beside(docs: DataFrame, keep: list[str], text_col: str, predict, added: str) -> DataFrame:
-    """The ``keep`` columns of every row and the ``added`` ones, which ``predict`` makes from a list of texts."""
-    from pyspark.sql.types import StructField, StructType, _parse_datatype_string
+    """The ``keep`` columns of every row and the ``added`` ones, which ``predict`` makes from a list of texts.
+
+    Only the text goes to Python, and only the new columns come back.
+    """
+    import pandas as pd
 
-    held = docs.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(keep)], F.col(f"`{text_col}`").alias("text"))
-    new = _parse_datatype_string(added)
-    schema = StructType([*(StructField(f.name, f.dataType, True) for f in held.schema.fields[:-1]), *new.fields])
+    small_batches(docs.sparkSession)
+    names = [x.split(" ")[0] for x in added.split(", ")]
 
     def run(batches):
-        for batch in batches:
-            more = predict(batch.column(len(keep)).to_pylist())
-            yield pa.record_batch([*batch.columns[: len(keep)], *more], names=[f.name for f in schema.fields])
+        for texts in batches:
+            yield pd.DataFrame({n: c.to_numpy(zero_copy_only=False) for n, c in zip(names, predict(texts.tolist()))})
 
-    return held.mapInArrow(run, schema).select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], *[f.name for f in new.fields])
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    judge = F.pandas_udf(run, "struct<" + ", ".join(x.replace(" ", ":", 1) for x in added.split(", ")) + ">")
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], judge(F.col(f"`{text_col}`")).alias("_found_"))
+    return out.select(*[F.col(f"`{c}`") for c in keep], *[F.col(f"_found_.{n}").alias(n) for n in names])

@@ -24,10 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import Scratch
-from .texthash import blocks
+from .texthash import blocks, small_batches
 from .tokenmemo import word_memo
 
-FAN, CARRY, NEARLY = 16, 20_000, 8
+PART_ROWS, FAN, CARRY, NEARLY = 50_000, 16, 20_000, 8
 _BIN = "bin long, fill int, docs array<long>, pieces array<int>, starts array<long>, lengths array<int>, crcs array<long>"
 
 
@@ -77,6 +77,7 @@ def piece_rows(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_c
                 if rows:
                     yield pa.record_batch([list(c) for c in zip(*rows)], schema=schema)
 
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(id_col).cast("long"), F.col(text_col))
     return base.mapInArrow(run, "doc_id long, piece int, start long, length int, ids_crc32 long")
 
@@ -133,7 +134,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, nearly: int = NEARLY) -> DataF
     scratch = Scratch(spark, "pack")
     held = scratch.table(pieces, "pieces")
     n = held.count()
-    parts = max(1, math.ceil(n / 50_000))
+    parts = max(1, math.ceil(n / PART_ROWS))
     # dealt by content, so a repeated task packs the same pieces
     dealt = held.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(parts)).cast("int"))
     now = scratch.table(dealt.groupBy("part").applyInArrow(_first(capacity), _BIN), "bins0")

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .texthash import EXACT, blocks, hash_text, joined, mix_hash, word_spans
+from .texthash import EXACT, blocks, hash_text, joined, mix_hash, small_batches, word_spans
 from .tokenmemo import HashTable
 
 MARK = "▁"
@@ -278,6 +278,7 @@ def encode_pieces(
                     yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     out = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<long>" * with_ids
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, out)
 
 

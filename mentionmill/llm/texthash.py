@@ -3,14 +3,15 @@
 A word is a run of bytes other than space and 0x09-0x0D, with A-Z lowered.
 Its hash is a polynomial modulo 2**64 over random odd byte values, finished
 with a 64-bit mixer and the word's length.  Everything is numpy over chunks of
-about 1 MB, so memory does not depend on the length of a text.
+about 256 KB, so memory does not depend on the length of a text.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-CHUNK = 1 << 20
+CHUNK = 1 << 18
+BATCH_ROWS = 2000
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
 EXACT = (_rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(_U) << _U(1)) | _U(1)
@@ -95,6 +96,13 @@ def word_hash(word: str) -> int:
     return int(word_hashes(np.frombuffer(word.encode(), np.uint8))[0][0])
 
 
+def small_batches(spark) -> None:
+    """Send whole texts to Python in Arrow batches of at most ``BATCH_ROWS`` rows, unless fewer are set."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The texts as one uint8 array, each followed by a newline, and n+1 offsets."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]

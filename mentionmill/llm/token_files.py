@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .simple8b import from_bytes, to_bytes
+from .texthash import blocks, small_batches
 from .tokenmemo import word_memo
 
 FILE_TOKENS = 1 << 20
@@ -49,8 +50,6 @@ def _writer(folder: str, tokenizer: str, end_id: int):
     def run(batches):
         from pyspark import TaskContext
 
-        from .texthash import blocks
-
         memo, part = word_memo(tokenizer), TaskContext.get().partitionId()
         store, root = _open(folder)
         store.create_dir(root, recursive=True)
@@ -78,6 +77,7 @@ def write_token_files(
 ) -> DataFrame:
     """Write the files into ``folder`` and return the manifest ``file, n_docs, n_tokens, start``."""
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     chars = base.agg(F.sum(F.length("text") + 1)).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))

@@ -21,7 +21,7 @@ import numpy as np
 
 from .texthash import joined, mix_hash, word_spans
 
-MEMO_WORDS = 1_500_000
+MEMO_WORDS = 600_000
 LONG = 1 << 22
 _U = np.uint64
 _OPEN: dict[str, "WordMemo"] = {}

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .language_id import beside, sample_rows
-from .texthash import _BYTE, blocks, joined, word_hash, word_hashes
+from .texthash import _BYTE, blocks, joined, small_batches, word_hash, word_hashes
 
 SAMPLE, LEXICON, MIN_ODDS, NEAR = 16_384, 4096, 2.5, 6
 #: Insults in English.
@@ -233,6 +233,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
 
     Rows whose id or label is null teach nothing; of repeated labels the highest counts.
     """
+    small_batches(docs.sparkSession)
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
     known = sample_rows(known, "doc_id", most)  # a bounded number of ids, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
