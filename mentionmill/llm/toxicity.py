@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 from .language_id import beside, sample_rows
 from .texthash import _BYTE, blocks, joined, small_batches, word_hash, word_hashes
 
-SAMPLE, LEXICON, MIN_ODDS, NEAR = 16_384, 4096, 2.5, 6
+SAMPLE, LEXICON, MIN_ODDS, NEAR, LEAST = 16_384, 4096, 2.5, 6, 0.3
 #: Insults in English.
 INSULTS = "idiot moron stupid loser trash scum pathetic worthless disgusting clown dumb fool jerk imbecile filthy vermin".split()
 #: Second-person words in English, French, German and Spanish.
@@ -166,7 +166,7 @@ class Boosted:
                 hh = np.bincount(flat.ravel(), np.repeat(hs, nf), k * nf * width).reshape(k, nf, width).cumsum(2)
                 gt, ht = gs[:, :, -1:], hh[:, :, -1:]
                 gain = gs**2 / (hh + l2) + (gt - gs) ** 2 / (ht - hh + l2) - gt**2 / (ht + l2)
-                gain = np.where((hh >= 1.0) & (ht - hh >= 1.0), gain, 0)[:, :, :-1]
+                gain = np.where((hh >= LEAST) & (ht - hh >= LEAST), gain, 0)[:, :, :-1]
                 at = gain.reshape(k, -1).argmax(1)
                 feature, cut = at // (width - 1), at % (width - 1)
                 cut = np.where(gain.reshape(k, -1).max(1) > 1e-9, cut, width)  # nothing gained: all go left
