@@ -2,8 +2,30 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once per application, so Python workers can import it wherever they run."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    # the driver serves this file to executors as long as the application runs
+    path = os.path.join(tempfile.mkdtemp(prefix="mentionmill-"), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
+
 
 def build_session(app: str = "mentionmill", master: str | None = None, **conf: str) -> SparkSession:
     """A session with UTC time, AQE and Arrow; ``conf`` overrides (dots as ``__``)."""
@@ -19,4 +41,6 @@ def build_session(app: str = "mentionmill", master: str | None = None, **conf: s
     }
     for k, v in {**base, **{k.replace("__", "."): v for k, v in conf.items()}}.items():
         b = b.config(k, v)
-    return b.getOrCreate()
+    spark = b.getOrCreate()
+    ship(spark)
+    return spark

@@ -6,6 +6,8 @@ unset (single-machine tests) a folder under the system's temporary one is used.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can read and write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = _LOCAL.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="mentionmill-"))
+        if "dir" not in _LOCAL:
+            folder = tempfile.mkdtemp(prefix="mentionmill-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            _LOCAL["dir"] = "file://" + folder
+        found = _LOCAL["dir"]
     return found.rstrip("/")
 
 
