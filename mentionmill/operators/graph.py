@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..storage import Scratch
 
@@ -23,12 +23,15 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a, b = F.col(src), F.col(dst)
     raw = edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     loops = raw.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
-    cur = scratch.table(raw.where("u <> v").distinct(), "edges")
 
-    def mark(df: DataFrame):
-        return tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    def written(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        """The written edges, and their count and checksum, observed while they are written."""
+        seen = Observation()
+        digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+        out = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")), name)
+        return out, (seen.get["n"], seen.get["digest"])
 
-    state = mark(cur)
+    cur, state = written(raw.where("u <> v").distinct(), "edges")
     for k in range(max_rounds):
         if state[0] == 0:
             break
@@ -43,8 +46,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
             .unionByName(down.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        new = scratch.table(small, f"round{k}")
-        found = mark(new)
+        new, found = written(small, f"round{k}")
         scratch.drop(cur)
         cur = new
         if found == state:
