@@ -32,7 +32,7 @@ class Codes:
         rng = np.random.default_rng(seed)
         self.mean = x.mean(0)
         z = x - self.mean
-        _, _, basis = np.linalg.svd(z[: min(len(z), SAMPLE)], full_matrices=True)
+        basis = np.linalg.eigh(z.T @ z)[1][:, ::-1].T  # principal axes, the widest first
         z, d = z @ basis.T, x.shape[1]
         turns = []
         for _ in range(-(-BITS // d)):
