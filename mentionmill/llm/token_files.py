@@ -25,7 +25,6 @@ from .texthash import blocks, small_batches
 from .tokenmemo import word_memo
 
 FILE_TOKENS = 1 << 20
-PART_CHARS = 24_000_000
 _NONE = -(1 << 63)
 
 
@@ -79,8 +78,8 @@ def write_token_files(
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    chars = base.agg(F.sum(F.length("text") + 1)).first()[0] or 0
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-chars // PART_CHARS))
+    # as many parts as the scan has; a part is written as a stream, so its size only matters for the spread of work
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), base.rdd.getNumPartitions())
     sorted_docs = base.repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first()
     )
