@@ -62,9 +62,12 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.stack(hashed, 1), at, letters
 
 
-def sample_rows(df: DataFrame, id_col: str, most: int) -> DataFrame:
-    """At most about ``most`` rows, chosen by a hash of the id; all rows if there are no more."""
-    n = df.count()
+def sample_rows(df: DataFrame, id_col: str, most: int, n: int | None = None) -> DataFrame:
+    """At most about ``most`` rows, chosen by a hash of the id; all rows if there are no more.
+
+    ``n``: a known count of the rows, or of a few more.
+    """
+    n = df.count() if n is None else n
     if n <= most:
         return df
     return df.where(F.pmod(F.xxhash64(id_col, F.lit(11)), F.lit(1 << 30)) < F.lit(int(most / n * (1 << 30))))
@@ -100,8 +103,10 @@ class NaiveBayes:
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> NaiveBayes:
     """Fit on at most about ``most`` rows; only sums per language and bucket reach the driver."""
     small_batches(labelled.sparkSession)
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = sample_rows(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")), "id", most)
+    rows = labelled.where(F.col(lang_col).isNotNull())
+    n = rows.select(id_col).count()  # counted without the texts
+    rows = rows.where(F.col(text_col).isNotNull())
+    rows = sample_rows(rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")), "id", most, n)
     schema = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
 
     def run(batches):
