@@ -5,7 +5,7 @@ from .warc import BREAKING, HIDDEN, NAMED, build_derivatives, responses_from_pag
 
 def op1_warc_derivatives(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return build_derivatives(responses_from_pages(pages), keep=("page_id",)).drop("block", "source_headers")
+    return build_derivatives(responses_from_pages(pages), keep=("page_id",)).drop("block")
 
 
 def _uuid(expr: str) -> str:
@@ -46,10 +46,10 @@ c AS (
     'title: ' || t2 || chr(13) || chr(10) || 'status: 200' || chr(13) || chr(10) || 'charset: utf-8' || chr(13) || chr(10) || 'source-digest: ' || dig
     || chr(13) || chr(10) || array_to_string(['outlink: ' || x || chr(13) || chr(10) FOR x IN l2], '') AS meta FROM b),
 r AS (
-  SELECT page_id, rid, url, dig, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, meta AS block FROM c
-  UNION ALL SELECT page_id, rid, url, dig, 'conversion', 'text/plain; charset=utf-8', txt FROM c)
+  SELECT page_id, rid, url, dig, strlen(h) AS size, chr(13) || chr(10) AS crlf, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, meta AS block FROM c
+  UNION ALL SELECT page_id, rid, url, dig, strlen(h), chr(13) || chr(10), 'conversion', 'text/plain; charset=utf-8', txt FROM c)
 SELECT page_id, {_uuid("warc_type || chr(10) || rid")} AS record_id, warc_type, rid AS refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS date,
-  content_type, dig AS source_digest, strlen(block)::BIGINT AS content_length, 'sha1:' || sha1(block) AS block_digest FROM r
+  content_type, dig AS source_digest, 'HTTP/1.1 200 OK' || crlf || 'Content-Type: text/html; charset=utf-8' || crlf || 'Content-Length: ' || size || crlf || crlf AS source_headers, strlen(block)::BIGINT AS content_length, 'sha1:' || sha1(block) AS block_digest FROM r
 """
 
 QUERIES = {"op1_warc_derivatives": op1_warc_derivatives}

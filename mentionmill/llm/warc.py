@@ -52,18 +52,19 @@ def digest(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    """Numeric references, then named ones, the ampersand last.  Give it a plain column: it is read more than once."""
+    """Numeric and named references, the ampersand last.  Give it a plain column: it is read more than once."""
     code = lambda r: F.when(
         F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.regexp_extract(r, "([0-9a-fA-F]+);", 1), 16, 10)
     ).otherwise(F.regexp_extract(r, "([0-9]+);", 1)).cast("long")
     valid = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
     char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(_NUMERIC), F.lit(0)))
-    out = F.aggregate(refs, text, lambda t, r: F.replace(t, r, F.when(valid(code(r)), char(code(r))).otherwise(F.lit("�"))))
-    for name, char_ in NAMED.items():
-        out = F.replace(out, F.lit(name), F.lit(char_))
-    # most texts have no reference at all
-    return F.when(F.contains(text, F.lit("&")), F.replace(out, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    value = lambda r: F.when(F.substring(r, 2, 1) != "#", named[r]).when(valid(code(r)), char(code(r))).otherwise(F.lit("�"))
+    some = _NUMERIC + "|&(?:" + "|".join(n[1:-1] for n in NAMED) + ");"
+    # a text has few different references; each is replaced in one pass
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(some), F.lit(0)))
+    full = F.replace(F.aggregate(refs, text, lambda t, r: F.replace(t, r, value(r))), F.lit("&amp;"), F.lit("&"))
+    return F.when(F.contains(text, F.lit("&")), full).otherwise(text)
 
 
 def without_markup(html: Column) -> Column:
@@ -75,9 +76,10 @@ def without_markup(html: Column) -> Column:
 
 
 def tidy(text: Column) -> Column:
-    """Runs of blanks collapsed, lines trimmed, empty lines dropped."""
-    out = F.regexp_replace(text, "[\\t\\r\\f\u00a0]| [ \\t\\r\\f\u00a0]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(out, "  +", " "), r" ?\n[ \n]*", "\n"), r"^\n|\n$", ""))
+    """Runs of blanks collapsed, lines trimmed, empty lines dropped.  Give it a plain column: it is read more than once."""
+    blanks = "  |[\\t\\r\\f\u00a0]"
+    one = F.when(text.rlike(blanks), F.regexp_replace(text, "[ \\t\\r\\f\u00a0]{2,}|[\\t\\r\\f\u00a0]", " ")).otherwise(text)
+    return F.array_join(F.filter(F.transform(F.split(one, "\n"), lambda x: F.trim(x)), lambda x: x != ""), "\n")
 
 
 def links(html: Column) -> Column:
