@@ -36,12 +36,19 @@ def sentences(spark, sf_dir) -> DataFrame:
 SENTENCES = """(SELECT conv_id AS doc_id, turn AS sent_id, role, list_filter(string_split(replace(text, chr(10), ' '), ' '), lambda x: x <> '') AS tokens FROM conversations)"""
 
 
-def turn_mentions(spark, sf_dir, per_turn: int = 3) -> DataFrame:
-    """The first tokens of each turn as mentions; the gold tag is the token's length."""
-    flat = sentences(spark, sf_dir).select("doc_id", "sent_id", F.posexplode(F.slice("tokens", 1, per_turn)).alias("start", "text"))
+#: Fixed value: places that a sentence takes in the order of a document; more than an array can hold.
+PLACES = 1 << 32
+
+
+def turn_mentions(spark, sf_dir) -> DataFrame:
+    """Every token of each turn as a mention; the gold tag is the token's length.
+
+    ``TURN_MENTIONS`` has only the first three tokens of a turn, and places that meet in turns of over 100.
+    """
+    flat = sentences(spark, sf_dir).select("doc_id", "sent_id", F.posexplode("tokens").alias("start", "text"))
     return flat.select(
         "doc_id", "sent_id", F.col("start").cast("long").alias("start"), "text", F.length("text").cast("long").alias("gold"),
-        (F.col("sent_id") * 100 + F.col("start")).alias("pos"),
+        (F.col("sent_id") * PLACES + F.col("start")).alias("pos"),
     )
 
 

@@ -41,7 +41,7 @@ def nearest_entity_right(spark, sf_dir):
 
 
 def _sides(spark, sf_dir):
-    m = B.turn_mentions(spark, sf_dir).withColumn("text", F.lower(F.substring("text", 1, 3)))
+    m = B.turn_mentions(spark, sf_dir).withColumn("text", F.lower("text"))
     return m.where("start <> 1"), m.where("(doc_id + start) % 4 <> 0").withColumn("start", F.when(F.col("doc_id") % 5 == 0, F.col("start") * 0).otherwise(F.col("start")))
 
 
@@ -63,7 +63,7 @@ def span_match(spark, sf_dir):
 def relaxed_match(spark, sf_dir):
     """Greedy one-to-one by span, head or containment; its choice is sequential, so SQL has no form."""
     p, g = _sides(spark, sf_dir)
-    wide = lambda df: df.select("doc_id", "sent_id", F.col("pos").cast("int").alias("pos"), "text", F.col("start").cast("int").alias("start"), (F.col("start") + 1).cast("int").alias("end"), F.substring("text", 1, 1).alias("head"), F.array(F.col("start"), F.col("start") + 1).alias("tokens"))
+    wide = lambda df: df.select("doc_id", "sent_id", (F.col("pos") % B.PLACES).cast("int").alias("pos"), "text", F.col("start").cast("int").alias("start"), (F.col("start") + 1).cast("int").alias("end"), F.col("text").alias("head"), F.array(F.col("start"), F.col("start") + 1).alias("tokens"))
     return matching.relaxed_match(wide(p), wide(g), ["doc_id", "sent_id"])
 
 
@@ -75,7 +75,7 @@ _TOK = f"""(SELECT doc_id, sent_id, list_distinct([lower(t[1:2]) FOR t IN tokens
   SELECT doc_id, pred, min(gold) AS gold FROM c WHERE c > 0.5 * n GROUP BY ALL""")
 def token_overlap_match(spark, sf_dir):
     """First gold mention of whose tokens more than half are in the prediction."""
-    t = B.sentences(spark, sf_dir).select("doc_id", "sent_id", F.array_distinct(F.transform(F.slice("tokens", 1, 12), lambda x: F.lower(F.substring(x, 1, 2)))).alias("tokens"))
+    t = B.sentences(spark, sf_dir).select("doc_id", "sent_id", F.array_distinct(F.transform("tokens", lambda x: F.lower(x))).alias("tokens"))
     side = lambda r: t.where(F.col("sent_id") % 2 == r).select("doc_id", F.col("sent_id").alias("mention"), F.col("sent_id").alias("pos"), "tokens")
     return matching.overlap_match(side(0), side(1), ["doc_id"])
 

@@ -32,7 +32,7 @@ _PAIRS = f"""(SELECT x.doc_id * 1000000 + x.pos * 1000 + y.pos AS pair_id, x.doc
 
 
 def _pairs(spark, sf_dir):
-    m = B.turn_mentions(spark, sf_dir).where("start = 0")
+    m = B.turn_mentions(spark, sf_dir).where("start = 0").withColumn("pos", F.col("sent_id") * 100)
     p = pairs.within_block(m, "doc_id")
     pid = F.col("doc_id") * 1000000 + F.col("m1_pos") * 1000 + F.col("m2_pos")
     cols = [F.col(f"{m}_{a}").alias(f"{m}_{b}") for m in ("m1", "m2") for a, b in (("sent_id", "sent"), ("start", "start"), ("start", "end"), ("text", "text"))]
