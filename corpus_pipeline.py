@@ -18,6 +18,8 @@ from mentionmill.storage import Scratch
 
 #: A text whose best language is less likely than this is rejected, as are texts without a letter.
 LEAST_LANGUAGE = 0.5
+#: Near copies share so many percent of their shingles of so many words.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +45,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Documents without an id cannot be named by a group and stay.
     """
     names = docs.columns
-    keep = jaccard_components(docs, k=3, pct=90).where("doc_id = component_id").select("doc_id").distinct()
+    keep = jaccard_components(docs, k=NEAR_WORDS, pct=NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names)
     return kept.unionByName(docs.where("doc_id is null"))
 
