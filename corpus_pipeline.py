@@ -18,6 +18,8 @@ from mentionmill.storage import Scratch
 
 #: A text whose best language is less likely than this is rejected, as are texts without a letter.
 LEAST_LANGUAGE = 0.5
+#: A text whose n-grams are nearer to chance than to the training texts of its best language is in no known language.
+LEAST_FIT = 0.5
 #: Near copies share so many percent of their shingles of so many words.
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
@@ -25,10 +27,11 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are in no known language."""
     names = docs.columns
-    found = identify(docs, q_language.train(docs), keep=names)
+    found = identify(docs, q_language.train(docs), keep=names, with_fit=True)
     # nothing could be learned (no labelled text): nothing is rejected
     known = docs.where("text is not null and lang is not null").limit(1).count() > 0
-    return (found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE)) if known else found).select(*names)
+    own = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE) & (F.col("fit") >= LEAST_FIT)
+    return (found.where(own) if known else found).select(*names)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,6 +7,11 @@ Counts per language come from a bounded sample of labelled texts (at most about
 matrix of log probabilities that is broadcast.  A batch is scored by gathering
 matrix rows for its n-grams and summing them per text.
 
+The score tells the known languages apart and comes to 1 for any longer text, in
+whatever language.  ``fit`` tells whether a text is in its best language at all:
+the mean log probability of its n-grams there, on a scale where that of the
+training texts is 1 and that of n-grams drawn evenly from the buckets is 0.
+
 Null texts and texts without a letter are ``und`` with score 0, as is everything
 if nothing could be learned.  Ties go to the language that sorts first.  Rows
 are kept as they come; a repeated row is predicted again.
@@ -81,23 +86,33 @@ class NaiveBayes:
         p = counts + ALPHA
         self.logp = np.log(p) - np.log(p.sum(0))
         self.prior = np.log(docs + 1.0) - np.log((docs + 1.0).sum())
+        # mean log probabilities of even n-grams and of the training texts' n-grams
+        self.chance = self.logp.mean(0)
+        self.typical = (counts * self.logp).sum(0) / np.maximum(counts.sum(0), 1)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        return self.judge(texts)[:2]
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, score and fit of each text."""
         buckets, at, letters = grams(texts)
         n = len(texts)
         if not self.langs:
-            return [UNKNOWN] * n, np.zeros(n)
+            return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
         got = np.zeros((len(buckets) + 1, len(self.langs)))
         for j in range(buckets.shape[1]):
             got[:-1] += self.logp[buckets[:, j]]
         size = np.diff(at)
         total = np.add.reduceat(got, np.minimum(at[:-1], len(buckets)), axis=0)
         total[size == 0] = 0
+        mean = total / np.maximum(size * buckets.shape[1], 1)[:, None]
         total += self.prior
         best = total.argmax(1)
         score = 1 / np.exp(total - total.max(1, keepdims=True)).sum(1)
         seen = (letters > 0) & np.array([t is not None for t in texts])
-        return [self.langs[b] if s else UNKNOWN for b, s in zip(best, seen)], np.where(seen, np.minimum(score, 1.0), 0.0)
+        fit = (mean[np.arange(n), best] - self.chance[best]) / np.maximum(self.typical - self.chance, 1e-9)[best]
+        langs = [self.langs[b] if s else UNKNOWN for b, s in zip(best, seen)]
+        return langs, np.where(seen, np.minimum(score, 1.0), 0.0), np.where(seen, fit, 0.0)
 
 
 def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> NaiveBayes:
@@ -138,19 +153,21 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return NaiveBayes(langs, counts, docs)
 
 
-def identify(docs: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``lang_pred, score`` beside the id, or beside the columns named in ``keep``."""
+def identify(docs: DataFrame, model: NaiveBayes, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, with_fit: bool = False) -> DataFrame:
+    """``lang_pred, score`` (and ``fit``) beside the id, or beside the columns named in ``keep``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x languages doubles
 
     def predict(texts):
-        langs, scores = [], []
+        langs, scores, fits = [], [], []
         for _, part in blocks(texts, texts):
-            a, b = shared.value.predict(part)
+            a, b, c = shared.value.judge(part)
             langs += a
             scores.append(b)
-        return [pa.array(langs, pa.string()), pa.array(np.concatenate(scores) if scores else [], pa.float64())]
+            fits.append(c)
+        numbers = [pa.array(np.concatenate(x) if x else [], pa.float64()) for x in ((scores, fits) if with_fit else (scores,))]
+        return [pa.array(langs, pa.string()), *numbers]
 
-    return beside(docs, keep or [id_col], text_col, predict, "lang_pred string, score double")
+    return beside(docs, keep or [id_col], text_col, predict, "lang_pred string, score double" + ", fit double" * with_fit)
 
 
 def beside(docs: DataFrame, keep: list[str], text_col: str, predict, added: str) -> DataFrame:

@@ -27,3 +27,23 @@ def test_near_copies_of_a_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = set(brute([(r.doc_id, r.text) for r in docs.collect()], 5, 80)[1].values())
     assert sorted(r.doc_id for r in P.jaccard_stage(spark, docs, SF).collect()) == sorted(want)
+
+
+#: Texts in no language of the tables, and letters without a language.
+FOREIGN = [
+    "Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset",
+    "Język polski należy do grupy zachodniosłowiańskiej rodziny języków indoeuropejskich i jest używany w Polsce",
+    "Русский язык является одним из восточнославянских языков и национальным языком русского народа",
+    "中文是世界上使用人数最多的语言之一也是联合国工作语言",
+    "Türkçe ya da Türk dili, batıda Balkanlardan başlayıp doğuda Hazar Denizi sahasına kadar konuşulan bir dildir",
+    "qzxv jkwq pfgh zzxq vbnm wqrt ghjk xcvz plkj qwzx mnbv",
+]
+
+
+def test_foreign_texts_and_gibberish_are_rejected(spark):
+    clean = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    extra = table(spark, [(10**9 + i, t, None) for i, t in enumerate(FOREIGN)])
+    kept = {r.doc_id for r in P.language_stage(spark, clean.unionByName(extra), SF).collect()}
+    assert not [i for i in range(len(FOREIGN)) if 10**9 + i in kept]
+    lost = [r.text for r in clean.collect() if r.doc_id not in kept and any(c.isalpha() for c in r.text or "")]
+    assert not lost
