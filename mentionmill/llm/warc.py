@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import gzip
 import uuid
+from html.entities import html5
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -26,11 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: Elements whose content is no text, and elements that break lines.
 HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
 BREAKING = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|article|section|nav|header|footer|main|aside|table|tr|td|th|blockquote|pre|form|figure|hr|option|body|html"
-#: Named character references.
+#: The named character references that the SQL decodes; ``unescape`` has the whole table of HTML5.
 NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&copy;": "©", "&eacute;": "é"}
 TITLE = r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>"
 VERSION = "WARC/1.1"
-_NUMERIC = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+#: Fixed values of HTML5: names that need no semicolon, numbers that stand for another character, numbers that stand for none.
+_BARE = sorted((n for n in html5 if n[-1] != ";"), key=lambda n: (-len(n), n))
+_CHANGED = {0: 0xFFFD, 0x0D: 0x0D} | {c: ord(bytes([c]).decode("cp1252", "replace")) for c in range(0x80, 0xA0)} | {c: c for c in (0x81, 0x8D, 0x8F, 0x90, 0x9D)}
+_DROPPED = [*range(0x01, 0x09), 0x0B, *range(0x0E, 0x20), *range(0x7F, 0xA0), *range(0xFDD0, 0xFDF0), *(p << 16 | x for p in range(17) for x in (0xFFFE, 0xFFFF))]
 
 
 def record_id(*parts: Column) -> Column:
@@ -51,19 +55,44 @@ def digest(text: Column) -> Column:
     return F.concat(F.lit("sha1:"), F.sha1(text.cast("binary")))
 
 
+def _named() -> Column:
+    """The table by first character and name: Spark looks keys up one after another."""
+    by: dict[str, dict[str, str]] = {}
+    for name, value in html5.items():
+        by.setdefault(name[0], {})[name] = value
+    literal = lambda d: F.create_map(*[x for k, v in d.items() for x in (F.lit(k), v if isinstance(v, Column) else F.lit(v))])
+    return literal({k: literal(v) for k, v in by.items()})
+
+
 def unescape(text: Column) -> Column:
-    """Numeric and named references, the ampersand last.  Give it a plain column: it is read more than once."""
-    code = lambda r: F.when(
-        F.lower(F.substring(r, 3, 1)) == "x", F.conv(F.regexp_extract(r, "([0-9a-fA-F]+);", 1), 16, 10)
-    ).otherwise(F.regexp_extract(r, "([0-9]+);", 1)).cast("long")
-    valid = lambda c: (c > 0) & (c < 0x110000) & ~c.between(0xD800, 0xDFFF)
+    """Character references decoded in one pass, as ``html.unescape`` does.  Give it a plain column: it is read more than once."""
+    table = _named()
+    value = lambda name: table[F.substring(name, 1, 1)][name]
     char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
-    named = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
-    value = lambda r: F.when(F.substring(r, 2, 1) != "#", named[r]).when(valid(code(r)), char(code(r))).otherwise(F.lit("�"))
-    some = _NUMERIC + "|&(?:" + "|".join(n[1:-1] for n in NAMED) + ");"
-    # a text has few different references; each is replaced in one pass
-    refs = F.array_distinct(F.regexp_extract_all(text, F.lit(some), F.lit(0)))
-    full = F.replace(F.aggregate(refs, text, lambda t, r: F.replace(t, r, value(r))), F.lit("&amp;"), F.lit("&"))
+    changed = F.create_map(*[F.lit(x) for pair in _CHANGED.items() for x in pair])
+
+    def numeric(digits: Column, base: int, most: int) -> Column:
+        # the digits without leading zeros; more than ``most`` are beyond Unicode
+        code = F.when(F.length(digits) > most, 0x110000).otherwise(F.coalesce(F.conv(digits, base, 10).cast("long"), F.lit(0)))
+        code = F.coalesce(changed[code.cast("int")].cast("long"), F.when(~code.isin(_DROPPED), code), F.lit(-1))
+        return F.when(code < 0, "").when(code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), "\ufffd").otherwise(char(code))
+
+    def decoded(x: Column) -> Column:
+        """A piece of the text that followed an ampersand."""
+        whole = F.regexp_extract(x, "^[A-Za-z0-9]{1,31};", 0)
+        bare = F.regexp_extract(x, "^(?:" + "|".join(_BARE) + ")", 0)
+        after = lambda n: F.substr(x, F.length(n) + 1)
+        ten, hexa = r"^#0*([0-9]*);?", r"^#[xX]0*([0-9a-fA-F]*);?"
+        return (
+            F.when(x.rlike("^#[0-9]"), F.concat(numeric(F.regexp_extract(x, ten, 1), 10, 7), after(F.regexp_extract(x, ten, 0))))
+            .when(x.rlike("^#[xX][0-9a-fA-F]"), F.concat(numeric(F.regexp_extract(x, hexa, 1), 16, 6), after(F.regexp_extract(x, hexa, 0))))
+            .when(value(whole).isNotNull(), F.concat(value(whole), after(whole)))
+            .when(bare != "", F.concat(value(bare), after(bare)))
+            .otherwise(F.concat(F.lit("&"), x))
+        )
+
+    parts = F.split(text, "&", -1)
+    full = F.concat(parts[0], F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), decoded), ""))
     return F.when(F.contains(text, F.lit("&")), full).otherwise(text)
 
 
