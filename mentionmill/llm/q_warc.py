@@ -5,7 +5,7 @@ from .warc import BREAKING, HIDDEN, NAMED, build_derivatives, responses_from_pag
 
 def op1_warc_derivatives(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return build_derivatives(responses_from_pages(pages), keep=("page_id",)).drop("block")
+    return build_derivatives(responses_from_pages(pages), keep=("page_id",))
 
 
 def _uuid(expr: str) -> str:

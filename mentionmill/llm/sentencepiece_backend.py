@@ -272,10 +272,12 @@ def encode_pieces(
                 for d, t, plain, a, b in zip(own, texts, back, off[:-1].tolist(), off[1:].tolist()):
                     got = ids[a:b]
                     want = np.array(memo.own.encode(t or "", num_threads=1), "<u4")
-                    row = (d, b - a, zlib.crc32(got.data), np.array_equal(got, want), plain == memo.marked(t or "").replace(MARK, " ")[1 if prefix else 0 :])
-                    rows.append((*row, got.tolist()) if with_ids else row)
+                    rows.append((d, b - a, zlib.crc32(got.data), np.array_equal(got, want), plain == memo.marked(t or "").replace(MARK, " ")[1 if prefix else 0 :]))
                 if rows:
-                    yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    columns = [pa.array(c, f.type) for c, f in zip(zip(*rows), schema)]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(ids, pa.int64())))
+                    yield pa.record_batch(columns, schema=schema)
 
     out = "doc_id long, n_tokens long, ids_crc32 long, parity boolean, round_trip boolean" + ", ids array<long>" * with_ids
     small_batches(docs.sparkSession)

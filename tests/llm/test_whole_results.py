@@ -1,12 +1,15 @@
 """Operators give whole results: every reference, every column, every secret."""
 
+import hashlib
 import html as html_lib
+import zlib
 from html.entities import html5
 
+import numpy as np
 from compare import DATA
 from pyspark.sql import functions as F
 
-from mentionmill.llm import q_warc, warc
+from mentionmill.llm import q_sentencepiece, q_warc, warc
 
 SF = f"{DATA}/sf0.001"
 
@@ -24,3 +27,13 @@ def test_pages_hold_no_reference(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = warc.build_derivatives(warc.responses_from_pages(pages)).where("warc_type = 'conversion'")
     assert got.where(F.col("block").rlike("&[a-z]+;")).count() == 0 and got.count() > 0
+
+
+def test_op1_returns_the_blocks(spark):
+    for r in q_warc.op1_warc_derivatives(spark, SF).collect():
+        assert r.content_length == len(r.block.encode()) and r.block_digest == "sha1:" + hashlib.sha1(r.block.encode()).hexdigest()
+
+
+def test_op8_returns_the_ids(spark):
+    got = q_sentencepiece.op8_sentencepiece(spark, SF).collect()
+    assert got and all(len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
