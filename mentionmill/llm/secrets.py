@@ -3,7 +3,8 @@
 Patterns find three kinds of span (``assign``, ``access``, ``hex``).  The method
 adds ``entropy`` spans: candidate strings are runs of 20 or more characters of
 ``A-Za-z0-9+/_=-`` that hold a letter and a digit.  A candidate's class (hex,
-alphanumeric, or with symbols) sets the window and the least entropy.  The
+alphanumeric, or with symbols) sets the window and the least entropy; a hex
+candidate shorter than its window is one window, with a lower bound.  The
 window slides over the candidate; entering and leaving characters change one
 count each, and the sum of c*log2(c) is updated from the counts alone, so a
 step costs the same however long the window is.  The candidate is a span if
@@ -16,6 +17,8 @@ are kept as they come, repeated or not.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 #: The base patterns, in Java's syntax.
@@ -32,6 +35,9 @@ ALLOW = (
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: class: (window, least entropy in bits); a uniform 16-symbol window has at most 4, others at most log2(window).
 CLASSES = {"hex": (32, 3.25), "alnum": (20, 3.75), "symbol": (20, 3.85)}
+#: A hex candidate shorter than its window is one window, and its least entropy is lower by as much as the mean entropy of
+#: uniform digits is: that lies about 15 / (2 n ln 2) under 4 bits for n digits.
+HEX_BIAS = 15 / (2 * math.log(2))
 KINDS = ("assign", "access", "hex", "entropy")
 _SPAN = "struct<s:int,k:int,e:int>"
 
@@ -58,8 +64,12 @@ def _found(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -
     return f"if(rlike({text}, {p}), {walked}, cast(array() as array<{_SPAN}>))"
 
 
-def max_window_entropy(candidate: str, window: int) -> str:
-    """SQL for the largest Shannon entropy (bits) of a candidate's windows; -1 if it is shorter than one."""
+def max_window_entropy(candidate: str, window: int, whole: bool = False) -> str:
+    """SQL for the largest Shannon entropy (bits) of a candidate's windows; -1 if it is shorter than one.
+
+    With ``whole`` a shorter candidate is one window.
+    """
+    least = f"least({window}, size(codes))" if whole else f"{window}"
     n = len(ALPHABET)
     table = ", ".join(["0D"] + [f"{c}D * log2({c}D)" for c in range(1, window + 2)])
     codes = f"transform(filter(split({candidate}, ''), x -> x <> ''), x -> locate(x, '{ALPHABET}'))"
@@ -74,7 +84,7 @@ def max_window_entropy(candidate: str, window: int) -> str:
         f"aggregate(arrays_zip(transform(codes, v -> v), concat(array_repeat(0, {window}), codes)), "
         f"named_struct('n', 0, 's', 0D, 'c', array_repeat(0, {n}), 'best', -1D), "
         f"(st, x) -> if(x.`0` is null, st, aggregate(array({step}), st, (q, r) -> named_struct('n', q.n + 1, 's', r.s, 'c', r.c, 'best',"
-        f" if(q.n + 1 >= {window}, greatest(q.best, log2({window}D) - r.s / {window}), q.best)))), st -> st.best)"
+        f" if(q.n + 1 >= {least}, greatest(q.best, log2(cast({least} as double)) - r.s / {least}), q.best)))), st -> st.best)"
     )
     return f"aggregate(array(named_struct('codes', {codes}, 'g', array({table}))), -1D, (z, y) -> {body.replace('codes', 'y.codes').replace('g[', 'y.g[')})"
 
@@ -86,7 +96,8 @@ def _entropy_spans(text: str, taken: str) -> str:
     kept += f" and not exists({taken}, t -> t.s <= c.s and t.e >= c.e))"
     hexes, alnum, symbol = ((w, h) for w, h in CLASSES.values())
     return (
-        f"filter({kept}, c -> case when rlike({body}, '^([0-9a-f]+|[0-9A-F]+)$') then {max_window_entropy(body, hexes[0])} >= {hexes[1]}"
+        f"filter({kept}, c -> case when rlike({body}, '^([0-9a-f]+|[0-9A-F]+)$') then {max_window_entropy(body, hexes[0], whole=True)} >="
+        f" {hexes[1]}D - {HEX_BIAS}D * greatest(0D, 1D / length({body}) - 1D / {hexes[0]})"
         f" when rlike({body}, '^[A-Za-z0-9]+$') then {max_window_entropy(body, alnum[0])} >= {alnum[1]}"
         f" else {max_window_entropy(body, symbol[0])} >= {symbol[1]} end)"
     )

@@ -9,7 +9,7 @@ import numpy as np
 from compare import DATA
 from pyspark.sql import functions as F
 
-from mentionmill.llm import q_sentencepiece, q_warc, warc
+from mentionmill.llm import q_sentencepiece, q_warc, secrets, warc
 
 SF = f"{DATA}/sf0.001"
 
@@ -37,3 +37,11 @@ def test_op1_returns_the_blocks(spark):
 def test_op8_returns_the_ids(spark):
     got = q_sentencepiece.op8_sentencepiece(spark, SF).collect()
     assert got and all(len(r.ids) == r.n_tokens and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
+
+
+def test_short_hex_secrets(spark):
+    texts = ["key 9f86d081884c7d659a2f end", "KEY 9F86D081884C7D659A2FEAA0C5 end", "9f86d081884c7d659a2feaa0c55ad01", "1111111111aaaaaaaaaa", "9F86D081884C7D659A2FEAA0C55AD015A3BF4F1B"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    want = ["entropy:4:24", "entropy:4:30", "entropy:0:31", "", "entropy:0:40"]
+    assert [r.spans for r in secrets.scan(df).orderBy("doc_id").collect()] == want
+    assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()][:2] == ["key [SECRET] end", "KEY [SECRET] end"]
