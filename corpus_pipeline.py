@@ -45,11 +45,12 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of each group of near copies.
 
-    Documents without an id cannot be named by a group and stay.
+    Rows that share an id are one document; each different text of it that is kept
+    stays, once.  Documents without an id cannot be named by a group and stay.
     """
     names = docs.columns
     keep = jaccard_components(docs, k=NEAR_WORDS, pct=NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -47,3 +47,10 @@ def test_foreign_texts_and_gibberish_are_rejected(spark):
     assert not [i for i in range(len(FOREIGN)) if 10**9 + i in kept]
     lost = [r.text for r in clean.collect() if r.doc_id not in kept and any(c.isalpha() for c in r.text or "")]
     assert not lost
+
+
+def test_different_texts_of_one_id_stay(spark):
+    one, two = (" ".join(f"{x}{i}" for i in range(50)) for x in "ab")
+    rows = [(1, one, "en"), (1, two, "en"), (1, two, "en"), (2, one, "en"), (3, "", "en"), (3, "", "en")]
+    got = P.jaccard_stage(spark, table(spark, rows), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, one), (1, two), (3, "")])
