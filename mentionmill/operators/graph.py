@@ -2,20 +2,65 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, functions as F
 
 from ..storage import Scratch
 
+#: Edges that a task contracts at once, and that one task may hold in the end.
+HELD = 1 << 20
+
+
+def lowest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, smallest node of each one's component) of an edge list."""
+    nodes, back = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = back[: len(u)], back[len(u) :]
+    root = np.arange(len(nodes))
+    while len(a):
+        x, y = root[a], root[b]
+        low = np.minimum(x, y)
+        np.minimum.at(root, x, low)
+        np.minimum.at(root, y, low)
+        while not np.array_equal(up := root[root], root):
+            root = up
+        left = root[a] != root[b]
+        a, b = a[left], b[left]
+    return nodes, nodes[root]
+
+
+def _contracted(batches):
+    """Edges as stars, one for each component of each ``HELD`` edges of a task."""
+    held, size = [], 0
+
+    def stars():
+        t = pa.Table.from_batches(held)
+        u, v = (t.column(i).to_numpy() for i in (0, 1))
+        node, low = lowest(u, v)
+        keep = node != low
+        return pa.record_batch([pa.array(node[keep], t.schema.field(0).type), pa.array(low[keep], t.schema.field(1).type)], names=["u", "v"])
+
+    for batch in batches:
+        held.append(batch)
+        size += len(batch)
+        if size >= HELD:
+            yield stars()
+            held, size = [], 0
+    if held:
+        yield stars()
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """Connected components of an undirected edge table.
 
     Returns ``node, component`` for every node that occurs in an edge;
-    ``component`` is the smallest node of the component.  Alternates two star
-    contractions (link larger neighbours, then all lower neighbours, to the
-    local minimum), each a map-side combined ``min`` and a join that AQE can
-    split when a hub is hot.  Each round is written to the shared folder, so
-    lineage stays short and a lost executor costs one round.  Null ends and
+    ``component`` is the smallest node of the component.  Tasks first contract
+    their own edges to stars.  If at most ``HELD`` edges are left, one task ends
+    the work.  Else two star contractions alternate: link larger neighbours, then
+    all lower neighbours, to the local minimum.  Each is a map-side combined
+    ``min``, written to the shared folder, and a join of written tables, which
+    AQE splits when a hub is hot.
+    Lineage stays short and a lost executor costs one step.  Null ends and
     self loops are accepted; an empty table gives an empty result.
     """
     spark = edges.sparkSession
@@ -23,6 +68,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     a, b = F.col(src), F.col(dst)
     raw = edges.where(a.isNotNull() & b.isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     loops = raw.where("u = v").select(F.col("u").alias("node"), F.col("v").alias("component"))
+    first = raw.where("u <> v")
+    plain = first.schema["u"].dataType.simpleString() in ("int", "bigint", "string")  # what numpy sorts as Spark does
+    if plain:
+        first = first.mapInArrow(_contracted, first.schema)
 
     def written(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
         """The written edges, and their count and checksum, observed while they are written."""
@@ -31,23 +80,26 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         out = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")), name)
         return out, (seen.get["n"], seen.get["digest"])
 
-    cur, state = written(raw.where("u <> v").distinct(), "edges")
+    cur, state = written(first if plain else first.distinct(), "edges")
     for k in range(max_rounds):
         if state[0] == 0:
             break
+        if plain and state[0] <= HELD:
+            cur = scratch.table(cur.coalesce(1).mapInArrow(_contracted, cur.schema), "stars")
+            break
         both = cur.select("u", "v").unionByName(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        ).distinct()
-        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = scratch.table(low, f"low{k}")
+        large = both.where("v > u").join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = scratch.table(large, f"large{k}")
+        down = scratch.table(large.groupBy("u").agg(F.min("v").alias("m")), f"down{k}")
         small = (
             large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
             .unionByName(down.select("u", F.col("m").alias("v")))
             .distinct()
         )
         new, found = written(small, f"round{k}")
-        scratch.drop(cur)
+        scratch.drop(cur, low, large, down)
         cur = new
         if found == state:
             break

@@ -8,6 +8,7 @@ import pytest
 
 from mentionmill.operators.assignment import best_assignment
 from mentionmill.operators.cluster_metrics import cluster_scores, dedupe_response, repeats, truncated_percent
+from mentionmill.operators import graph
 from mentionmill.operators.graph import connected_components
 
 
@@ -105,3 +106,60 @@ def test_components_match_union_find(spark):
     assert got == {x: find(x) for x in root}
     empty = spark.createDataFrame([(None, 1)], "src long, dst long")
     assert connected_components(empty).count() == 0
+
+
+def plain_components(edges):
+    root = {}
+    for a, b in edges:
+        if a is not None and b is not None:
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+    changed = True
+    while changed:
+        changed = False
+        for a, b in edges:
+            if a is not None and b is not None and root[a] != root[b]:
+                root[a] = root[b] = min(root[a], root[b])
+                changed = True
+    return root
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    """With too many edges for one task: chains, hubs at either end of the order, loops, nulls, repeats, strings."""
+    monkeypatch.setattr(graph, "HELD", 3)
+    edges = [(i, i + 1) for i in range(40, 70)] + [(500, i) for i in range(100, 160)] + [(0, i) for i in range(1, 30)]
+    edges += [(200, 200), (None, 3), (4, None), (40, 41), (300, 299), (299, 298), (298, 297)]
+    got = dict(connected_components(spark.createDataFrame(edges, "src long, dst long").repartition(3)).collect())
+    assert got == plain_components(edges)
+    names = [(f"n{a}", f"n{b}") for a, b in edges if a is not None and b is not None]
+    assert dict(connected_components(spark.createDataFrame(names, "src string, dst string")).collect()) == plain_components(names)
+
+
+def test_hubs_are_split(spark, monkeypatch):
+    """The joins of the rounds read a hub's edges in several tasks."""
+    from mentionmill.storage import Scratch
+
+    plans, table = [], Scratch.table
+
+    def recorded(self, df, name):
+        if name.startswith("large"):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table(self, df, name)
+
+    monkeypatch.setattr(Scratch, "table", recorded)
+    monkeypatch.setattr(graph, "HELD", 3)
+    conf = {
+        "autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "-1", "adaptive.advisoryPartitionSizeInBytes": "4k",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "8k", "adaptive.skewJoin.skewedPartitionFactor": "1.5", "shuffle.partitions": "8",
+    }
+    old = {k: spark.conf.get(f"spark.sql.{k}", None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        edges = spark.range(1, 40_000, 1, 8).selectExpr("if(id % 10 < 7, 0, id - id % 10) as src", "id as dst")
+        got = connected_components(edges).where("component = 0").count()
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert got > 28_000 and any("skew=true" in p for p in plans)
