@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -19,7 +21,9 @@ def ship(spark: SparkSession) -> None:
         return
     root = Path(__file__).resolve().parent
     # the driver serves this file to executors as long as the application runs
-    path = os.path.join(tempfile.mkdtemp(prefix="mentionmill-"), f"{root.name}.zip")
+    folder = tempfile.mkdtemp(prefix="mentionmill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    path = os.path.join(folder, f"{root.name}.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))

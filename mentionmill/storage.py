@@ -1,12 +1,15 @@
 """Tables written in the cluster's shared folder to cut lineage.
 
-The folder is the one named by ``spark.checkpoint.dir``.  Only where that is
-unset (single-machine tests) a folder under the system's temporary one is used.
+The folder is the one named by ``spark.checkpoint.dir``.  Where that is unset, a
+folder under the system's temporary one is used if driver and executors are one
+process (``local[...]``); on a cluster it is an error, as executors would not see
+each other's files.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -20,6 +23,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors can read and write."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if "dir" not in _LOCAL:
             folder = tempfile.mkdtemp(prefix="mentionmill-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
