@@ -38,13 +38,19 @@ def within_block(mentions: DataFrame, block: str | list[str], pos: str = "pos")
 
 
 def adjacent_sentences(mentions: DataFrame, block: str | list[str] = "doc_id", pos: str = "pos", ordinal: str = "ord") -> DataFrame:
-    """Pairs in one sentence or in two that follow each other.
+    """Pairs in one sentence or in two that follow each other; ``pos`` follows the sentences.
 
-    With ``selected`` among the columns, pairs that touch an unselected
-    sentence are left out: it also breaks the carry of the sentence before.
+    The first mention of a pair meets the second by sentence: its own and the
+    next one, so no pair of sentences further apart is made.  With ``selected``
+    among the columns, pairs that touch an unselected sentence are left out: it
+    also breaks the carry of the sentence before.
     """
-    pairs = within_block(mentions, block, pos).where(F.col(f"m2_{ordinal}") - F.col(f"m1_{ordinal}") <= 1)
-    return pairs.where("m1_selected and m2_selected") if "selected" in mentions.columns else pairs
+    block = [block] if isinstance(block, str) else block
+    if "selected" in mentions.columns:
+        mentions = mentions.where("selected")
+    one, two = _sides(mentions, block)
+    one = one.withColumn("_at", F.explode(F.array(F.col(f"m1_{ordinal}"), F.col(f"m1_{ordinal}") + 1)))
+    return one.join(two.withColumn("_at", F.col(f"m2_{ordinal}")), [*block, "_at"]).where(F.col(f"m1_{pos}") < F.col(f"m2_{pos}")).drop("_at")
 
 
 def sliding_window(mentions: DataFrame, sentences: DataFrame, size: int = 2, doc: str = "doc_id", sent: str = "sent_id", pos: str = "pos") -> DataFrame:

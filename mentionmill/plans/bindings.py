@@ -41,10 +41,7 @@ PLACES = 1 << 32
 
 
 def turn_mentions(spark, sf_dir) -> DataFrame:
-    """Every token of each turn as a mention; the gold tag is the token's length.
-
-    ``TURN_MENTIONS`` has only the first three tokens of a turn, and places that meet in turns of over 100.
-    """
+    """Every token of each turn as a mention; the gold tag is the token's length."""
     flat = sentences(spark, sf_dir).select("doc_id", "sent_id", F.posexplode("tokens").alias("start", "text"))
     return flat.select(
         "doc_id", "sent_id", F.col("start").cast("long").alias("start"), "text", F.length("text").cast("long").alias("gold"),
@@ -52,8 +49,8 @@ def turn_mentions(spark, sf_dir) -> DataFrame:
     )
 
 
-TURN_MENTIONS = f"""(SELECT doc_id, sent_id, i - 1 AS start, tokens[i] AS text, length(tokens[i]) AS gold, sent_id * 100 + i - 1 AS pos
-  FROM (SELECT *, unnest(range(1, least(len(tokens), 3) + 1)) AS i FROM {SENTENCES}))"""
+TURN_MENTIONS = f"""(SELECT doc_id, sent_id, i - 1 AS start, tokens[i] AS text, length(tokens[i]) AS gold, sent_id * {PLACES} + i - 1 AS pos
+  FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM {SENTENCES}))"""
 
 
 def predictions(spark, sf_dir) -> DataFrame:

@@ -45,7 +45,7 @@ def _sides(spark, sf_dir):
     return m.where("start <> 1"), m.where("(doc_id + start) % 4 <> 0").withColumn("start", F.when(F.col("doc_id") % 5 == 0, F.col("start") * 0).otherwise(F.col("start")))
 
 
-_SIDE = f"(SELECT doc_id, sent_id, start, lower(text[1:3]) AS text, pos FROM {B.TURN_MENTIONS})"
+_SIDE = f"(SELECT doc_id, sent_id, start, lower(text) AS text, pos FROM {B.TURN_MENTIONS})"
 _PRED = f"(SELECT * FROM {_SIDE} WHERE start <> 1)"
 _GOLD = f"(SELECT doc_id, sent_id, CASE WHEN doc_id % 5 = 0 THEN 0 ELSE start END AS start, text, pos FROM {_SIDE} WHERE (doc_id + start) % 4 <> 0)"
 
@@ -67,7 +67,7 @@ def relaxed_match(spark, sf_dir):
     return matching.relaxed_match(wide(p), wide(g), ["doc_id", "sent_id"])
 
 
-_TOK = f"""(SELECT doc_id, sent_id, list_distinct([lower(t[1:2]) FOR t IN tokens[1:12]]) AS toks FROM {B.SENTENCES})"""
+_TOK = f"""(SELECT doc_id, sent_id, list_distinct([lower(t) FOR t IN tokens]) AS toks FROM {B.SENTENCES})"""
 
 
 @query(f"""WITH p AS (SELECT doc_id, sent_id AS pred, toks FROM {_TOK} WHERE sent_id % 2 = 0), g AS (SELECT doc_id, sent_id AS gold, toks FROM {_TOK} WHERE sent_id % 2 = 1),

@@ -29,40 +29,65 @@ def pair_metrics_by_topic(spark, sf_dir):
     return B.rounded(metrics.binary_metrics(rows, ["topic"]))
 
 
-@query(f"""SELECT x.doc_id, x.sent_id AS m1_sent, y.sent_id AS m2_sent, x.start AS m1_start, y.start AS m2_start, (x.gold = y.gold)::INT AS label
-  FROM {B.TURN_MENTIONS} x JOIN {B.TURN_MENTIONS} y ON x.doc_id = y.doc_id AND x.pos < y.pos""")
-def pairs_within_document(spark, sf_dir):
+def _by_sentences(p, *keys):
+    """Pairs counted by their sentences, with the sums of their places; a table's pairs of tokens are too many for rows."""
+    return p.groupBy("doc_id", *keys).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("label").alias("links"), F.sum("m1_start").alias("m1_starts"), F.sum("m2_start").alias("m2_starts")
+    )
+
+
+_SUMS = "count(*) AS n, sum((x.gold = y.gold)::INT)::BIGINT AS links, sum(x.start)::BIGINT AS m1_starts, sum(y.start)::BIGINT AS m2_starts"
+
+
+def within_document(spark, sf_dir):
     m = pairs.with_position(B.turn_mentions(spark, sf_dir).drop("pos"), "doc_id", ["sent_id", "start"])
     p = pairs.with_label(pairs.within_block(m, "doc_id"))
     return p.select("doc_id", F.col("m1_sent_id").alias("m1_sent"), F.col("m2_sent_id").alias("m2_sent"), "m1_start", "m2_start", "label")
 
 
+@query(f"""SELECT x.doc_id, x.sent_id AS m1_sent, y.sent_id AS m2_sent, {_SUMS}
+  FROM {B.TURN_MENTIONS} x JOIN {B.TURN_MENTIONS} y ON x.doc_id = y.doc_id AND x.pos < y.pos GROUP BY ALL""")
+def pairs_within_document(spark, sf_dir):
+    """All pairs of tokens of a document, counted by sentence pair."""
+    return _by_sentences(within_document(spark, sf_dir), "m1_sent", "m2_sent")
+
+
 @query(f"""SELECT x.topic, count(*) AS n, sum((x.gold = y.gold)::INT)::BIGINT AS links FROM {_XY} ON x.topic = y.topic AND x.pos < y.pos GROUP BY x.topic""")
 def pairs_cross_document(spark, sf_dir):
     p = pairs.with_label(pairs.within_block(B.mentions(spark, sf_dir), "topic"))
     return p.groupBy("topic").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("links"))
 
 
+def adjacent_sentences(spark, sf_dir):
+    s = B.sentences(spark, sf_dir)
+    m = pairs.with_sentence_ordinal(B.turn_mentions(spark, sf_dir), s)
+    m = filters.tag_selected(m, s.where("role <> 'system'")).withColumnRenamed("is_selected", "selected")
+    return pairs.with_label(pairs.adjacent_sentences(m))
+
+
 @query(f"""WITH s AS (SELECT doc_id, sent_id, role <> 'system' AS selected, dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_id) AS o FROM {B.SENTENCES}),
   m AS (SELECT t.*, s.o, s.selected FROM {B.TURN_MENTIONS} t JOIN s ON t.doc_id = s.doc_id AND t.sent_id = s.sent_id)
-  SELECT x.doc_id, x.pos AS m1_pos, y.pos AS m2_pos FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.pos < y.pos AND y.o - x.o <= 1 WHERE x.selected AND y.selected""")
+  SELECT x.doc_id, x.sent_id AS m1_sent, y.sent_id AS m2_sent, {_SUMS} FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.pos < y.pos AND y.o - x.o <= 1
+  WHERE x.selected AND y.selected GROUP BY ALL""")
 def pairs_adjacent_sentences(spark, sf_dir):
-    """Sentence-adjacent pairs; unselected sentences (system turns) break the carry."""
+    """Sentence-adjacent pairs, counted by sentence pair; unselected sentences (system turns) break the carry."""
+    p = adjacent_sentences(spark, sf_dir)
+    return _by_sentences(p.withColumnsRenamed({"m1_sent_id": "m1_sent", "m2_sent_id": "m2_sent"}), "m1_sent", "m2_sent")
+
+
+def sliding_window(spark, sf_dir):
     s = B.sentences(spark, sf_dir)
     m = pairs.with_sentence_ordinal(B.turn_mentions(spark, sf_dir), s)
-    m = filters.tag_selected(m, s.where("role <> 'system'")).withColumnRenamed("is_selected", "selected")
-    return pairs.adjacent_sentences(m).select("doc_id", "m1_pos", "m2_pos")
+    return pairs.with_label(pairs.sliding_window(m, s))
 
 
 @query(f"""WITH s AS (SELECT doc_id, sent_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY sent_id) - 1 AS o, count(*) OVER (PARTITION BY doc_id) AS n FROM {B.SENTENCES}),
-  m AS (SELECT t.doc_id, t.pos, unnest(range(greatest(0, o - 1), least(o, greatest(0, n - 2)) + 1)) AS w
+  m AS (SELECT t.doc_id, t.pos, t.start, t.gold, unnest(range(greatest(0, o - 1), least(o, greatest(0, n - 2)) + 1)) AS w
     FROM {B.TURN_MENTIONS} t JOIN s ON t.doc_id = s.doc_id AND t.sent_id = s.sent_id)
-  SELECT x.doc_id, x.w AS "window", x.pos AS m1_pos, y.pos AS m2_pos FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.w = y.w AND x.pos < y.pos""")
+  SELECT x.doc_id, x.w AS "window", {_SUMS} FROM m x JOIN m y ON x.doc_id = y.doc_id AND x.w = y.w AND x.pos < y.pos GROUP BY ALL""")
 def pairs_sliding_window(spark, sf_dir):
-    """Windows of two sentences; a pair in one sentence comes once for each window that holds it."""
-    s = B.sentences(spark, sf_dir)
-    m = pairs.with_sentence_ordinal(B.turn_mentions(spark, sf_dir), s)
-    return pairs.sliding_window(m, s).select("doc_id", "window", "m1_pos", "m2_pos")
+    """Windows of two sentences, their pairs counted; a pair in one sentence comes once for each window that holds it."""
+    return _by_sentences(sliding_window(spark, sf_dir), "window")
 
 
 @query(f"""SELECT c.cluster, count(*) AS n FROM (SELECT DISTINCT doc_id, doc_id % 7 AS cluster FROM {B.MENTIONS}) c

@@ -1,8 +1,11 @@
 """Queries on the tokens of turns see whole turns and whole tokens: plain Python on a small table with a long turn."""
 
+from collections import Counter
+
 import pytest
+from compare import connect
 
-from mentionmill.plans import registry
+from mentionmill.plans import q_pairs, registry
 
 #: Tokens that differ only after their third character, and a turn of over 100 tokens.
 TURNS = [
@@ -77,20 +80,42 @@ def pairs():
     return [(x, y) for x in m for y in m if x[0] == y[0] and x[1:3] < y[1:3]]
 
 
+def check_pairs(spark, table, name, rows, keys, want):
+    """The operator's pairs one by one, the query's counts and sums of them, and its SQL's."""
+    got = sorted((tuple(r[k] for k in keys), r.m1_start, r.m2_start, r.label) for r in rows(spark, table).collect())
+    assert got == sorted(want)
+    sums = {}
+    for key, a, b, label in want:
+        n, links, x, y = sums.get(key, (0, 0, 0, 0))
+        sums[key] = n + 1, links + label, x + a, y + b
+    flat = sorted((*k, *v) for k, v in sums.items())
+    names = [*(k.replace("_id", "") if k != "doc_id" else k for k in keys), "n", "links", "m1_starts", "m2_starts"]
+    assert run(spark, table, name, *names) == flat
+    r = connect(table).execute(registry.ORACLES[name])
+    at = [[d[0] for d in r.description].index(n) for n in names]
+    assert sorted(tuple(x[i] for i in at) for x in r.fetchall()) == flat
+
+
+def label(x, y):
+    return int(len(x[3]) == len(y[3]))
+
+
 def test_pairs_within_document(spark, table):
-    want = sorted((x[0], x[1], y[1], x[2], y[2], int(len(x[3]) == len(y[3]))) for x, y in pairs())
-    assert run(spark, table, "pairs_within_document", "doc_id", "m1_sent", "m2_sent", "m1_start", "m2_start", "label") == want
+    want = [((x[0], x[1], y[1]), x[2], y[2], label(x, y)) for x, y in pairs()]
+    check_pairs(spark, table, "pairs_within_document", q_pairs.within_document, ["doc_id", "m1_sent", "m2_sent"], want)
 
 
 def test_pairs_adjacent_sentences(spark, table):
     chosen = {(d, s) for d, s, role, _ in TURNS if role != "system"}
-    want = sorted((x[0], x[1] * PLACES + x[2], y[1] * PLACES + y[2]) for x, y in pairs() if y[1] - x[1] <= 1 and {x[:2], y[:2]} <= chosen)
-    assert run(spark, table, "pairs_adjacent_sentences", "doc_id", "m1_pos", "m2_pos") == want
+    want = [((x[0], x[1], y[1]), x[2], y[2], label(x, y)) for x, y in pairs() if y[1] - x[1] <= 1 and {x[:2], y[:2]} <= chosen]
+    check_pairs(spark, table, "pairs_adjacent_sentences", q_pairs.adjacent_sentences, ["doc_id", "m1_sent_id", "m2_sent_id"], want)
+    got = q_pairs.adjacent_sentences(spark, table).select("doc_id", "m1_pos", "m2_pos").collect()
+    assert Counter(map(tuple, got)) == Counter((d, a * PLACES + i, b * PLACES + j) for (d, a, b), i, j, _ in want)
 
 
 def test_pairs_sliding_window(spark, table):
     want = []
     for x, y in pairs():
         n = sum(t[0] == x[0] for t in TURNS)
-        want += [(x[0], w, x[1] * PLACES + x[2], y[1] * PLACES + y[2]) for w in range(n - 1) if w <= x[1] and y[1] <= w + 1]
-    assert run(spark, table, "pairs_sliding_window", "doc_id", "window", "m1_pos", "m2_pos") == sorted(want)
+        want += [((x[0], w), x[2], y[2], label(x, y)) for w in range(n - 1) if w <= x[1] and y[1] <= w + 1]
+    check_pairs(spark, table, "pairs_sliding_window", q_pairs.sliding_window, ["doc_id", "window"], want)
