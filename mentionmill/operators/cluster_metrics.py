@@ -12,7 +12,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .assignment import best_assignment
+from ..storage import Scratch
+from .assignment import best_cells
 
 MOST_REPEATS = 10
 
@@ -112,30 +113,39 @@ def cluster_scores(key: DataFrame, response: DataFrame, by: list[str] = (), bloc
 def ceaf_sums(key: DataFrame, response: DataFrame) -> DataFrame:
     """Largest one-to-one assignment of chains per block, by mentions and by entities.
 
-    The overlap graph of a block falls into components; only those with more
-    than one key and response chain are solved, each in a task of its own.
+    The overlap graph of a block falls into components.  Where one side of a
+    component is a single chain, its best cell is the answer.  The others are
+    solved on their cells alone, many components to a task.
     """
     from .graph import connected_components
 
     table = contingency(key, response)
     cells = table.join(_sizes(key, "k", "sk"), ["block", "k"]).join(_sizes(response, "r", "sr"), ["block", "r"])
-    node = lambda side, col: F.to_json(F.struct(F.col("block").cast("string").alias("b"), F.lit(side).alias("s"), F.col(col).cast("string").alias("c")))
-    cells = cells.withColumn("u", node("k", "k")).withColumn("v", node("r", "r"))
-    comp = connected_components(cells, "u", "v")
-    placed = cells.join(comp, cells.u == comp.node).select("block", "component", "u", "v", "n", (2.0 * F.col("n") / (F.col("sk") + F.col("sr"))).alias("phi"))
+    # nodes by hash: where two meet, components are solved together, which gives the same sums
+    node = lambda side, col: F.xxhash64(F.lit(side), "block", col)
+    cells = cells.select("block", node("k", "k").alias("u"), node("r", "r").alias("v"), "n", (2.0 * F.col("n") / (F.col("sk") + F.col("sr"))).alias("phi"))
+    cells = Scratch(key.sparkSession, "ceaf").table(cells, "cells")
+    comp = connected_components(cells, "u", "v").withColumnRenamed("node", "u")
+    placed = cells.join(comp, "u")
+    shape = placed.groupBy("block", "component").agg(
+        F.min("u").alias("u0"), F.max("u").alias("u1"), F.min("v").alias("v0"), F.max("v").alias("v1"), F.max("n").cast("double").alias("ceafm_num"), F.max("phi").alias("ceafe_num")
+    )
+    star = (F.col("u0") == F.col("u1")) | (F.col("v0") == F.col("v1"))
+    easy = shape.where(star).select("block", "ceafm_num", "ceafe_num")
+    hard = placed.join(shape.where(~star).select("block", "component"), ["block", "component"])
 
     def solve(t: pd.DataFrame) -> pd.DataFrame:
-        u, v = pd.factorize(t.u)[0], pd.factorize(t.v)[0]
-        out = [t.block.iloc[0]]
-        for col in ("n", "phi"):
-            w = np.zeros((u.max() + 1, v.max() + 1))
-            w[u, v] = t[col]
-            out.append(best_assignment(w)[1])
-        return pd.DataFrame([out], columns=["block", "ceafm_num", "ceafe_num"])
+        out = []
+        for (block, _), own in t.groupby(["block", "component"], sort=False):
+            u, v = pd.factorize(own.u)[0], pd.factorize(own.v)[0]
+            out.append((block, *(best_cells(u, v, own[c].to_numpy(float)) for c in ("n", "phi"))))
+        return pd.DataFrame(out, columns=["block", "ceafm_num", "ceafe_num"])
 
     kind = dict(key.dtypes)["block"]
-    solved = placed.groupBy("component").applyInPandas(solve, f"block {kind}, ceafm_num double, ceafe_num double")
-    return solved.groupBy("block").agg(F.sum("ceafm_num").alias("ceafm_num"), F.sum("ceafe_num").alias("ceafe_num"))
+    tasks = 4 * int(key.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = hard.withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
+    solved = dealt.groupBy("task").applyInPandas(solve, f"block {kind}, ceafm_num double, ceafe_num double")
+    return easy.unionByName(solved).groupBy("block").agg(F.sum("ceafm_num").alias("ceafm_num"), F.sum("ceafe_num").alias("ceafe_num"))
 
 
 def mention_identification(key: DataFrame, response: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from typing import Protocol
 
 import pandas as pd
@@ -24,7 +25,40 @@ class KeywordPredictor:
         return prompts.str.contains(self.keyword, regex=False).map({True: "Yes", False: "No"})
 
 
-_MODELS: dict[str, type] = {"keyword": KeywordPredictor}
+class FailingPredictor:
+    """Fails a few times before it answers like ``KeywordPredictor``: a stand-in for a service in tests."""
+
+    def __init__(self, keyword: str, failures: int):
+        self.inner, self.failures = KeywordPredictor(keyword), failures
+
+    def answer(self, prompts: pd.Series, temperature: float) -> pd.Series:
+        if self.failures:
+            self.failures -= 1
+            raise ConnectionError("no answer")
+        return self.inner.answer(prompts, temperature)
+
+
+class RetryingPredictor:
+    """Asks another predictor again after an error, each time after twice the wait.
+
+    Without an answer after ``attempts`` the prompts of the batch get none (null),
+    which counts as not valid, rather than failing the task and all its answers.
+    """
+
+    def __init__(self, inner: Predictor, attempts: int = 5, wait: float = 1.0):
+        self.inner, self.attempts, self.wait = inner, attempts, wait
+
+    def answer(self, prompts: pd.Series, temperature: float) -> pd.Series:
+        for k in range(self.attempts):
+            try:
+                return self.inner.answer(prompts, temperature)
+            except Exception:  # whatever a service's client raises
+                if k + 1 < self.attempts:
+                    time.sleep(self.wait * 2**k)
+        return pd.Series([None] * len(prompts), index=prompts.index, dtype=object)
+
+
+_MODELS: dict[str, type] = {"keyword": KeywordPredictor, "failing": FailingPredictor, "retrying": RetryingPredictor}
 
 
 def register(name: str, maker) -> None:

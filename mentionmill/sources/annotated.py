@@ -25,11 +25,31 @@ def scan_files(spark: SparkSession, path: str, pattern: str = "*.xml") -> DataFr
     return files.select("path", name.alias("name"), F.decode("content", "UTF-8").alias("text"))
 
 
+def _document(doc: str, text: str) -> list[dict]:
+    """Rows of one document."""
+    root, rows = ET.fromstring(text.encode()), []
+    for t in root.iter("token"):
+        rows.append({"level": "token", "doc_id": doc, "t_id": int(t.get("t_id")), "sent_id": int(t.get("sentence")), "number": int(t.get("number")), "token": t.text or ""})
+    for m in [x for p in root.iter("Markables") for x in p]:
+        rows.append({
+            "level": "markable", "doc_id": doc, "m_id": m.get("m_id"), "tag": m.tag, "anchors": [int(a.get("t_id")) for a in m.findall("token_anchor")],
+            "related_to": m.get("RELATED_TO"), "tag_descriptor": m.get("TAG_DESCRIPTOR"), "instance_id": m.get("instance_id"),
+        })
+    for r in [x for p in root.iter("Relations") for x in p]:
+        target = r.find("target")
+        rows.append({
+            "level": "relation", "doc_id": doc, "r_id": r.get("r_id"), "kind": r.tag, "note": r.get("note"),
+            "sources": [s.get("m_id") for s in r.findall("source")], "target": None if target is None else target.get("m_id"),
+        })
+    return rows
+
+
 def parse_annotations(files: DataFrame) -> DataFrame:
     """Tokens, markables and relations of XML texts (``name, text``) in one flat table.
 
-    Element names of markables are data, so a document is parsed as a tree; a
-    text that is no XML gives a row of level ``error`` with the message as token.
+    Element names of markables are data, so a document is parsed as a tree; one
+    that is no XML or lacks a number gives a row of level ``error`` alone, with the
+    message as token.
     """
 
     def run(batches):
@@ -38,23 +58,9 @@ def parse_annotations(files: DataFrame) -> DataFrame:
             for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 doc = name.rsplit(".", 1)[0]
                 try:
-                    root = ET.fromstring(text.encode())
-                except (ET.ParseError, AttributeError) as e:
+                    rows += _document(doc, text)
+                except (ET.ParseError, AttributeError, TypeError, ValueError) as e:  # no XML, or numbers that are none
                     rows.append({"level": "error", "doc_id": doc, "token": str(e)})
-                    continue
-                for t in root.iter("token"):
-                    rows.append({"level": "token", "doc_id": doc, "t_id": int(t.get("t_id")), "sent_id": int(t.get("sentence")), "number": int(t.get("number")), "token": t.text or ""})
-                for m in [x for p in root.iter("Markables") for x in p]:
-                    rows.append({
-                        "level": "markable", "doc_id": doc, "m_id": m.get("m_id"), "tag": m.tag, "anchors": [int(a.get("t_id")) for a in m.findall("token_anchor")],
-                        "related_to": m.get("RELATED_TO"), "tag_descriptor": m.get("TAG_DESCRIPTOR"), "instance_id": m.get("instance_id"),
-                    })
-                for r in [x for p in root.iter("Relations") for x in p]:
-                    target = r.find("target")
-                    rows.append({
-                        "level": "relation", "doc_id": doc, "r_id": r.get("r_id"), "kind": r.tag, "note": r.get("note"),
-                        "sources": [s.get("m_id") for s in r.findall("source")], "target": None if target is None else target.get("m_id"),
-                    })
             for lo in range(0, len(rows), 10_000):
                 yield pa.RecordBatch.from_pylist(rows[lo : lo + 10_000], schema=_ARROW)
 

@@ -106,8 +106,25 @@ def write_text(lines: DataFrame, path: str, order: str) -> None:
 
 def write_scores(scores: DataFrame, path: str) -> None:
     """Metric list or pivot as CSV."""
-    scores.write.mode("overwrite").csv(path, header=True)
+    scores.write.mode("overwrite").csv(path, header=True, escape='"')
 
 
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
+
+
+def latex_lines(report: DataFrame, order: list[str]) -> DataFrame:
+    """``line, value`` of a LaTeX table of a report: every column as text, nulls empty, special characters escaped.
+
+    Lines are numbered in the report's order; a report is small, one row for each template.
+    """
+    from pyspark.sql import Window
+
+    special = lambda c: F.regexp_replace(c, r"([&%$#_{}])", r"\\$1")
+    names = " & ".join("".join("\\" + ch if ch in "&%$#_{}" else ch for ch in c) for c in report.columns)
+    cells = [special(F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in report.columns]
+    number = F.row_number().over(Window.orderBy(*[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order]))
+    body = report.select((number + 1).cast("long").alias("line"), F.concat(F.concat_ws(" & ", *cells), F.lit(" \\\\")).alias("value"))
+    head = report.sparkSession.createDataFrame([(0, "\\begin{tabular}{" + "l" * len(report.columns) + "}"), (1, names + " \\\\")], "line long, value string")
+    end = report.agg((F.count(F.lit(1)) + 2).alias("line")).select("line", F.lit("\\end{tabular}").alias("value"))
+    return head.unionByName(body).unionByName(end)

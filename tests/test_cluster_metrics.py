@@ -163,3 +163,117 @@ def test_hubs_are_split(spark, monkeypatch):
         for k, v in old.items():
             spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
     assert got > 28_000 and any("skew=true" in p for p in plans)
+
+
+def test_sparse_assignment_equals_dense():
+    import numpy as np
+
+    from mentionmill.operators.assignment import best_assignment, best_cells
+
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        n, m = rng.integers(1, 9, 2)
+        w = np.where(rng.random((n, m)) < rng.choice([0.3, 0.7, 1.0]), rng.integers(1, 6, (n, m)) / rng.choice([1.0, 7.0]), 0)
+        u, v = np.nonzero(w)
+        assert best_cells(u, v, w[u, v]) == pytest.approx(best_assignment(w)[1])
+    assert best_cells(np.array([], int), np.array([], int), np.array([])) == 0
+
+
+def test_assignments_of_linked_chains(spark):
+    """Components that are no stars, stars and single cells, over two blocks, against all permutations."""
+    import random
+    from itertools import permutations
+
+    from mentionmill.operators.cluster_metrics import ceaf_sums
+
+    rnd = random.Random(3)
+    key = [(b, i, f"k{rnd.randrange(5)}") for b in (1, 2) for i in range(30)] + [(3, 1, "a"), (3, 2, "a"), (4, 1, "x")]
+    resp = [(b, i, f"r{rnd.randrange(4)}") for b in (1, 2) for i in range(3, 33)] + [(3, 1, "p"), (3, 2, "q"), (4, 9, "y")]
+    got = {r.block: (r.ceafm_num, r.ceafe_num) for r in ceaf_sums(*(spark.createDataFrame(x, "block long, mention long, chain string") for x in (key, resp))).collect()}
+    for b in (1, 2, 3):
+        ks, rs = ({}, {})
+        for d, side in ((ks, key), (rs, resp)):
+            for blk, i, c in side:
+                if blk == b:
+                    d.setdefault(c, set()).add(i)
+        wide = list(rs.values()) + [set()] * len(ks)
+        for at, f in ((0, lambda x, y: len(x & y)), (1, lambda x, y: 2 * len(x & y) / (len(x) + len(y)) if x and y else 0)):
+            best = max(sum(f(x, y) for x, y in zip(ks.values(), p)) for p in permutations(wide, len(ks))) if len(wide) < 8 else None
+            if best is None:  # more rows than permutations can take: by subsets
+                from functools import cache
+
+                chains, others = list(ks.values()), list(rs.values())
+
+                @cache
+                def solve(i, used):
+                    if i == len(chains):
+                        return 0
+                    return max([solve(i + 1, used)] + [f(chains[i], others[j]) + solve(i + 1, used | 1 << j) for j in range(len(others)) if not used >> j & 1])
+
+                best = solve(0, 0)
+            assert got[b][at] == pytest.approx(best)
+    assert 4 not in got
+
+
+def plain_linkage(names, p, threshold):
+    groups = [[n] for n in names]
+    while len(groups) > 1:
+        d, x, y = min(
+            (round(1 - sum(p.get(frozenset((i, j)), 0.0) for i in groups[x] for j in groups[y]) / (len(groups[x]) * len(groups[y])), 12), x, y)
+            for x in range(len(groups)) for y in range(x + 1, len(groups))
+        )
+        if d >= threshold:
+            break
+        groups[x] += groups.pop(y)
+    return {n: min(g) for g in groups for n in g}
+
+
+def test_average_linkage_of_sparse_pairs(spark):
+    import random
+
+    from mentionmill.operators.scoring import average_linkage
+
+    rnd = random.Random(9)
+    rows = [(b, i, j, rnd.random()) for b in (1, 2) for i in range(14) for j in range(i + 1, 14) if rnd.random() < 0.6]
+    rows += [(3, 0, 1, 0.0), (3, 1, 2, 0.8), (3, 0, 2, 0.8)]
+    got = {}
+    for r in average_linkage(spark.createDataFrame(rows, "block long, a long, b long, p double"), [0.7, 0.3, 0.5]).collect():
+        got.setdefault((r.block, r.threshold), {})[r.mention] = r.cluster
+    for (b, th), clusters in got.items():
+        p = {frozenset((x, y)): v for blk, x, y, v in rows if blk == b}
+        assert clusters == plain_linkage(sorted({m for pair in p for m in pair}), p, th)
+    assert len(got) == 9
+
+
+def test_triangles_at_hubs(spark, monkeypatch):
+    """Neighbours of few and of many links give the same counts as sets."""
+    import random
+
+    from mentionmill.operators import scoring
+
+    rnd = random.Random(5)
+    pairs = [(b, i, j, rnd.choice([True, True, False, None]) if i else True) for b in (1, 2) for i in range(15) for j in range(i + 1, 15) if not i or rnd.random() < 0.5]
+    df = spark.createDataFrame(pairs, "block long, a long, b long, pred boolean")
+    near = {}
+    for b, i, j, p in pairs:
+        if p:
+            near.setdefault((b, i), set()).add(j)
+            near.setdefault((b, j), set()).add(i)
+    want = sorted((b, i, j, len(near.get((b, i), set()) & near.get((b, j), set())), len((near.get((b, i), set()) ^ near.get((b, j), set())) - {i, j})) for b, i, j, _ in pairs)
+    for light in (0, 4, 128):
+        monkeypatch.setattr(scoring, "LIGHT", light)
+        got = sorted((r.block, r.a, r.b, r.both, r.one) for r in scoring.neighbour_counts(df).collect())
+        assert got == want
+
+
+def test_thresholds_at_once(spark):
+    from mentionmill.operators import scoring
+    from mentionmill.operators.cluster_metrics import cluster_scores
+
+    scored = spark.createDataFrame([(1, i, j, ((i * 7 + j * 3) % 10) / 10) for i in range(8) for j in range(i + 1, 8)], "block long, a long, b long, score double")
+    gold = spark.createDataFrame([(1, i, f"c{i % 3}") for i in range(8)], "block long, mention long, chain string")
+    got = {r.threshold: r.conll_f for r in scoring.sweep_cluster_thresholds(scored, gold, [0.3, 0.6, 0.9]).collect()}
+    for t, f in got.items():
+        resp = scoring.cluster(scored, t).select("block", "mention", scoring.F.col("cluster").cast("string").alias("chain"))
+        assert f == pytest.approx(cluster_scores(gold, resp).first().conll_f)
+    assert len(got) == 3
