@@ -27,8 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .texthash import EXACT, blocks, hash_text, joined, mix_hash, small_batches, word_spans
-from .tokenmemo import HashTable
+from .texthash import Lanes, blocks, joined, small_batches, word_spans
+from .tokenmemo import MEMO_BYTES, ByteTable
 
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
@@ -94,8 +94,8 @@ class PieceMemo:
 
     Where a text's gaps are single blanks or line ends (and the model neither
     maps characters nor trims), its chunks are words with or without a marker
-    before them, and line ends; they are looked up by a 64-bit hash in numpy.
-    Other texts are cut by the chunk pattern and looked up one by one.
+    before them, and line ends; they are looked up in numpy by a 64-bit hash and
+    their bytes.  Other texts are cut by the chunk pattern and looked up one by one.
     """
 
     def __init__(self, path: str, threads: int):
@@ -118,11 +118,10 @@ class PieceMemo:
         self.clear()
 
     def clear(self):
-        self.table, self.index = HashTable(), {}
+        self.table, self.index = ByteTable(), {}
         self.flat, self.start, self.size = np.empty(0, np.uint16), np.empty(0, np.int32), np.empty(0, np.int32)
-        self.buffer: list[np.ndarray] = []
+        self.place = np.zeros(1 << 16, np.int32)  # where the chunks of the table's numbers are in the memo
         self.line = int(self._add(["\n"])[0])
-        self.table.add(np.array([1], np.uint64))
 
     def _add(self, chunks: list[str]) -> np.ndarray:
         """Encode new chunks; their places in the memo."""
@@ -143,13 +142,13 @@ class PieceMemo:
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, and n+1 offsets."""
-        if len(self.start) > MEMO_CHUNKS:
+        if len(self.start) > MEMO_CHUNKS or self.table.used > MEMO_BYTES:
             self.clear()
         texts = [t or "" for t in texts]
         if self.direct and any(len(t) > LONG for t in texts):
             return self._encode_long(texts)
         data, off = joined(texts)
-        s, e, prefix, inverse = word_spans(data, EXACT)
+        s, e = word_spans(data)
         first = np.searchsorted(s, off)
         # a word's gap: what stands before it; a text's own start counts as a blank
         gap = np.full(len(s), 2, np.int8)
@@ -174,17 +173,16 @@ class PieceMemo:
             bad[:] = True
         gap[heads] = 1
         use = ~bad[text_of]
-        keys = mix_hash(prefix, inverse, s, e) ^ np.where(gap == 1, np.uint64(0x9E3779B97F4A7C15), np.uint64(0))
+        own = np.flatnonzero(use)
+        numbers, new = self.table.number(Lanes(data), s[own], e[own], (gap[own] == 1).astype(np.int8))
+        if len(new):
+            raw, new = data.tobytes(), own[new]
+            words = [(MARK if g else "") + raw[x:y].decode("utf-8", "surrogatepass") for x, y, g in zip(s[new].tolist(), e[new].tolist(), gap[new].tolist())]
+            if self.table.count > len(self.place):
+                self.place = np.concatenate([self.place, np.zeros(self.table.count, np.int32)])
+            self.place[self.table.count - len(new) : self.table.count] = self._add(words)
         place = np.full(len(s), -1, np.int64)
-        place[use] = self.table.find(keys[use])
-        if len(miss := np.flatnonzero(use & (place < 0))):
-            new, at, back = np.unique(keys[miss], return_index=True, return_inverse=True)
-            raw, own = data.tobytes(), miss[at]
-            words = [(MARK if g else "") + raw[x:y].decode("utf-8", "surrogatepass") for x, y, g in zip(s[own].tolist(), e[own].tolist(), gap[own].tolist())]
-            # the table numbers its keys as they come; dictionary chunks get theirs there too
-            where = self._add(words)
-            self.table.add(new)
-            place[miss] = where[back]
+        place[own] = self.place[numbers]
         chunks, counts = [], np.zeros(len(texts), np.int64)
         units = np.where(gap == 0, 2, 1)
         units[~use] = 0
@@ -205,9 +203,7 @@ class PieceMemo:
             flat = list(chain.from_iterable(chunks))
             fresh = sorted({c for c in flat if c not in self.index})
             if fresh:
-                got = self._add(fresh)
-                self.table.add(np.array([hash_text(c) for c in fresh], np.uint64))
-                self.index.update(zip(fresh, got.tolist()))
+                self.index.update(zip(fresh, self._add(fresh).tolist()))
             at[slow] = np.fromiter(map(self.index.__getitem__, flat), np.int64, len(flat))
         ids, total = self._gather(at)
         return ids, total[bound]

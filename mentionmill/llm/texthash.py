@@ -1,28 +1,29 @@
 """Vectorised word hashing over UTF-8 bytes.
 
 A word is a run of bytes other than space and 0x09-0x0D, with A-Z lowered.
-Its hash is a polynomial modulo 2**64 over random odd byte values, finished
-with a 64-bit mixer and the word's length.  Everything is numpy over chunks of
-about 256 KB, so memory does not depend on the length of a text.
+Its hash takes eight bytes at a time through a 64-bit mixer, so words of one
+length up to eight bytes never share a hash, and longer ones only as random
+64-bit numbers do; words over ``LONG_WORD`` bytes are hashed by BLAKE2.  Where
+equal hashes must mean equal bytes, callers compare the bytes (``tokenmemo``).
+Everything is numpy over chunks of about 256 KB.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
 CHUNK = 1 << 18
 BATCH_ROWS = 2000
+LONG_WORD = 256
 _U = np.uint64
-_rng = np.random.default_rng(20240229)
-EXACT = (_rng.integers(0, 1 << 63, 256, dtype=np.int64).astype(_U) << _U(1)) | _U(1)
-_BYTE = EXACT.copy()
-for _c in range(65, 91):
-    _BYTE[_c] = _BYTE[_c + 32]
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
-_P = 0x9E3779B97F4A7C15 | 1
-_PINV = pow(_P, -1, 1 << 64)
-_POW: dict[str, np.ndarray] = {}
+#: Masks of the first 0 to 8 bytes of a little-endian lane.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], _U)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,18 +36,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "p" not in _POW or len(_POW["p"]) < n:
-        size = max(n, CHUNK + 1)
-        for name, base in (("p", _P), ("i", _PINV)):
-            a = np.full(size, base, _U)
-            a[0] = 1
-            _POW[name] = np.multiply.accumulate(a)
-    return _POW["p"][:n], _POW["i"][:n]
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
 
 
-def word_spans(data: np.ndarray, table: np.ndarray = _BYTE):
-    """Starts and ends of the words, prefix sums of the polynomial, and the inverse powers that shift it."""
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words."""
     edge = np.empty(len(data) + 1, np.int8)
     if len(data):
         body = (~_SPACE[data]).view(np.int8)
@@ -54,26 +49,38 @@ def word_spans(data: np.ndarray, table: np.ndarray = _BYTE):
         np.subtract(body[1:], body[:-1], out=edge[1:-1])
     else:
         edge[0] = 0
-    p, inv = _powers(len(data) + 1)
-    h = np.empty(len(data) + 1, _U)
-    h[0] = 0
-    v = table[data]
-    v *= p[: len(data)]
-    np.cumsum(v, out=h[1:])
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), h, inv
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def mix_hash(prefix: np.ndarray, inverse: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """Hash of the bytes s..e-1 of each span."""
-    return mix((prefix[e] - prefix[s]) * inverse[s] + (e - s).astype(_U) * _U(0xD6E8FEB86659FD93))
+class Lanes:
+    """Eight bytes from any place of an array, as one number."""
 
+    def __init__(self, data: np.ndarray):
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        self.data, self.view = data, np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
-def _piece(data: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    s, e, h, inv = word_spans(data, table)
-    return mix_hash(h, inv, s, e), s
+    def at(self, place: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The ``size`` bytes (at most 8 are taken) from each place."""
+        return self.view[place] & _FIRST[np.minimum(size, 8)]
 
 
-def word_hashes(data: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray, np.ndarray]:
+def span_hashes(lanes: Lanes, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Hash of the bytes s..e-1 of each span."""
+    size = e - s
+    h = mix(lanes.at(s, size) + size.astype(_U) * _U(0xD6E8FEB86659FD93))
+    left, at = np.flatnonzero((size > 8) & (size <= LONG_WORD)), 8
+    while len(left):
+        more = lanes.at(s[left] + at, size[left] - at)
+        h[left] = mix(h[left] * _U(0xE7037ED1A0B428DB) ^ more)
+        at += 8
+        left = left[size[left] > at]
+    for i in np.flatnonzero(size > LONG_WORD):
+        h[i] = int.from_bytes(blake2b(lanes.data[s[i] : e[i]], digest_size=8).digest(), "little")
+    return h
+
+
+def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(hash, start byte) of every word of a uint8 array, in order."""
     hs, ss, at, n = [], [], 0, len(data)
     while at < n:
@@ -83,10 +90,11 @@ def word_hashes(data: np.ndarray, table: np.ndarray = _BYTE) -> tuple[np.ndarray
             if len(cut):
                 end = at + int(cut[-1]) + 1
             else:  # a single word longer than a chunk
-                while end < n and not _SPACE[data[end]]:
-                    end += 1
-        h, s = _piece(data[at:end], table)
-        hs.append(h)
+                while end < n and not len(cut := np.flatnonzero(_SPACE[data[end : end + CHUNK]])):
+                    end = min(n, end + CHUNK)
+                end = end + int(cut[0]) + 1 if end < n else n
+        s, e = word_spans(data[at:end])
+        hs.append(span_hashes(Lanes(_LOWER[data[at:end]]), s, e))
         ss.append(s + at)
         at = end
     return (np.concatenate(hs), np.concatenate(ss)) if hs else (np.empty(0, _U), np.empty(0, np.int64))
@@ -123,13 +131,6 @@ def blocks(ids: list, texts: list, limit: int = CHUNK):
         yield ids[lo:], texts[lo:]
 
 
-def hash_text(text: str) -> int:
-    """64-bit hash of a whole text, blanks and all."""
-    from hashlib import blake2b
-
-    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little") | 1
-
-
 def doc_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, and n+1 offsets of each text's words."""
     data, off = joined(texts)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .language_id import beside, sample_rows
-from .texthash import _BYTE, blocks, joined, small_batches, word_hash, word_hashes
+from .texthash import blocks, joined, small_batches, word_hash, word_hashes
 
 SAMPLE, LEXICON, MIN_ODDS, NEAR, LEAST = 16_384, 4096, 2.5, 6, 0.3
 #: Insults in English.
@@ -55,7 +55,7 @@ def _stream(data: np.ndarray, off: np.ndarray, keep: np.ndarray, table: np.ndarr
     """Word hashes, their stem keys and text offsets of the bytes that are kept."""
     kept = table[data[keep]]
     place = np.concatenate([[0], np.cumsum(keep)])[off]
-    h, s = word_hashes(kept, _BYTE)
+    h, s = word_hashes(kept)
     return kept, h, s, np.searchsorted(s, place)
 
 
