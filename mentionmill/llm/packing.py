@@ -11,7 +11,8 @@
 A bin holds at most ``capacity`` pieces, so a row is bounded.
 
 Null or empty texts have one piece, the end id.  Rows with a null or repeated
-id are packed like others.  An empty table gives an empty result.
+id are packed like others.  An empty table gives an empty result.  Only the two
+named columns are read.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import Scratch
@@ -28,7 +30,7 @@ from .texthash import blocks, small_batches
 from .tokenmemo import word_memo
 
 PART_ROWS, FAN, CARRY, NEARLY = 50_000, 16, 20_000, 8
-_BIN = "bin long, fill int, docs array<long>, pieces array<int>, starts array<long>, lengths array<int>, crcs array<long>"
+_BIN = "bin long, fill int, docs array<long>, pieces array<int>, starts array<long>, lengths array<int>, crcs array<long>, places array<int>"
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
@@ -97,33 +99,45 @@ def _first(capacity: int):
         ]
         fill = np.add.reduceat(size[order], off[:-1]).astype(np.int32)
         part = t.column("part")[0].as_py()
-        return pa.table([pa.array(_numbers(part, len(bins))), pa.array(fill), *lists], schema=_SCHEMA)
+        places = pa.ListArray.from_arrays(off, pa.array(_places(size[order], off)))
+        return pa.table([pa.array(_numbers(part, len(bins))), pa.array(fill), *lists, places], schema=_SCHEMA)
 
     return run
 
 
 _SCHEMA = pa.schema([
     ("bin", pa.int64()), ("fill", pa.int32()), ("docs", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32())),
-    ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64())),
+    ("starts", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int32())), ("crcs", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())),
 ])
 
 
+def _places(lengths: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Where each piece begins in its bin; bin i holds the pieces off[i]..off[i+1]-1."""
+    before = np.cumsum(lengths, dtype=np.int64) - lengths
+    return (before - np.repeat(before[off[:-1]], np.diff(off))).astype(np.int32)
+
+
 def _numbers(part: int, n: int) -> np.ndarray:
     return (np.int64(part) << np.int64(32)) + np.arange(n, dtype=np.int64)
 
 
 def _merge(capacity: int):
     """One merge task: underfull bins packed into each other; a merged bin keeps its largest member's number."""
-    lists = ("docs", "pieces", "starts", "lengths", "crcs")
 
     def run(t: pa.Table) -> pa.Table:
         fill = t.column("fill").to_numpy()
         bins = best_fit(fill, capacity)
-        rows = {c: t.column(c).to_pylist() for c in lists}
-        number = t.column("bin").to_numpy()
-        cols = {c: [[x for i in b for x in rows[c][i]] for b in bins] for c in lists}
-        out = [pa.array([int(number[b[0]]) for b in bins], pa.int64()), pa.array([int(fill[b].sum()) for b in bins], pa.int32())]
-        return pa.table([*out, *(pa.array(cols[c], _SCHEMA.field(c).type) for c in lists)], schema=_SCHEMA)
+        order = np.array([i for b in bins for i in b], np.int64)
+        first = np.concatenate([[0], np.cumsum([len(b) for b in bins])])
+        moved = t.select(["docs", "pieces", "starts", "lengths", "crcs"]).combine_chunks().take(pa.array(order))
+        held = pa.compute.list_value_length(moved.column("docs").combine_chunks()).to_numpy()
+        off = np.concatenate([[0], np.cumsum(held)])[first].astype(np.int32)
+        flat = {c: moved.column(c).combine_chunks().flatten() for c in moved.column_names}
+        lists = [pa.ListArray.from_arrays(off, flat[c]) for c in moved.column_names]
+        places = pa.ListArray.from_arrays(off, pa.array(_places(flat["lengths"].to_numpy(), off)))
+        number = t.column("bin").to_numpy()[order[first[:-1]]]
+        total = np.add.reduceat(fill[order], first[:-1]).astype(np.int32)
+        return pa.table([pa.array(number), pa.array(total), *lists, places], schema=_SCHEMA)
 
     return run
 
@@ -132,11 +146,11 @@ def pack(pieces: DataFrame, capacity: int = 4096, nearly: int = NEARLY) -> DataF
     """Adds ``sequence_id`` and ``offset`` to ``piece_rows``."""
     spark = pieces.sparkSession
     scratch = Scratch(spark, "pack")
-    held = scratch.table(pieces, "pieces")
+    held = scratch.table(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
     n = held.count()
     parts = max(1, math.ceil(n / PART_ROWS))
-    # dealt by content, so a repeated task packs the same pieces
-    dealt = held.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "length"), F.lit(parts)).cast("int"))
+    # dealt by the written rows' own numbers, so a repeated task packs the same pieces and repeated rows spread
+    dealt = held.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(parts)).cast("int"))
     now = scratch.table(dealt.groupBy("part").applyInArrow(_first(capacity), _BIN), "bins0")
     done, k = [], 0
     while True:
@@ -160,8 +174,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, nearly: int = NEARLY) -> DataF
     bins = done[0]
     for d in done[1:]:
         bins = bins.unionByName(d)
-    ends = F.expr("transform(sequence(1, size(lengths)), i -> aggregate(slice(lengths, 1, i - 1), 0, (a, x) -> a + x))")
-    rows = bins.select("bin", F.explode(F.arrays_zip("docs", "pieces", "starts", "lengths", "crcs", ends.alias("at"))).alias("x"))
+    rows = bins.select("bin", F.explode(F.arrays_zip("docs", "pieces", "starts", "lengths", "crcs", F.col("places").alias("at"))).alias("x"))
     return rows.select(
         F.col("x.docs").alias("doc_id"), F.col("x.pieces").alias("piece"), F.col("x.starts").alias("start"),
         F.col("x.lengths").cast("long").alias("length"), F.col("x.crcs").alias("ids_crc32"),

@@ -8,7 +8,7 @@ raw 64-bit value (for values of 2**60 or more).
 
 File image (little-endian):
 
-    magic "S8BT", version u32, documents u64, values u64, words u64, blocks u64
+    magic "S8BT", version u32, documents without an id u64 (they come first), documents u64, values u64, words u64, blocks u64
     document ids   i64[documents]
     document ends  u64[documents]   exclusive, counted in values
     block offsets  u64[blocks + 1]  counted in words
@@ -27,7 +27,7 @@ BLOCK = 512
 #: Fixed values: (count, width in bits) of selectors 1 to 14.
 PACKINGS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30), (1, 60))
 MAGIC = b"S8BT"
-_HEAD = struct.Struct("<4sIQQQQ")
+_HEAD = struct.Struct("<4sIQQQQQ")
 _U = np.uint64
 
 
@@ -126,19 +126,24 @@ def unpack(words: np.ndarray, offsets: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def to_bytes(doc_ids: np.ndarray, ends: np.ndarray, values: np.ndarray) -> bytes:
-    """The file image of some documents' values."""
+def to_bytes(doc_ids: np.ndarray, ends: np.ndarray, values: np.ndarray, nulls: int = 0) -> bytes:
+    """The file image of some documents' values; the first ``nulls`` documents have no id."""
     words, offsets = pack(values)
-    head = _HEAD.pack(MAGIC, 1, len(doc_ids), len(values), len(words), len(offsets) - 1)
+    head = _HEAD.pack(MAGIC, 2, nulls, len(doc_ids), len(values), len(words), len(offsets) - 1)
     parts = (np.asarray(doc_ids, "<i8"), np.asarray(ends, "<u8"), offsets.astype("<u8"), words.astype("<u8"))
     return head + b"".join(p.tobytes() for p in parts)
 
 
+def null_ids(image: bytes) -> int:
+    """How many documents at the start of a file have no id."""
+    return _HEAD.unpack_from(image)[2]
+
+
 def from_bytes(image: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(document ids, ends, values) of a file image."""
-    magic, version, docs, n, nw, nb = _HEAD.unpack_from(image)
-    if magic != MAGIC or version != 1:
-        raise ValueError("not a token file of version 1")
+    magic, version, nulls, docs, n, nw, nb = _HEAD.unpack_from(image)
+    if magic != MAGIC or version != 2 or nulls > docs:
+        raise ValueError("not a token file of version 2")
     at = _HEAD.size
     ids = np.frombuffer(image, "<i8", docs, at)
     ends = np.frombuffer(image, "<u8", docs, at + 8 * docs).astype(np.int64)

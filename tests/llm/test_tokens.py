@@ -44,6 +44,41 @@ def test_memo_on_odd_and_long_texts(monkeypatch):
     assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == want
 
 
+def thue_morse(n):
+    a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return [a, a.translate({97: "b", 98: "a"})]
+
+
+def test_periodic_words_have_their_own_ids(spark):
+    """Words that a polynomial modulo 2**64 cannot tell apart, together and through the queries' operators."""
+    texts = [w for n in (8, 64, 256, 264, 1024, 4096) for w in thue_morse(n)]
+    ids, off = tokenmemo.WordMemo(WORDS).encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == plain_ids(texts)
+    memo = sentencepiece_backend.PieceMemo(PIECES, 1)
+    ids, off = memo.encode(texts)
+    assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [memo.own.encode(t) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: zlib.crc32(np.array(x + [2], "<u4").tobytes()) for i, x in enumerate(plain_ids(texts))}
+    folder = new_path(spark, "t")
+    manifest = token_files.write_token_files(docs, folder, WORDS, 2)
+    assert {r.doc_id: r.ids_crc32 for r in token_files.read_token_files(spark, folder, manifest).collect()} == want
+    check_packing(packing.pack(packing.piece_rows(docs, WORDS, 1, 256), 256).collect(), list(enumerate(texts)), 256)
+    assert all(r.parity and r.round_trip for r in sentencepiece_backend.encode_pieces(docs, PIECES).collect())
+
+
+def test_equal_hashes_are_told_apart_by_bytes(monkeypatch):
+    """With next to no hash at all, every word still has its own ids."""
+    monkeypatch.setattr(tokenmemo, "span_hashes", lambda lanes, s, e: ((e - s) % 3).astype(np.uint64))
+    texts = ODD + thue_morse(300) + ["x" * 400 + c for c in "abc"] + [" ".join(f"word{i} thing{i % 7}, {i}." for i in range(60))]
+    memo, pieces = tokenmemo.WordMemo(WORDS), sentencepiece_backend.PieceMemo(PIECES, 1)
+    for _ in range(2):
+        ids, off = memo.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == plain_ids(texts)
+        ids, off = pieces.encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(off[:-1], off[1:])] == [pieces.own.encode(t or "") for t in texts]
+    assert memo.table.other and pieces.table.other
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 50_000), st.integers(0, 2**64 - 1)), max_size=1500))
 def test_simple8b_round_trip(values):
@@ -83,6 +118,31 @@ def test_token_files(spark, awkward, monkeypatch):
     assert sum(r.n_tokens for r in manifest.collect()) == start
 
 
+def test_token_files_keep_every_id(spark):
+    ids = [None, None, -(2**63), -1, 0, 2**63 - 1]
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate(ids)], "doc_id long, text string")
+    folder = new_path(spark, "t")
+    got = token_files.read_token_files(spark, folder, token_files.write_token_files(docs, folder, WORDS, 2)).orderBy("start").collect()
+    assert [r.doc_id for r in got] == ids
+
+
+def test_starts_over_groups_of_partitions(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "GROUP", 3)
+    made = [(part, k, f"f{part}-{k}", 1, 1 + (part * 5 + k * 3) % 7) for part in range(11) if part != 4 for k in range(1 + part % 3)]
+    got = {r.file: r.start for r in token_files._with_starts(spark.createDataFrame(made[::-1], "part long, k long, file string, n_docs long, n_tokens long")).collect()}
+    start = 0
+    for _, _, name, _, n in made:
+        assert got[name] == start
+        start += n
+
+
+def test_repeated_and_empty_rows_are_packed(spark):
+    docs = [(1, "same text")] * 700 + [(i, "") for i in range(900)]
+    rows = packing.piece_rows(spark.createDataFrame(docs, "doc_id long, text string"), WORDS, 1, 64)
+    n, total = check_packing(packing.pack(rows, 64).collect(), docs, 64)
+    assert n <= -(-total // 64) + 1
+
+
 def test_token_files_of_nothing(spark, no_docs):
     folder = new_path(spark, "t")
     manifest = token_files.write_token_files(no_docs, folder, WORDS, 2)
