@@ -6,7 +6,7 @@ import re
 import numpy as np
 from compare import DATA, connect, rows
 
-from mentionmill.llm import q_jaccard
+from mentionmill.llm import jaccard_join, q_jaccard
 from mentionmill.llm.jaccard_join import band_shape, bands, dense_sketches, forest, jaccard_components, segment_keys, slack
 
 
@@ -115,3 +115,67 @@ def test_against_sql(spark):
     df = q_jaccard.op2_jaccard_join(spark, sf)
     r = connect(sf).execute(q_jaccard.SQL)
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([d[0] for d in r.description], r.fetchall())
+
+
+def thue_morse(n):
+    """Words that a polynomial modulo 2**64 cannot tell apart."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return a, a.translate({97: "b", 98: "a"})
+
+
+def test_periodic_words_are_told_apart(spark):
+    docs = list(enumerate(w for n in (64, 256, 1024, 4096) for w in thue_morse(n)))
+    got = jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.component_id == r.doc_id for r in got)
+
+
+def test_families_of_several_blocks(spark, monkeypatch):
+    """Blocks of a few texts: rounds, keys of different components, block pairs."""
+    texts = family(1, 60, 150, 5) + family(2, 40, 60, 3) + family(7, 25, 40, 9)
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {pct: brute(docs, 3, pct)[1] for pct in (90, 80)}
+    monkeypatch.setattr(jaccard_join, "BLOCK_ROWS", 7)
+    for turns, pct in ((0, 90), (2, 90), (1, 80)):
+        monkeypatch.setattr(jaccard_join, "TURNS", turns)
+        got = {r.doc_id: r.component_id for r in jaccard_components(df, pct=pct).collect()}
+        assert got == want[pct]
+
+
+def test_no_text_has_an_empty_segments_key():
+    """Random sets of all sizes keep only keys of segments that hold something."""
+    rng = np.random.default_rng(8)
+    lows = bands(80, 3000)
+    for n in (*range(lows[0], 40), 100, 900, 2500):
+        seen = {}
+        for i in range(30):
+            x = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
+            b = int(np.searchsorted(lows, n, "right")) - 1
+            for c in (b, b - 1):
+                if c >= 0:
+                    for key in segment_keys(x, c, *band_shape(lows[c], lows[c + 1], 80)).tolist():
+                        assert seen.setdefault((c, key), i) == i
+
+
+def test_filter_lets_all_ids_through(spark):
+    ids = [-(2**63), -5, 0, 3, 10**15, 2**63 - 1, *range(100, 3000, 7)]
+    may = jaccard_join._May(spark.createDataFrame([(i,) for i in ids], "doc_id long"))
+    import pyarrow as pa
+
+    got = may(pa.array([*ids, None, *range(10**6, 10**6 + 2000)], pa.int64()))
+    assert got[: len(ids)].all() and not got[len(ids)] and got[len(ids) + 1 :].sum() < 20
+
+
+def test_many_classes_are_joined_without_the_filter(spark, monkeypatch):
+    docs = list(enumerate(family(6, 40, 40, 6)))
+    monkeypatch.setattr(jaccard_join._May, "MOST", 0)
+    monkeypatch.setattr(jaccard_join, "HELD", 100)
+    got = {r.doc_id: r.component_id for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string"), k=5, pct=80).collect()}
+    assert got == brute(docs, 5, 80)[1]
+
+
+def test_ids_with_several_texts(spark):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    docs = [(5, one), (5, two), (3, two), (4, one), (9, three), (9, three)]
+    got = sorted((r.doc_id, r.component_id) for r in jaccard_components(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert got == [(3, 3), (4, 3), (5, 3), (5, 3), (9, 9), (9, 9)]
