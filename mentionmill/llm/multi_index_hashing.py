@@ -2,107 +2,149 @@
 
 Vectors get binary codes: signs after a learned rotation (iterative
 quantisation on a bounded sample; several rotations, each from its own start,
-give about ``BITS`` bits).  Codes are cut into bytes and each byte of a shard's
-codes is indexed.  To find every code within Hamming radius r of a query, byte
-i is probed at radius s_i with sum(s_i + 1) = r + 1: by the pigeonhole
-principle a code within r is within s_i on some byte i.  What the probes give is
-filtered by the true Hamming distance and reranked by Euclidean distance on the
-original vectors.  r is learned from the sample too: it covers ``COVER`` of the
-sample's own nearest neighbours, which are farther than those in the whole
-table.  A query for which a shard has too few codes within r is probed again at
-a larger radius.
+give about ``BITS`` bits; below ``FEW`` dimensions all but the first are random
+and cut at quantiles of the sample).  Codes are cut into substrings of about ``WIDTH`` bits
+and each substring's values in a shard are indexed.  To find every code within
+Hamming radius r of a query, substring i is probed at radius s_i with
+sum(s_i + 1) = r + 1: by the pigeonhole principle a code within r is within s_i
+on some substring i.  A probe looks up every value of its ball where these are
+fewer than the index's values, and else compares the query with those values.
+Everything the probes give is reranked by Euclidean distance on the original
+vectors, so what lies beyond r helps too.
+
+r is learned from the sample: its probes admit ``COVER`` of the sample's own
+nearest neighbours, as many of each as the k nearest of the whole table are on
+average in the sample.  A query for which a shard gives too few codes is probed
+again at a larger radius.  A shard of vectors of a length that the sample lacks
+learns its codes from its own vectors.
+
+See ``vector_search`` for nulls, ties, repeated rows and extra columns.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .vector_search import search, usable
 
-SAMPLE, BITS, COVER, ROUNDS = 4096, 256, 0.97, 12
-_POP = np.array([bin(i).count("1") for i in range(256)], np.int64)
-_NEAR = _POP[np.arange(256)[:, None] ^ np.arange(256)[None, :]]
+SAMPLE, BITS, WIDTH, COVER, ROUNDS, FEW = 4096, 128, 43, 0.95, 12, 16
+_U = np.uint64
 
 
 class Codes:
-    """Mean and rotations of one dimension, and the Hamming radius."""
+    """Mean and rotations of one dimension, and the Hamming radius.
+
+    ``share``: the part of all vectors that ``x`` is.
+    """
 
-    def __init__(self, x: np.ndarray, k: int, seed: int = 7):
+    def __init__(self, x: np.ndarray, k: int, seed: int = 7, share: float = 1.0):
         rng = np.random.default_rng(seed)
         self.mean = x.mean(0)
         z = x - self.mean
         basis = np.linalg.eigh(z.T @ z)[1][:, ::-1].T  # principal axes, the widest first
         z, d = z @ basis.T, x.shape[1]
-        turns = []
-        for _ in range(-(-BITS // d)):
+        turns, cut = [], []
+        for t in range(-(-BITS // d)):
             r, _ = np.linalg.qr(rng.standard_normal((d, d)))
-            for _ in range(ROUNDS):  # best signs for the rotation, then best rotation for the signs
+            plain = t and d < FEW  # few axes have few good rotations; the others are cut at quantiles instead
+            for _ in range(0 if plain else ROUNDS):  # best signs for the rotation, then best rotation for the signs
                 u, _, vt = np.linalg.svd(np.where(z @ r >= 0, 1.0, -1.0).T @ z)
                 r = (u @ vt).T
             turns.append(basis.T @ r)
-        turn = np.hstack(turns)
-        self.turn = turn[:, : max(64, turn.shape[1] // 64 * 64)] if turn.shape[1] >= 64 else turn
-        self.bits = self.turn.shape[1]
-        code = self.encode(x)
-        some = np.linspace(0, len(x) - 1, min(256, len(x))).astype(int)
+            cut.append(np.array([np.quantile(c, q) for c, q in zip((z @ r).T, rng.random(d))]) if plain else np.zeros(d))
+        turn, cut = np.hstack(turns), np.concatenate(cut)
+        self.bits = max(64, len(cut) // 64 * 64) if len(cut) >= 64 else len(cut)
+        self.turn, self.cut = turn[:, : self.bits], cut[: self.bits]
+        parts = substrings(self.encode(x), cuts_of(8 * -(-self.bits // 8)))
+        k, m = max(1, min(round(k * share), len(x) - 1)), len(parts)
         seen = []
-        for i in some:
+        for i in np.linspace(0, len(x) - 1, min(512, len(x))).astype(int):
             dist = ((x - x[i]) ** 2).sum(1)
             dist[i] = np.inf
-            near = np.argsort(dist)[: min(k, len(x) - 1)]
-            seen.append(np.bitwise_count(code[near] ^ code[i]).sum(1, dtype=np.int64))
+            near = np.argsort(dist)[: k if len(x) > 1 else 0]
+            # substring j alone admits a code from radius m * h + j on, h being their distance there
+            seen.append(np.min([m * np.bitwise_count(p[near] ^ p[i]).astype(np.int64) + j for j, p in enumerate(parts)], axis=0))
         seen = np.concatenate(seen) if seen else np.zeros(0)
-        self.radius = int(np.quantile(seen, COVER)) if len(seen) else self.bits
+        self.radius = int(np.quantile(seen, COVER, method="higher")) if len(seen) else self.bits
 
     def encode(self, x: np.ndarray) -> np.ndarray:
         """Codes as rows of bytes."""
-        return np.packbits((x - self.mean) @ self.turn >= 0, axis=1)
+        return np.packbits((x - self.mean) @ self.turn >= self.cut, axis=1)
+
+
+def cuts_of(bits: int) -> np.ndarray:
+    """Where codes of so many bits are cut."""
+    return np.linspace(0, bits, -(-bits // WIDTH) + 1).astype(int)
+
+
+def substrings(codes: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
+    """Each substring of the codes as a column of numbers."""
+    bits, out = np.unpackbits(codes, axis=1), []
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        padded = np.zeros((len(codes), 64), np.uint8)
+        padded[:, : b - a] = bits[:, a:b]
+        out.append(np.packbits(padded, axis=1, bitorder="little").view("<u8")[:, 0])
+    return out
 
 
 class MultiIndex:
-    """Each byte's index over one shard's codes."""
+    """An index of each substring of one shard's codes: its distinct values and their rows."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, n = codes, len(codes)
-        pad = -codes.shape[1] % 8
-        self.words = np.pad(codes, ((0, 0), (0, pad))).view(np.uint64)
-        self.order = np.argsort(codes, axis=0, kind="stable")
-        self.bound = np.array([np.searchsorted(codes[self.order[:, i], i], np.arange(257)) for i in range(codes.shape[1])])
+        self.codes, self.cuts = codes, cuts_of(8 * codes.shape[1])
+        self.widths = np.diff(self.cuts)
+        self.values, self.order, self.first = [], [], []
+        for part in substrings(codes, self.cuts):
+            values, back = np.unique(part, return_inverse=True)
+            self.values.append(values)
+            self.order.append(np.argsort(back, kind="stable"))
+            self.first.append(np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(values)))]))
+
+    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
+        """Rows with some substring near enough; among them all whose code is within ``radius``."""
+        m = len(self.widths)
+        base, more = divmod(radius + 1, m)
+        hit = np.zeros(len(self.codes), bool)
+        for i, part in enumerate(substrings(code[None], self.cuts)):
+            reach = base - 1 + (i < more)
+            if reach >= 0:
+                near = self._ball(i, part[0], reach)
+                size = self.first[i][near + 1] - self.first[i][near]
+                at = np.repeat(self.first[i][near] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                hit[self.order[i][at]] = True
+        return np.flatnonzero(hit)
+
+    def _ball(self, i: int, value: np.uint64, reach: int) -> np.ndarray:
+        """Places of the indexed values of substring i within ``reach`` of ``value``."""
+        values, width = self.values[i], int(self.widths[i])
+        if sum(comb(width, j) for j in range(min(reach, width) + 1)) >= len(values):
+            return np.flatnonzero(np.bitwise_count(values ^ value) <= reach)
+        flips = np.array([sum(1 << b for b in c) for j in range(reach + 1) for c in combinations(range(width), j)], _U)
+        at = np.searchsorted(values, flips ^ value)
+        at[at == len(values)] = 0
+        return at[values[at] == flips ^ value]
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within ``radius`` of ``code``: all of them."""
-        m, n = self.codes.shape[1], len(self.codes)
-        base, more = divmod(radius + 1, m)
-        reach = np.full(m, base - 1)
-        reach[:more] += 1
-        hit = np.zeros(n, bool)
-        for i in np.argsort(reach, kind="stable"):
-            if reach[i] < 0:
-                continue
-            for v in np.flatnonzero(_NEAR[code[i]] <= reach[i]) if reach[i] < 8 else (None,):
-                if v is None:
-                    hit[:] = True
-                else:
-                    hit[self.order[self.bound[i, v] : self.bound[i, v + 1], i]] = True
-            if hit.all():
-                break
-        rows = np.flatnonzero(hit)
-        want = np.pad(code, (0, -m % 8)).view(np.uint64)
-        return rows[np.bitwise_count(self.words[rows] ^ want).sum(1, dtype=np.int64) <= radius]
+        rows = self.probe(code, radius)
+        return rows[np.bitwise_count(self.codes[rows] ^ code).sum(1, dtype=np.int64) <= radius]
 
 
 def kernel(models: dict[int, Codes]):
     def run(uids, x, queries, bounds, k):
-        model = models[x.shape[1]]
+        model = models.get(x.shape[1]) or Codes(np.unique(x[:SAMPLE], axis=0), k)
         index = MultiIndex(model.encode(x))
         out = []
         for q, code, bound in zip(queries, model.encode(queries), bounds):
             radius = model.radius
-            rows = index.within(code, radius)
+            rows = index.probe(code, radius)
             while len(rows) < min(k, len(x)):
                 radius = min(model.bits, radius + max(1, model.bits // 32))
-                rows = index.within(code, radius)
+                rows = index.probe(code, radius)
             dist = np.sqrt(((x[rows] - q) ** 2).sum(1))
             if bound is not None:
                 keep = dist <= bound
@@ -115,16 +157,16 @@ def kernel(models: dict[int, Codes]):
 
 
 def learn(vectors: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embedding", sample: int = SAMPLE) -> dict[int, Codes]:
-    """A model for each vector length, from at most ``sample`` vectors chosen by a hash of the id."""
+    """A model for each vector length among at most ``sample`` vectors, chosen by a hash of the id."""
     rows = usable(vectors, id_col, vec_col, nonzero=True)
     n = rows.count()
     slot = F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(1 << 30))
     picked = rows.where(slot < F.lit(int(min(1.0, 0.9 * sample / max(1, n)) * (1 << 30)))) if n > sample else rows
     picked = picked.limit(sample).collect()
-    by: dict[int, list] = {r[0]: [] for r in rows.select(F.size("v")).distinct().limit(1000).collect()}
+    by: dict[int, list] = {}
     for r in picked:
         by.setdefault(len(r.v), []).append(r.v)
-    return {d: Codes(np.unique(np.array(v or [[1.0] * d, [-1.0] * d], float), axis=0), k) for d, v in by.items()}
+    return {d: Codes(np.unique(np.array(v, float), axis=0), k, share=len(picked) / n) for d, v in by.items()}
 
 
 def nearest_neighbours(vectors: DataFrame, every: int = 100, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:

@@ -11,7 +11,9 @@ and returns only what reaches it.
 
 Vectors that are null, empty or hold null or non-finite values take no part,
 nor do rows with a null id.  Vectors are compared only with those of their own
-length.  Ties go to the smaller id; repeated rows of one id count once.
+length.  Ties go to the smaller id; repeated rows of one id count once, with the
+smallest of their vectors.  Only the two named columns are read, so the names of
+others cannot clash.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ def search(
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark, "search")
-    rows = scratch.table(usable(vectors, id_col, vec_col, nonzero).dropDuplicates(["vec_id"]).withColumn("h", F.xxhash64("v")), "rows")
+    rows = usable(vectors, id_col, vec_col, nonzero).groupBy("vec_id").agg(F.min("v").alias("v"))
+    rows = scratch.table(rows.withColumn("h", F.xxhash64("v")), "rows")
     first = Window.partitionBy("h", "v").orderBy("vec_id")
     few = rows.withColumn("rn", F.row_number().over(first)).where(F.col("rn") <= k + 1)
     classes = few.groupBy("h", "v").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))

@@ -86,6 +86,56 @@ def test_probes_find_every_code_in_the_radius():
             assert index.within(q, radius).tolist() == want.tolist()
 
 
+def test_small_balls_are_looked_up():
+    rng = np.random.default_rng(6)
+    codes = rng.integers(0, 256, (3000, 16), dtype=np.uint8)
+    codes[1000:] = codes[:2000]
+    for flips in range(1, 7):
+        codes[flips * 100 : flips * 100 + 50, rng.integers(0, 16, 50)] ^= np.uint8(1 << flips)
+    index = MultiIndex(codes)
+    for radius in (0, 1, 2, 3, 5, 6):
+        for q in codes[[5, 130, 650]]:
+            assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= radius).tolist()
+
+
+@pytest.mark.parametrize("table", ["sf0.1/embeddings.parquet", "check_h/embeddings.parquet"])
+def test_probes_admit_few_and_miss_few(table):
+    """The share of a shard that the probes admit, and the recall of what they admit."""
+    import pyarrow.dataset as ds
+
+    x = np.array(ds.dataset(f"{DATA}/{table}").to_table(columns=["embedding"]).column("embedding").to_pylist(), float)
+    model = Codes(np.unique(x[np.random.default_rng(1).permutation(len(x))[:4096]], axis=0), 10, share=min(1, 4096 / len(x)))
+    index = MultiIndex(model.encode(x))
+    admitted, found, asked = [], 0, 0
+    for i in range(0, len(x), len(x) // 100):
+        dist = ((x - x[i]) ** 2).sum(1)
+        dist[i] = np.inf
+        near, rows = np.argsort(dist)[:10], index.probe(model.encode(x[i : i + 1])[0], model.radius)
+        admitted.append(len(rows) / len(x))
+        found, asked = found + len(np.intersect1d(near, rows)), asked + 10
+    assert np.mean(admitted) < 0.3 and found >= 0.9 * asked
+
+
+def test_one_id_with_two_vectors(spark):
+    data = [(100, [1.0, 0.0]), (7, [9.0, 9.0]), (7, [0.5, 0.5]), (8, [2.0, 2.0])]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    for d in (df, df.repartition(3)):
+        got = [(r["rank"], r.vec_id, r.score) for r in nearest_neighbours(d).orderBy("rank").collect()]
+        assert [x[:2] for x in got] == [(1, 7), (2, 8)] and got[0][2] == math.dist([1, 0], [0.5, 0.5])
+
+
+def test_lengths_that_the_sample_lacks(spark):
+    rng = np.random.default_rng(2)
+    data = [(i, rng.standard_normal(2 + i % 3).tolist()) for i in range(1, 400)]
+    df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
+    from mentionmill.llm import vector_search as v
+    from mentionmill.llm.multi_index_hashing import kernel
+
+    got = {(r.query_id, r.vec_id) for r in v.search(df, 100, 10, kernel({}), largest=False, score_type="double", nonzero=True).collect()}
+    want = {(q, c) for q, _, c, _ in brute(data, 100, 10, math.dist, nonzero=True)}
+    assert len(got & want) >= 0.9 * len(want)
+
+
 def test_codes_follow_the_data():
     x = np.random.default_rng(4).standard_normal((300, 16))
     m = Codes(x, 10)
