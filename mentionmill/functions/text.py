@@ -25,6 +25,14 @@ UNTOKENIZE = (
     ("s", "p. m.", "p.m."), ("s", "a. m.", "a.m."), ("s", "P. M.", "P.M."), ("s", "A. M.", "A.M."), ("s", "[EOS]", ""),
     ("r", r'"\s?([^\]]*?)\s?"', '"$1"'), ("s", ',"', ', "'), ("s", '."', '. "'),
 )
+#: The older rules, likewise.
+UNTOKENIZE_OLDER = (
+    ("s", "`` ", '"'), ("s", " ''", '"'), ("s", ". . .", "..."), ("s", " ( ", " ("), ("s", " ) ", ") "),
+    ("r", r" ([.,:;?!%]+)([ '`])", "$1$2"), ("r", r" ([.,:;?!%]+)$", "$1"), ("s", " '", "'"), ("s", " n't", "n't"), ("s", "can not", "cannot"),
+    ("s", " ` ", " '"), ("s", " -", "-"), ("s", "- ", "-"), ("s", " ,", ","), ("s", " /", "/"), ("s", "/ ", "/"),
+    ("s", " ’ s", "'s"), ("s", "“ ", "“"), ("s", " ”", "”"), ("s", "www. ", "www."), ("s", ". com", ".com"), ("s", " _ ", "_"),
+    ("s", "p. m.", "p.m."), ("s", "a. m.", "a.m."), ("r", r'"\s?([^\]]*?)\s?"', '"$1"'),
+)
 ADDRESS = r"^(?:http|ftp|https)://[\w_-]+(?:\.[\w_-]+)+[\w.,@?^=%&:/~+#-]*[\w@?^=%&/~+#-]"
 
 
@@ -132,10 +140,10 @@ def chat_messages(prefix: str | Column, question: str = "Q:", answer: str = "A:"
     return F.transform(lines, lambda x: F.struct(role(x).alias("role"), text(x).alias("content")))
 
 
-def untokenize(text: str | Column, keep_address: bool = True) -> Column:
+def untokenize(text: str | Column, keep_address: bool = True, rules: tuple = UNTOKENIZE) -> Column:
     """Blanks and punctuation put back where people expect them; a leading address is split from the text, or dropped."""
     out = _c(text)
-    for kind, a, b in UNTOKENIZE:
+    for kind, a, b in rules:
         out = F.replace(out, F.lit(a), F.lit(b)) if kind == "s" else F.regexp_replace(out, a, b)
     return split_address(out, keep_address)
 
@@ -183,6 +191,11 @@ def parse_pair_dicts(text: str | Column) -> Column:
     return F.from_json(listed, schema, {"allowSingleQuotes": "true"})
 
 
+def string_keys(held: str | Column) -> Column:
+    """A map with its keys as text, as JSON needs them."""
+    return F.transform_keys(_c(held), lambda k, _: k.cast("string"))
+
+
 def parse_counts(text: str | Column) -> Column:
     """``[1, 2, 3]`` as an array of integers."""
     return F.from_json(_c(text), "array<int>")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
+
+from ..storage import Scratch
 
 #: Tag and chain-id parts in the order they are tested, with the mention types.
 TAG_TYPES = (("ACTION", "ACT"), ("LOC", "LOC"), ("NON", "NON"), ("HUMAN", "HUM"), ("TIME", "TIM"))
@@ -121,7 +123,11 @@ def union_checked(parts: list[DataFrame], expected: int | None = None) -> DataFr
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    if expected is not None and (n := out.count()) != expected:
+    if expected is None:
+        return out
+    seen = Observation()  # counted as the union is written, so its parts run once
+    out = Scratch(out.sparkSession, "union").table(out.observe(seen, F.count(F.lit(1)).alias("n")), "rows")
+    if (n := seen.get["n"]) != expected:
         raise ValueError(f"{n} rows, expected {expected}")
     return out
 
@@ -162,11 +168,48 @@ def conll_order() -> list[Column]:
     return [F.col("doc_id").contains("plus").asc(), F.col("topic_id").asc(), F.col("doc_id").asc(), F.col("sent_id").asc(), F.col("start").desc()]
 
 
+def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
+    """Rows numbered from 1 in an order, by range partitions: places within a partition, plus the rows of those before it."""
+    held = Scratch(rows.sparkSession, "numbered").table(rows.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), "rows")
+    part = F.shiftright("_at", 33)
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = held.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))  # a row for each partition
+    out = held.withColumn("_part", part).join(sizes, "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).drop("_part", "_before", "_at")
+
+
+def running_index(rows: DataFrame, order: list, name: str = "index") -> DataFrame:
+    """Rows numbered from 0 in an order, as predictions are matched to their pairs."""
+    return numbered(rows, order, "_number").withColumn(name, F.col("_number") - 1).drop("_number")
+
+
+def present(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that have all of some columns (mentions that were found)."""
+    return rows.dropna(how="any", subset=columns)
+
+
+def by_first_token(mentions: DataFrame, by: list[str], tokens: str = "tokens_ids") -> DataFrame:
+    """``nth``: place of a mention in its document by its first token, then by all of them; from 1."""
+    w = Window.partitionBy(*by).orderBy(F.get(tokens, F.lit(0)).asc_nulls_last(), tokens)
+    return mentions.withColumn("nth", F.row_number().over(w))
+
+
+def offset_clusters(rows: DataFrame, topic: str = "topic", cluster: str = "cluster") -> DataFrame:
+    """Cluster numbers made distinct over topics: each topic's begin after the largest one before it."""
+    w = Window.partitionBy(F.lit(0)).orderBy(topic).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(topic).agg((F.max(cluster) + 1).alias("_n"))  # a row for each topic
+    starts = sizes.select(topic, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_start"))
+    return rows.join(starts, topic).withColumn(cluster, F.col(cluster) + F.col("_start")).drop("_start")
+
+
 def first_appearance(rows: DataFrame, value: str, order: str, block: list[str] = ()) -> DataFrame:
     """``number``: dense index of a value by its first place (from 0).
 
     First places come from one aggregation; the numbering orders distinct values only.
     """
     first = rows.groupBy(*block, value).agg(F.min(order).alias("_first"))
-    w = Window.partitionBy(*block).orderBy("_first", value) if block else Window.orderBy("_first", value)
-    return rows.join(first.select(*block, value, (F.row_number().over(w) - 1).alias("number")), [*block, value])
+    if block:
+        number = F.row_number().over(Window.partitionBy(*block).orderBy("_first", value)) - 1
+        return rows.join(first.select(*block, value, number.alias("number")), [*block, value])
+    placed = numbered(first, ["_first", value], "number")
+    return rows.join(placed.select(value, (F.col("number") - 1).alias("number")), value)

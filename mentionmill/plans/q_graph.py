@@ -15,6 +15,14 @@ _COUNTED = f"""(WITH e AS {_EDGES}, p AS {B.PREDICTIONS},
 _OWN = "CASE WHEN pred THEN {0} WHEN NOT pred THEN -{0} ELSE 0 END"
 
 
+@query(f"""SELECT block, a, b, CASE WHEN a % 4 = 0 THEN NULL WHEN (b % 5)::DOUBLE / (a % 4) >= 0.5 THEN truth ELSE NOT truth END AS pred FROM {B.PREDICTIONS}""")
+def votes_to_predictions(spark, sf_dir):
+    """Three-valued predictions of unordered pairs from counts of right and valid answers; a pair given both ways is one."""
+    p = B.predictions(spark, sf_dir).withColumn("label", F.col("truth").cast("int")).withColumn("correct", F.col("b") % 5).withColumn("valid", F.col("a") % 4)
+    p = p.withColumn("pred", scoring.votes_to_prediction("label", "correct", "valid")).select("block", "a", "b", "pred")
+    return scoring.canonical(p.unionByName(p.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "pred")))
+
+
 @query(f"SELECT block, a, b, both_n AS \"both\", one_n AS one, (both_n - one_n + {_OWN.format(2)})::DOUBLE AS score FROM {_COUNTED}")
 def score_neighbour_votes(spark, sf_dir):
     return scoring.score_votes(B.predictions(spark, sf_dir)).select("block", "a", "b", "both", "one", "score")
@@ -60,7 +68,17 @@ def conditional_probabilities(spark, sf_dir):
     return B.rounded(scoring.conditional_probabilities(scoring.triangle_statistics(B.predictions(spark, sf_dir))))
 
 
-@query()
+def _odds(li: int, count: str) -> str:
+    return f"CASE WHEN {count} = 0 THEN 0 ELSE {count} * (SELECT ln(nullif(q, 0)) FROM r WHERE r.l0 = pred::INT AND r.li = {li}) END"
+
+
+@query(f"""WITH t AS (SELECT * FROM {_STATS}), c AS {_COUNTED},
+  m AS (SELECT block, count(DISTINCT x) AS mentions FROM (SELECT block, unnest([a, b]) AS x FROM {B.PREDICTIONS}) GROUP BY block),
+  r AS (SELECT l0, li, (n1 / s1) / (n / s) AS q FROM (SELECT l0, li, sum(n)::DOUBLE AS n, coalesce(sum(n) FILTER (cab = 1), 0)::DOUBLE AS n1 FROM t GROUP BY ALL)
+    JOIN (SELECT l0, sum(n)::DOUBLE AS s, sum(n) FILTER (cab = 1)::DOUBLE AS s1 FROM t GROUP BY l0) USING (l0)),
+  k AS (SELECT c.*, mentions - 2 - both_n - one_n AS none_n FROM c JOIN m USING (block))
+  SELECT block, a, b, CASE WHEN pred IS NOT NULL THEN round(exp((SELECT ln(sum(n) FILTER (cab = 1)::DOUBLE / sum(n)) FROM t)
+    + {_odds(0, "none_n")} + {_odds(1, "one_n")} + {_odds(2, "both_n")}), 6) END AS score FROM k""")
 def score_naive_bayes(spark, sf_dir):
     """Naive Bayes scores from the table's own statistics."""
     p = B.predictions(spark, sf_dir)

@@ -128,3 +128,40 @@ def nested_parse_pages(spark, sf_dir):
     """Nested markup read by patterns (pages need not be well-formed)."""
     count = lambda p: F.size(F.regexp_extract_all("html", F.lit(p), F.lit(0))).cast("long")
     return B.read(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"), count(r"(?i)<a\s").alias("n_links"), count("(?i)<p[ >]").alias("n_paragraphs"))
+
+
+@query(f"SELECT mention, topic, gold FROM {B.MENTIONS} WHERE gold % 3 <> 0")
+def mentions_present(spark, sf_dir):
+    """Mentions that were found; the others are null."""
+    m = B.mentions(spark, sf_dir).select(F.when(F.col("gold") % 3 != 0, F.col("mention")).alias("mention"), "topic", F.when(F.col("gold") % 3 != 0, F.col("gold")).alias("gold"))
+    return filters.present(m, ["mention", "gold"])
+
+
+@query(f"SELECT block, a, b, row_number() OVER (ORDER BY block, a, b) - 1 AS index FROM {B.PREDICTIONS}")
+def running_prediction_index(spark, sf_dir):
+    """Place of each prediction in the order in which pairs were asked."""
+    return filters.running_index(B.predictions(spark, sf_dir).select("block", "a", "b"), ["block", "a", "b"])
+
+
+@query(f"""SELECT doc_id, mention, row_number() OVER (PARTITION BY doc_id ORDER BY (mention * 7) % 50, mention) AS nth FROM {B.MENTIONS}""")
+def mentions_by_first_token(spark, sf_dir):
+    m = B.mentions(spark, sf_dir).withColumn("tokens_ids", F.array(F.col("mention") * 7 % 50, F.col("mention")))
+    return filters.by_first_token(m, ["doc_id"]).select("doc_id", "mention", F.col("nth").cast("long").alias("nth"))
+
+
+@query(f"""WITH n AS (SELECT topic, coalesce(sum(max(gold) + 1) OVER (ORDER BY topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {B.MENTIONS} GROUP BY topic)
+  SELECT topic, mention, (gold + start)::BIGINT AS cluster FROM {B.MENTIONS} JOIN n USING (topic)""")
+def clusters_over_topics(spark, sf_dir):
+    """Cluster numbers of each topic after those of the topics before it."""
+    m = B.mentions(spark, sf_dir).select("topic", "mention", F.col("gold").cast("long").alias("cluster"))
+    return filters.offset_clusters(m).select("topic", "mention", "cluster")
+
+
+@query(f"SELECT mention, ['x' || mention, 'x' || (mention + 1)] AS keys, [gold, topic] AS \"values\" FROM {B.MENTIONS}")
+def string_keys(spark, sf_dir):
+    """Maps with numbers for keys, their keys as text."""
+    from ..functions import text
+
+    held = F.create_map(F.col("mention"), F.col("gold").cast("long"), F.col("mention") + 1, F.col("topic"))
+    m = B.mentions(spark, sf_dir).select("mention", text.string_keys(held).alias("m"))
+    return m.select("mention", F.transform(F.map_keys("m"), lambda k: F.concat(F.lit("x"), k)).alias("keys"), F.map_values("m").alias("values"))

@@ -27,15 +27,19 @@ def raw_documents(spark, sf_dir):
     return text.raw_document(B.sentences(spark, sf_dir), ["doc_id"], "sent_id", "@@@")
 
 
-_PAIRS = f"""(SELECT x.doc_id * 1000000 + x.pos * 1000 + y.pos AS pair_id, x.doc_id, x.sent_id AS s1, y.sent_id AS s2 FROM {B.TURN_MENTIONS} x JOIN {B.TURN_MENTIONS} y ON x.doc_id = y.doc_id AND x.pos < y.pos
-  WHERE x.start = 0 AND y.start = 0)"""
+#: Whole turns as mentions: (doc_id, sent_id, tokens) that have a token.
+_WHOLE = f"(SELECT doc_id, sent_id, array_to_string(tokens, ' ') AS text FROM {B.SENTENCES} WHERE len(tokens) > 0)"
+_PAIRS = f"""(SELECT x.doc_id * 1000000 + x.sent_id * 1000 + y.sent_id AS pair_id, x.doc_id, x.sent_id AS s1, y.sent_id AS s2, x.text AS m1, y.text AS m2
+  FROM {_WHOLE} x JOIN {_WHOLE} y ON x.doc_id = y.doc_id AND x.sent_id < y.sent_id)"""
 
 
 def _pairs(spark, sf_dir):
-    m = B.turn_mentions(spark, sf_dir).where("start = 0").withColumn("pos", F.col("sent_id") * 100)
+    """Pairs of turns of a conversation, each a mention from its first token to its last."""
+    s = B.sentences(spark, sf_dir).where("size(tokens) > 0")
+    m = s.select("doc_id", "sent_id", F.col("sent_id").alias("pos"), F.lit(0).alias("start"), (F.size("tokens") - 1).alias("end"), F.array_join("tokens", " ").alias("text"))
     p = pairs.within_block(m, "doc_id")
     pid = F.col("doc_id") * 1000000 + F.col("m1_pos") * 1000 + F.col("m2_pos")
-    cols = [F.col(f"{m}_{a}").alias(f"{m}_{b}") for m in ("m1", "m2") for a, b in (("sent_id", "sent"), ("start", "start"), ("start", "end"), ("text", "text"))]
+    cols = [F.col(f"{m}_{a}").alias(f"{m}_{b}") for m in ("m1", "m2") for a, b in (("sent_id", "sent"), ("start", "start"), ("end", "end"), ("text", "text"))]
     return p.select(pid.alias("pair_id"), F.col("doc_id").alias("m1_doc"), F.col("doc_id").alias("m2_doc"), *cols)
 
 
@@ -57,7 +61,7 @@ def context_document(spark, sf_dir):
     return text.pair_contexts(_pairs(spark, sf_dir), _turns(spark, sf_dir), "doc", selected_only=True)
 
 
-@query(f"""WITH t AS (SELECT pair_id, s.sent_id, ' <mention>' || {_sentence("tokens[1:1]")[1:-1].split(" || CASE WHEN")[0]} || ' </mention>' || array_to_string([CASE WHEN t IN {_NB} THEN t ELSE ' ' || t END FOR t IN tokens[2:]], '')
+@query(f"""WITH t AS (SELECT pair_id, s.sent_id, ' <mention>' || array_to_string([CASE WHEN t IN {_NB} THEN t ELSE ' ' || t END FOR t IN tokens], '') || ' </mention>'
     || CASE WHEN tokens[-1] IN ('.', '!', '?', '''''') THEN '' ELSE '.' END AS x FROM {_PAIRS} p JOIN {B.SENTENCES} s ON s.doc_id = p.doc_id AND s.sent_id IN (p.s1, p.s2))
   SELECT pair_id, replace(replace(trim(string_agg(x, ' $$' ORDER BY sent_id)), '`` ', '"'), ' ''''', '"') AS context FROM t GROUP BY pair_id""")
 def context_marked(spark, sf_dir):
@@ -65,9 +69,8 @@ def context_marked(spark, sf_dir):
     return text.pair_contexts(_pairs(spark, sf_dir), _turns(spark, sf_dir), "sent", mark=True, splitter=" $$")
 
 
-@query(f"""WITH c AS (SELECT pair_id, any_value(m1) AS m1, any_value(m2) AS m2, trim(string_agg({_sentence("tokens")}, '' ORDER BY sent_id)) AS context FROM
-    (SELECT p.*, a.text AS m1, b.text AS m2 FROM {_PAIRS} p JOIN {B.TURN_MENTIONS} a ON a.doc_id = p.doc_id AND a.sent_id = p.s1 AND a.start = 0 JOIN {B.TURN_MENTIONS} b ON b.doc_id = p.doc_id AND b.sent_id = p.s2 AND b.start = 0) p
-    JOIN {B.SENTENCES} s ON s.doc_id = p.doc_id AND s.sent_id BETWEEN p.s1 AND p.s2 GROUP BY pair_id)
+@query(f"""WITH c AS (SELECT pair_id, any_value(m1) AS m1, any_value(m2) AS m2, replace(replace(trim(string_agg({_sentence("tokens")}, '' ORDER BY sent_id)), '`` ', '"'), ' ''''', '"') AS context
+    FROM {_PAIRS} p JOIN {B.SENTENCES} s ON s.doc_id = p.doc_id AND s.sent_id BETWEEN p.s1 AND p.s2 GROUP BY pair_id)
   SELECT pair_id, '22MAU' AS template_id, '''' || context || ''' Here, does ''' || m2 || ''' stand for ''' || m1 || '''? Yes or no? ' AS prompt FROM c
   UNION ALL SELECT pair_id, '24MAU', '''' || context || ''' I think ''' || m2 || ''' means ''' || m1 || '''. Yes or no?' FROM c""")
 def prompts(spark, sf_dir):
@@ -85,20 +88,25 @@ def template_table(spark, sf_dir):
     return templates.templates(spark).agg(F.count(F.lit(1)).alias("n"), F.min("number").alias("first"), F.max("number").alias("last"))
 
 
-@query(f"""SELECT role, string_agg('Q: ' || array_to_string(tokens[1:3], ' ') || ' A: ' || len(tokens), chr(10) ORDER BY doc_id) AS prefix FROM {B.SENTENCES} WHERE sent_id = 1 GROUP BY role""")
+@query(f"""SELECT doc_id, string_agg('Q: ' || array_to_string(tokens, ' ') || ' A: ' || len(tokens), chr(10) ORDER BY sent_id) AS prefix FROM {B.SENTENCES} GROUP BY doc_id""")
 def few_shot_prefix(spark, sf_dir):
-    s = B.sentences(spark, sf_dir).where("sent_id = 1")
-    rows = s.select("role", "doc_id", F.concat(F.lit("Q: "), F.array_join(F.slice("tokens", 1, 3), " ")).alias("prompt"), F.concat(F.lit("A: "), F.size("tokens").cast("string")).alias("answer"))
-    return text.few_shot_prompt(rows, ["role"], "doc_id")
+    """Every turn of a conversation as a worked example."""
+    s = B.sentences(spark, sf_dir)
+    rows = s.select("doc_id", "sent_id", F.concat(F.lit("Q: "), F.array_join("tokens", " ")).alias("prompt"), F.concat(F.lit("A: "), F.size("tokens").cast("string")).alias("answer"))
+    return text.few_shot_prompt(rows, ["doc_id"], "sent_id")
+
+
+def _untok(rules) -> str:
+    """The rules applied to ``t``, in SQL."""
+    out = "t"
+    for kind, a, b in rules:
+        qa, qb = (x.replace("'", "''") for x in (a, b))
+        out = f"replace({out}, '{qa}', '{qb}')" if kind == "s" else f"regexp_replace({out}, '{qa}', '{qb.replace('$', chr(92))}', 'g')"
+    return out
 
 
-_UNTOK = "t"
-for _kind, _a, _b in text.UNTOKENIZE:
-    _qa, _qb = (x.replace("'", "''") for x in (_a, _b))
-    if _kind == "s":
-        _UNTOK = f"replace({_UNTOK}, '{_qa}', '{_qb}')"
-    else:
-        _UNTOK = f"regexp_replace({_UNTOK}, '{_qa}', '{_qb.replace('$', chr(92))}', 'g')"
+_UNTOK = _untok(text.UNTOKENIZE)
+_SOURCE = f"""(SELECT doc_id, sent_id, regexp_replace(array_to_string(tokens, ' '), '([.,])', ' \\1', 'g') || ' `` a b '' . . . ( c ) can not do n''t p. m. " x "' AS t FROM {B.SENTENCES})"""
 
 
 @query(f"""SELECT doc_id, sent_id, {_UNTOK} AS text FROM (SELECT doc_id, sent_id, regexp_replace(array_to_string(tokens, ' '), '([.,])', ' \\1', 'g') || ' `` a b '' . . . ( c ) can not do n''t p. m. " x "' AS t FROM {B.SENTENCES})""")
@@ -108,6 +116,13 @@ def untokenized(spark, sf_dir):
     return B.sentences(spark, sf_dir).select("doc_id", "sent_id", text.untokenize(t).alias("text"))
 
 
+@query(f"""SELECT doc_id, sent_id, {_untok(text.UNTOKENIZE_OLDER)} AS text FROM {_SOURCE}""")
+def untokenized_by_older_rules(spark, sf_dir):
+    """The same text by the rules of the older generation."""
+    t = F.concat(F.regexp_replace(F.array_join("tokens", " "), "([.,])", " $1"), F.lit(" `` a b '' . . . ( c ) can not do n't p. m. \" x \"".replace(" ''", " '")))
+    return B.sentences(spark, sf_dir).select("doc_id", "sent_id", text.untokenize(t, rules=text.UNTOKENIZE_OLDER).alias("text"))
+
+
 @query("""SELECT page_id, CASE WHEN length(url) > 10 AND regexp_matches(url, '(Jan|May|Video|[.]html)') THEN regexp_extract(url, '^(.*?)(Jan|May|Video|[.]html)', 1) || ' ' || regexp_extract(url, '^(.*?)(Jan|May|Video|[.]html)', 2) ELSE
   regexp_extract(url, '^(?:http|ftp|https)://[A-Za-z0-9_-]+(?:[.][A-Za-z0-9_-]+)+[A-Za-z0-9_.,@?^=%&:/~+#-]*[A-Za-z0-9_@?^=%&/~+#-]') END || ' x' AS text FROM (SELECT page_id, split_part(url, '?', 1) || 'May' AS url FROM pages WHERE url NOT LIKE '%#%')""")
 def leading_address_split(spark, sf_dir):

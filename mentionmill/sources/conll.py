@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 _BEGIN = r"^#begin document \(?([^)\s]*)\)?"
 
@@ -71,9 +71,9 @@ def conll_lines(mentions: DataFrame, doc_name: str = "all") -> DataFrame:
     ``mentions``: topic_id, doc_id, sent_id, start, mention, chain.  Mentions
     without a chain become chains of their own.
     """
-    from ..operators.filters import conll_order, first_appearance
+    from ..operators.filters import conll_order, first_appearance, numbered
 
-    placed = mentions.withColumn("line", F.row_number().over(Window.orderBy(*conll_order(), F.col("mention"))))
+    placed = numbered(mentions, [*conll_order(), F.col("mention")], "line")
     chain = F.coalesce(F.col("chain").cast("string"), F.concat(F.lit("alone "), F.col("mention").cast("string")))
     numbered = first_appearance(placed.withColumn("_chain", chain), "_chain", "line")
     body = numbered.select(F.col("line").cast("int").alias("line"), F.concat_ws("\t", F.lit(doc_name), F.col("doc_id"), F.col("sent_id").cast("string"), F.col("mention").cast("string"), F.concat(F.lit("("), F.col("number").cast("string"), F.lit(")"))).alias("value"))
@@ -82,6 +82,7 @@ def conll_lines(mentions: DataFrame, doc_name: str = "all") -> DataFrame:
     return body.unionByName(head)
 
 
-def write_conll(lines: DataFrame, path: str) -> None:
-    """One ordered text file: the format is a single file by nature."""
-    lines.orderBy("line").select("value").coalesce(1).write.mode("overwrite").text(path)
+def write_conll(lines: DataFrame, path: str, one_file: bool = True) -> None:
+    """Ordered text: one file, as readers of the format expect, or files whose names follow the order, written by as many tasks."""
+    ordered = lines.orderBy("line").select("value")
+    (ordered.coalesce(1) if one_file else ordered).write.mode("overwrite").text(path)
