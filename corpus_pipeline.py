@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mentionmill.llm import q_language, q_packing, q_toxicity
+from mentionmill.llm.columns import unused
 from mentionmill.llm.jaccard_join import jaccard_components
 from mentionmill.llm.language_id import identify
 from mentionmill.llm.secrets import redact
@@ -26,12 +27,12 @@ NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that are in no known language."""
-    names = docs.columns
-    found = identify(docs, q_language.train(docs), keep=names, with_fit=True)
-    # nothing could be learned (no labelled text): nothing is rejected
-    known = docs.where("text is not null and lang is not null").limit(1).count() > 0
-    own = (F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE) & (F.col("fit") >= LEAST_FIT)
-    return (found.where(own) if known else found).select(*names)
+    names, model = docs.columns, q_language.train(docs)
+    if not model.langs:  # nothing could be learned (no labelled text): nothing is rejected
+        return docs
+    found = unused(names, "found")
+    own = (F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LEAST_LANGUAGE) & (F.col(f"{found}.fit") >= LEAST_FIT)
+    return identify(docs, model, keep=names, with_fit=True, into=found).where(own).select(*names)
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = q_toxicity.train(docs, labels)
     names = docs.columns
-    return score(docs, model, keep=names).where(F.col("score") < q_toxicity.THRESHOLD).select(*names)
+    found = unused(names, "found")
+    return score(docs, model, keep=names, into=found).where(F.col(f"{found}.score") < q_toxicity.THRESHOLD).select(*names)
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from .language_id import identify, learn
 
-HELD = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
+#: False without a doc_id; such rows are not learned from either.
+HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 4 = 2, false)"
 
 
 def train(docs):
-    return learn(docs.where(~F.coalesce(F.expr(HELD), F.lit(True))))
+    return learn(docs.where(f"doc_id is not null and not {HELD}"))
 
 
 def op4_language_id(spark, sf_dir):

@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 from .toxicity import learn, score
 
-HELD = "crc32(cast(cast(doc_id as string) as binary)) % 3 = 1"
+#: False without a doc_id; such rows are not learned from either.
+HELD = "coalesce(crc32(cast(cast(doc_id as string) as binary)) % 3 = 1, false)"
 THRESHOLD = 0.7
 
 
 def train(docs, labels):
-    return learn(docs.where(~F.expr(HELD)), labels.where(~F.expr(HELD)).select("doc_id", "toxic"))
+    return learn(docs.where(f"doc_id is not null and not {HELD}"), labels.where(f"doc_id is not null and not {HELD}").select("doc_id", "toxic"))
 
 
 def op9_toxicity(spark, sf_dir):

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..storage import Scratch
 from .language_id import beside, sample_rows
 from .texthash import blocks, joined, small_batches, word_hash, word_hashes
 
@@ -113,10 +114,10 @@ def features(texts: list[str | None], words: np.ndarray, stems: np.ndarray) -> n
             ok = (j >= 0) & (j < len(where))
             ok[ok] = text_of[where[j[ok]]] == text_of[b[ok]]
             gap[ok] = np.minimum(gap[ok], np.abs(where[j[ok]] - b[ok]))
-        close = np.zeros(len(h))
-        close[b] = np.where(gap <= NEAR, 1 / (1 + gap), 0)
+        # summed text by text, so a text's sum does not depend on the others
+        close = np.bincount(text_of[b], np.where(gap <= NEAR, 1 / (1 + gap), 0), len(texts))
     else:
-        close = np.zeros(len(h))
+        close = np.zeros(len(texts))
     # words that are in the lexicon only once look-alike characters are read as letters
     _, h2, _, at2 = _stream(data, off, _ALPHA[data] | _SPACES[data] | _LEETED[data], _LEET)
     masked = np.maximum(_sums(np.isin(h2.view(np.int64), words), at2) - _sums(hit, at), 0)
@@ -133,7 +134,7 @@ def features(texts: list[str | None], words: np.ndarray, stems: np.ndarray) -> n
     shouted[1:] = shout[1:] & shout[:-1]
     cols = [
         hits / some, np.log1p(hits), stem_hits / some, np.log1p(stem_hits), masked / some, np.log1p(masked),
-        _sums(second, at) / some, _sums(close, at) / np.maximum(stem_hits, 1), np.log1p(_sums(close, at)),
+        _sums(second, at) / some, close / np.maximum(stem_hits, 1), np.log1p(close),
         _sums(shout, off) / np.maximum(letters, 1), _sums(shouted, off) / np.maximum(letters, 1),
         _sums(data == 33, off) / size, _sums(data == 63, off) / size, _sums(marks, off) / size,
         _sums(_DIGIT[data], off) / size, _sums(inner, off) / size, _sums(run, off) / size, np.log1p(n),
@@ -237,6 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
     known = sample_rows(known, "doc_id", most)  # a bounded number of ids, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
+    rows = Scratch(docs.sparkSession, "toxicity").table(rows, "rows")  # the sample, read three times
     base = rows.groupBy("toxic").count().collect()
     n_pos, n_neg = (sum(r["count"] for r in base if (r.toxic > 0) == t) for t in (True, False))
     seen = pa.schema([("stem", pa.bool_()), ("key", pa.int64()), ("pos", pa.int64()), ("neg", pa.int64())])
@@ -272,12 +274,12 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
     return Toxicity(words, stems, x[order], y[order])
 
 
-def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``score`` (0 to 1) beside the id, or beside the columns named in ``keep``."""
+def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, into: str | None = None) -> DataFrame:
+    """``score`` (0 to 1) beside the id, or beside the columns named in ``keep``; with ``into``, in a struct of that name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most LEXICON keys and some trees
 
     def predict(texts):
         parts = [shared.value.score(part) for _, part in blocks(texts, texts)]
         return [pa.array(np.concatenate(parts) if parts else [], pa.float64())]
 
-    return beside(docs, keep or [id_col], text_col, predict, "score double")
+    return beside(docs, keep or [id_col], text_col, predict, "score double", into)

@@ -54,3 +54,14 @@ def test_different_texts_of_one_id_stay(spark):
     rows = [(1, one, "en"), (1, two, "en"), (1, two, "en"), (2, one, "en"), (3, "", "en"), (3, "", "en")]
     got = P.jaccard_stage(spark, table(spark, rows), SF).collect()
     assert sorted((r.doc_id, r.text) for r in got) == sorted([(1, one), (1, two), (3, "")])
+
+
+def test_awkward_rows_with_all_their_columns_pass_every_stage(spark, awkward):
+    """Columns named like those that operators add stay as they are."""
+    docs = awkward.withColumnRenamed("v", "_spans_").withColumnRenamed("shard", "found").withColumnRenamed("piece", "lang_pred")
+    columns, docs = docs.columns, docs
+    for name, f in P.STAGES[:-1]:
+        docs = f(spark, docs, SF)
+        assert docs.columns == columns
+        assert {(r.score, r.component_id, r._spans_, r.found, r.lang_pred) for r in docs.collect()} == {(0.5, -1, "x", 7, 9)}
+    assert P.STAGES[-1][1](spark, docs, SF).count() > 0
