@@ -1,6 +1,6 @@
 """Driver query for secret scans."""
 
-from .secrets import ALPHABET, CLASSES, scan
+from .secrets import ALPHABET, CLASSES, HEX_BIAS, scan
 
 
 def op6_secret_scan(spark, sf_dir):
@@ -32,6 +32,12 @@ def _windows(w: int) -> str:
       FOR u IN [body[j:j+{w - 1}] FOR j IN range(1, length(body) - {w - 2})]])"""
 
 
+def _whole() -> str:
+    """Entropy of ``body`` as one window."""
+    size = "length(body)::DOUBLE"
+    return f"list_sum([CASE WHEN n = 0 THEN 0 ELSE -(n / {size}) * log2(n / {size}) END FOR n IN [length(body) - length(replace(body, c, '')) FOR c IN string_split('{ALPHABET}', '')]])"
+
+
 _H, _A, _S = CLASSES["hex"], CLASSES["alnum"], CLASSES["symbol"]
 SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
@@ -41,6 +47,7 @@ base AS (
   UNION ALL SELECT doc_id, k, s, s + length(body) FROM ({_matches(3, "[0-9a-f]{32,}")})),
 cand AS (
   SELECT c.doc_id, 4 AS k, c.s, c.s + length(body) AS e, CASE
+    WHEN regexp_full_match(body, '[0-9a-f]+|[0-9A-F]+') AND length(body) < {_H[0]} THEN {_whole()} >= {_H[1]} - {HEX_BIAS}::DOUBLE * (1.0 / length(body) - 1.0 / {_H[0]})
     WHEN regexp_full_match(body, '[0-9a-f]+|[0-9A-F]+') THEN {_windows(_H[0])} >= {_H[1]}
     WHEN regexp_full_match(body, '[A-Za-z0-9]+') THEN {_windows(_A[0])} >= {_A[1]} ELSE {_windows(_S[0])} >= {_S[1]} END AS high
   FROM ({_matches(4, _CAND)}) c

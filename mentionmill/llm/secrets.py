@@ -12,7 +12,8 @@ some window reaches the threshold and no allow-list pattern suppresses it, unles
 pattern's span covers it already.
 
 Positions are code points, ends exclusive.  Null text counts as empty.  Rows
-are kept as they come, repeated or not.
+are kept as they come, repeated or not.  Inner columns get names that the table
+does not have.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .columns import unused
+
 #: The base patterns, in Java's syntax.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -40,28 +43,56 @@ CLASSES = {"hex": (32, 3.25), "alnum": (20, 3.75), "symbol": (20, 3.85)}
 HEX_BIAS = 15 / (2 * math.log(2))
 KINDS = ("assign", "access", "hex", "entropy")
 _SPAN = "struct<s:int,k:int,e:int>"
+_BODY = "struct<s:int,k:int,e:int,b:string>"
+PIECE = 512
 
 
 def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def _found(text: str, pattern: str, kind: int, group: int = 0, least: int = 0) -> str:
-    """SQL for the array of (s, k, e) of a pattern's matches; ``least``: characters that ``group`` must have.
+def _let(value: str, name: str, kind: str, body: str) -> str:
+    """SQL for ``body`` with ``value`` bound to ``name``: a fold over one element."""
+    return f"aggregate(array({value}), cast(null as {kind}), (_{name}, {name}) -> {body})"
+
+
+def _walk(items: str, kind: str, carry: str, when: str, made: str) -> str:
+    """SQL for the array of ``made`` of those items for which ``when`` holds, walked with a running number.
+
+    ``at`` is the number before item ``x`` (0 at first), ``carry`` the one after
+    it.  An array that is appended to is copied each time, so the items are
+    walked in pieces of ``PIECE``, whose first numbers are found beforehand; a long
+    array then costs its length times a piece, not its square.
+    """
+    of = lambda sql, at: sql.replace("{at}", at)
+    cut = f"transform(sequence(0, (size(y) - 1) div {PIECE}), i -> slice(y, i * {PIECE} + 1, {PIECE}))"
+    firsts = (
+        f"aggregate(w, named_struct('at', 0, 'out', cast(array() as array<int>)), (a, c) -> named_struct('at', aggregate(c, a.at, (b, x) -> {of(carry, 'b')}),"
+        " 'out', array_append(a.out, a.at)), a -> a.out)"
+    )
+    piece = (
+        f"aggregate(z.`0`, named_struct('at', z.`1`, 'out', cast(array() as array<{kind}>)), (a, x) -> named_struct('at', {of(carry, 'a.at')},"
+        f" 'out', if({of(when, 'a.at')}, array_append(a.out, {of(made, 'a.at')}), a.out)), a -> a.out)"
+    )
+    out = f"array<{kind}>"
+    body = _let(cut, "w", out, f"flatten(transform(arrays_zip(transform(w, c -> c), {firsts}), z -> {piece}))")
+    return _let(items, "y", out, f"if(size(y) = 0, cast(array() as {out}), {body})")
+
+
+def _found(text: str, pattern: str, kind: int, group: int = 0, least: int = 0, body: bool = False) -> str:
+    """SQL for the array of (s, k, e) of a pattern's matches; ``least``: characters that ``group`` must have; ``body``: and b, the match.
 
     Matches and the pieces between them have the lengths that give positions.
     """
     p = _quoted(pattern)
     size = f", transform(regexp_extract_all({text}, {p}, {group}), x -> length(x))" if group else ""
-    # fields `0`: characters before the match, `1`: its length, `2`: the group's
-    parts = f"arrays_zip(transform(split({text}, {p}, -1), x -> length(x)), transform(regexp_extract_all({text}, {p}, 0), x -> length(x)){size})"
-    walked = (
-        f"aggregate({parts}, named_struct('at', 0, 'out', cast(array() as array<{_SPAN}>)), (a, x) -> named_struct("
-        "'at', a.at + x.`0` + coalesce(x.`1`, 0), 'out', if(x.`1` is null"
-        + (f" or x.`2` < {least}" if group else "")
-        + f", a.out, array_append(a.out, named_struct('s', a.at + x.`0`, 'k', {kind}, 'e', a.at + x.`0` + x.`1`)))), a -> a.out)"
-    )
-    return f"if(rlike({text}, {p}), {walked}, cast(array() as array<{_SPAN}>))"
+    held = f", regexp_extract_all({text}, {p}, 0)" if body else ""
+    # fields `0`: characters before the match, `1`: its length, `2`: the group's, or the match
+    parts = f"arrays_zip(transform(split({text}, {p}, -1), x -> length(x)), transform(regexp_extract_all({text}, {p}, 0), x -> length(x)){size}{held})"
+    span = _BODY if body else _SPAN
+    made = f"named_struct('s', {{at}} + x.`0`, 'k', {kind}, 'e', {{at}} + x.`0` + x.`1`" + (", 'b', x.`2`)" if body else ")")
+    walked = _walk(parts, span, "{at} + x.`0` + coalesce(x.`1`, 0)", "x.`1` is not null" + (f" and x.`2` >= {least}" if group else ""), made)
+    return f"if(rlike({text}, {p}), {walked}, cast(array() as array<{span}>))"
 
 
 def max_window_entropy(candidate: str, window: int, whole: bool = False) -> str:
@@ -90,24 +121,28 @@ def max_window_entropy(candidate: str, window: int, whole: bool = False) -> str:
 
 
 def _entropy_spans(text: str, taken: str) -> str:
-    spans = _found(text, CANDIDATE, 4)
-    body = f"substr({text}, c.s + 1, c.e - c.s)"
-    kept = f"filter({spans}, c -> rlike({body}, '[0-9]') and rlike({body}, '[A-Za-z]') and not rlike({body}, {_quoted(ALLOW)})"
-    kept += f" and not exists({taken}, t -> t.s <= c.s and t.e >= c.e))"
+    spans = _found(text, CANDIDATE, 4, body=True)
+    kept = f"filter({spans}, c -> rlike(c.b, '[0-9]') and rlike(c.b, '[A-Za-z]') and not rlike(c.b, {_quoted(ALLOW)}))"
+    # in order of start, patterns' spans first: the largest end so far tells whether one of them covers a candidate
+    both = f"array_sort(concat(transform({taken}, t -> named_struct('s', t.s, 'k', t.k, 'e', t.e, 'b', cast(null as string))), k))"
+    free = _walk(both, _BODY, "if(x.k < 4, greatest({at}, x.e), {at})", "x.k = 4 and x.e > {at}", "x")
     hexes, alnum, symbol = ((w, h) for w, h in CLASSES.values())
-    return (
-        f"filter({kept}, c -> case when rlike({body}, '^([0-9a-f]+|[0-9A-F]+)$') then {max_window_entropy(body, hexes[0], whole=True)} >="
-        f" {hexes[1]}D - {HEX_BIAS}D * greatest(0D, 1D / length({body}) - 1D / {hexes[0]})"
-        f" when rlike({body}, '^[A-Za-z0-9]+$') then {max_window_entropy(body, alnum[0])} >= {alnum[1]}"
-        f" else {max_window_entropy(body, symbol[0])} >= {symbol[1]} end)"
+    high = (
+        f"case when rlike(c.b, '^([0-9a-f]+|[0-9A-F]+)$') then {max_window_entropy('c.b', hexes[0], whole=True)} >="
+        f" {hexes[1]}D - {HEX_BIAS}D * greatest(0D, 1D / length(c.b) - 1D / {hexes[0]})"
+        f" when rlike(c.b, '^[A-Za-z0-9]+$') then {max_window_entropy('c.b', alnum[0])} >= {alnum[1]}"
+        f" else {max_window_entropy('c.b', symbol[0])} >= {symbol[1]} end"
     )
+    found = f"transform(filter({free}, c -> {high}), c -> named_struct('s', c.s, 'k', c.k, 'e', c.e))"
+    return _let(kept, "k", f"array<{_SPAN}>", f"if(size(k) = 0, cast(array() as array<{_SPAN}>), {found})")
 
 
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "_spans_") -> DataFrame:
     """Adds an array of (s, k, e), sorted: code-point start, kind (1-based in ``KINDS``), end."""
     t = f"coalesce(`{text_col}`, '')"
-    found = docs.withColumn("_base_", F.expr(f"concat({_found(t, ASSIGN, 1, 2, 8)}, {_found(t, r'AKIA[A-Z0-9]{12,}', 2)}, {_found(t, HEX, 3)})"))
-    return found.withColumn(out, F.expr(f"array_sort(concat(_base_, {_entropy_spans(t, '_base_')}))")).drop("_base_")
+    base = unused([*docs.columns, out], "_base_")
+    found = docs.withColumn(base, F.expr(f"concat({_found(t, ASSIGN, 1, 2, 8)}, {_found(t, r'AKIA[A-Z0-9]{12,}', 2)}, {_found(t, HEX, 3)})"))
+    return found.withColumn(out, F.expr(f"array_sort(concat({base}, {_entropy_spans(t, base)}))")).drop(base)
 
 
 def span_text(spans: str, most_kind: int = 4) -> Column:
@@ -131,12 +166,16 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The rows with every span of their text replaced by ``mark`` (overlapping spans by one)."""
-    names = docs.columns
-    held = with_spans(docs)
+    names, spans = docs.columns, unused(docs.columns, "_spans_")
+    held = with_spans(docs, text_col, spans)
     t = f"coalesce(`{text_col}`, '')"
+    # (end of the text kept before, start) of each run of overlapping spans; pieces of the text are cut from pieces of it
+    runs = _walk(spans, "struct<p:int,s:int>", "greatest({at}, x.e)", "x.s >= {at}", "named_struct('p', {at}, 's', x.s)")
+    part = f"array_join(transform(w, x -> concat(substr(g, x.p - w[0].p + 1, x.s - x.p), '{mark}')), '')"
+    part = _let(f"substr({t}, w[0].p + 1, w[size(w) - 1].s - w[0].p)", "g", "string", part)
     cut = (
-        "aggregate(_spans_, named_struct('at', 0, 'out', ''), (a, x) -> if(x.s < a.at, named_struct('at', greatest(a.at, x.e), 'out', a.out),"
-        f" named_struct('at', x.e, 'out', concat(a.out, substr({t}, a.at + 1, x.s - a.at), '{mark}'))), a -> concat(a.out, substr({t}, a.at + 1)))"
+        _let(runs, "m", "string", f"array_join(transform(transform(sequence(0, (size(m) - 1) div {PIECE}), i -> slice(m, i * {PIECE} + 1, {PIECE})), w -> {part}), '')")
     )
-    new = F.expr(f"if(size(_spans_) = 0, `{text_col}`, {cut})")
+    cut = f"concat({cut}, substr({t}, array_max(transform({spans}, x -> x.e)) + 1))"
+    new = F.expr(f"if(size({spans}) = 0, `{text_col}`, {cut})")
     return held.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])

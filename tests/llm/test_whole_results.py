@@ -45,3 +45,48 @@ def test_short_hex_secrets(spark):
     want = ["entropy:4:24", "entropy:4:30", "entropy:0:31", "", "entropy:0:40"]
     assert [r.spans for r in secrets.scan(df).orderBy("doc_id").collect()] == want
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()][:2] == ["key [SECRET] end", "KEY [SECRET] end"]
+
+
+def test_short_hex_secrets_by_sql(spark, tmp_path):
+    """The SQL of the query on secrets of every class and length, random and not."""
+    import random
+
+    from compare import connect, rows
+    from mentionmill.llm import q_secrets
+
+    rnd = random.Random(7)
+    make = lambda alphabet, n: "".join(rnd.choice(alphabet) for _ in range(n))
+    texts = [make(a, n) for a in ("0123456789abcdef", "0123456789ABCDEF", "0123ab", "abcXYZ019+/_") for n in range(18, 45)]
+    texts += [f"x {a} token={b} {c}" for a, b, c in zip(texts, texts[1:], texts[2:])] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    df = q_secrets.op6_secret_scan(spark, str(tmp_path))
+    r = connect(str(tmp_path)).execute(q_secrets.SQL)
+    assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([d[0] for d in r.description], r.fetchall())
+
+
+def test_many_secrets_in_one_text(spark):
+    """More matches than a piece holds, of every kind, overlapping and not: positions and redaction by plain Python."""
+    import random
+    import re
+
+    rnd = random.Random(3)
+    make = lambda a, n: "".join(rnd.choice(a) for _ in range(n))
+    word = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    bits = [rnd.choice([f"token={make(word, 10)}", f"é{make('0123456789abcdef', 40)}", "AKIA" + make("ABC0", 16), make(word, 24), "plain", f"secret: {make('0123456789abcdef', 34)}"]) for _ in range(2500)]
+    text = " ".join(bits)
+    df = spark.createDataFrame([(1, text), (2, text[: len(text) // 3])], "doc_id long, text string")
+    spans = {r.doc_id: [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in r.spans.split(","))] for r in secrets.scan(df).collect()}
+    redacted = {r.doc_id: r.text for r in secrets.redact(df).collect()}
+    for d, t in ((1, text), (2, text[: len(text) // 3])):
+        base = [("assign", m.start(), m.end()) for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t) if len(m[2]) >= 8]
+        base += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if m.end() - m.start() >= 16] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{32,}", t)]
+        assert sorted(s for s in spans[d] if s[0] != "entropy") == sorted(base) and len(base) > 500
+        extra = [s for s in spans[d] if s[0] == "entropy"]
+        assert extra and all(re.fullmatch("[A-Za-z0-9+/_=-]{20,}", t[a:b]) and not any(x <= a and y >= b for _, x, y in base) for _, a, b in extra)
+        at, out = 0, ""
+        for _, a, b in sorted(spans[d], key=lambda s: s[1]):
+            if a >= at:
+                out += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert redacted[d] == out + t[at:]
