@@ -47,8 +47,9 @@ def test_toxicity_rejects_what_the_query_predicts(spark, stages):
 
 def test_one_document_of_each_group_stays(stages):
     docs = [(r.doc_id, r.text) for r in stages["toxicity"].collect()]
-    comp = brute(docs)[1]
+    comp = brute(docs, P.NEAR_WORDS, P.NEAR_PERCENT)[1]
     kept = [r.doc_id for r in stages["jaccard_join"].collect()]
+    assert (P.NEAR_WORDS, P.NEAR_PERCENT) == (5, 80)
     assert sorted(kept) == sorted(set(comp.values())) and len(kept) < len(docs)
 
 
