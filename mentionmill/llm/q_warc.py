@@ -1,6 +1,8 @@
 """Driver query for WARC derivatives."""
 
-from .warc import BREAKING, HIDDEN, NAMED, build_derivatives, responses_from_pages
+from html.entities import html5
+
+from .warc import _BARE, _CHANGED, _DROPPED, BREAKING, HIDDEN, build_derivatives, responses_from_pages
 
 
 def op1_warc_derivatives(spark, sf_dir):
@@ -13,15 +15,31 @@ def _uuid(expr: str) -> str:
     return f"'<urn:uuid:' || {h}[1:8] || '-' || {h}[9:12] || '-5' || {h}[14:16] || '-a' || {h}[18:20] || '-' || {h}[21:32] || '>'"
 
 
+def _list(values) -> str:
+    return "[" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in values) + "]"
+
+
 def _unescape(t: str) -> str:
-    n = r"&#(?:[0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-    code = r"CASE WHEN lower(r[3]) = 'x' THEN ('0x' || regexp_extract(r, '([0-9a-fA-F]+);', 1))::BIGINT ELSE regexp_extract(r, '([0-9]+);', 1)::BIGINT END"
-    char = f"CASE WHEN ({code}) > 0 AND ({code}) < 1114112 AND NOT ({code}) BETWEEN 55296 AND 57343 THEN chr(({code})::INT) ELSE chr(65533) END"
-    # references are replaced one kind after another, by splitting at the reference
-    out = f"list_reduce(list_prepend({t}, list_distinct(regexp_extract_all({t}, '{n}'))), lambda a, r: replace(a, r, {char}))"
-    for name, c in NAMED.items():
-        out = f"replace({out}, '{name}', chr({ord(c)}))"
-    return f"replace({out}, '&amp;', '&')"
+    """Every reference of HTML5, a piece after an ampersand at a time."""
+    named = f"map({_list(html5)}, {_list(html5.values())})"
+    changed = f"map({_list(_CHANGED)}, {_list(_CHANGED.values())})"
+
+    def numeric(pattern: str, most: int, read: str) -> str:
+        digits = f"regexp_extract(x, '{pattern}', 1)"
+        code = f"(CASE WHEN length({digits}) > {most} THEN 1114112 WHEN {digits} = '' THEN 0 ELSE {read.format(digits)} END)"
+        return (
+            f"(CASE WHEN {changed}[{code}::INT] IS NOT NULL THEN chr({changed}[{code}::INT]) WHEN list_contains({_list(_DROPPED)}, {code}::INT) THEN ''"
+            f" WHEN {code} BETWEEN 55296 AND 57343 OR {code} > 1114111 THEN chr(65533) ELSE chr({code}::INT) END) || x[length(regexp_extract(x, '{pattern}')) + 1:]"
+        )
+
+    whole, bare = "regexp_extract(x, '^[A-Za-z0-9]{1,31};')", "regexp_extract(x, '^(?:" + "|".join(_BARE) + ")')"
+    one = (
+        f"CASE WHEN regexp_matches(x, '^#[0-9]') THEN {numeric('^#0*([0-9]*);?', 7, '{0}::BIGINT')}"
+        f" WHEN regexp_matches(x, '^#[xX][0-9a-fA-F]') THEN {numeric('^#[xX]0*([0-9a-fA-F]*);?', 6, chr(40) + chr(39) + '0x' + chr(39) + ' || {0})::BIGINT')}"
+        f" WHEN {named}[{whole}] IS NOT NULL THEN {named}[{whole}] || x[length({whole}) + 1:]"
+        f" WHEN {bare} <> '' THEN {named}[{bare}] || x[length({bare}) + 1:] ELSE '&' || x END"
+    )
+    return f"(string_split({t}, '&')[1] || array_to_string([{one} FOR x IN string_split({t}, '&')[2:]], ''))"
 
 
 def _text(t: str) -> str:
@@ -49,7 +67,7 @@ r AS (
   SELECT page_id, rid, url, dig, strlen(h) AS size, chr(13) || chr(10) AS crlf, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, meta AS block FROM c
   UNION ALL SELECT page_id, rid, url, dig, strlen(h), chr(13) || chr(10), 'conversion', 'text/plain; charset=utf-8', txt FROM c)
 SELECT page_id, {_uuid("warc_type || chr(10) || rid")} AS record_id, warc_type, rid AS refers_to, url AS target_uri, '2024-01-01T00:00:00Z' AS date,
-  content_type, dig AS source_digest, 'HTTP/1.1 200 OK' || crlf || 'Content-Type: text/html; charset=utf-8' || crlf || 'Content-Length: ' || size || crlf || crlf AS source_headers, strlen(block)::BIGINT AS content_length, 'sha1:' || sha1(block) AS block_digest FROM r
+  content_type, dig AS source_digest, 'HTTP/1.1 200 OK' || crlf || 'Content-Type: text/html; charset=utf-8' || crlf || 'Content-Length: ' || size || crlf || crlf AS source_headers, strlen(block)::BIGINT AS content_length, 'sha1:' || sha1(block) AS block_digest, block FROM r
 """
 
 QUERIES = {"op1_warc_derivatives": op1_warc_derivatives}

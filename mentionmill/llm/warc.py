@@ -20,15 +20,18 @@ from __future__ import annotations
 import gzip
 import uuid
 from html.entities import html5
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..storage import Scratch
+
+#: Characters that a coded field keeps as they are.
+_PLAIN = " !\"#$&'()*+,/:;<=>?@[]^`{|}"
 #: Elements whose content is no text, and elements that break lines.
 HIDDEN = ("script", "style", "noscript", "template", "svg", "head")
 BREAKING = "p|div|br|li|ul|ol|dl|dt|dd|h[1-6]|article|section|nav|header|footer|main|aside|table|tr|td|th|blockquote|pre|form|figure|hr|option|body|html"
-#: The named character references that the SQL decodes; ``unescape`` has the whole table of HTML5.
-NAMED = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&nbsp;": " ", "&mdash;": "—", "&ndash;": "–", "&hellip;": "…", "&copy;": "©", "&eacute;": "é"}
 TITLE = r"(?i)<title(?:\s[^>]*)?>([^<]*)</title\s*>"
 VERSION = "WARC/1.1"
 #: Fixed values of HTML5: names that need no semicolon, numbers that stand for another character, numbers that stand for none.
@@ -184,18 +187,22 @@ def parse_records(data: bytes):
         at = end + 4 + size
 
 
-#: Column of a record table and its WARC field.
+#: Column of a record table and its WARC field.  The payload digest of a derivative is that of the payload it refers to.
 FIELDS = {
     "warc_type": "WARC-Type", "record_id": "WARC-Record-ID", "refers_to": "WARC-Refers-To", "target_uri": "WARC-Target-URI", "date": "WARC-Date",
-    "content_type": "Content-Type", "source_digest": "WARC-Source-Payload-Digest", "block_digest": "WARC-Block-Digest",
+    "content_type": "Content-Type", "source_digest": "WARC-Payload-Digest", "block_digest": "WARC-Block-Digest", "source_headers": "X-Source-HTTP-Headers",
 }
+#: Fields that may hold line ends; they are percent-encoded.
+CODED = ("source_headers",)
+FILE_BYTES = 1 << 27
 
 
 def write_warc(records: DataFrame, folder: str) -> DataFrame:
     """Write records (columns as ``FIELDS``, and ``block``) to ``.warc.gz`` files; returns ``file, n_records``.
 
-    A task writes one file under a trial name and moves it when complete, so
-    repeated tasks leave the same files.
+    A file holds about ``FILE_BYTES`` of blocks at most, beyond a last longer one.
+    It is written under a trial name and moved when complete, so repeated tasks
+    leave the same files.  Null columns are left out of a record's fields.
     """
     names = list(FIELDS)
 
@@ -205,31 +212,39 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        name, trial, n = f"part-{TaskContext.get().partitionId():06d}.warc.gz", f"{root}/_trial-{uuid.uuid4().hex}", 0
-        with store.open_output_stream(trial) as f:
-            for batch in batches:
-                for row in batch.to_pylist():
-                    fields = {FIELDS[c]: row[c] for c in names}
-                    f.write(gzip.compress(record_bytes(fields, (row["block"] or "").encode()), mtime=0))
-                    n += 1
-        store.move(trial, f"{root}/{name}")
-        yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n_records"])
+        rows = (row for batch in batches for row in batch.to_pylist())
+        row, k = next(rows, None), 0
+        while row is not None:
+            name, trial, n, size = f"part-{TaskContext.get().partitionId():06d}-{k:05d}.warc.gz", f"{root}/_trial-{uuid.uuid4().hex}", 0, 0
+            with store.open_output_stream(trial) as f:
+                while row is not None and size < FILE_BYTES:
+                    fields = {FIELDS[c]: quote(row[c], safe=_PLAIN) if c in CODED and row[c] is not None else row[c] for c in names}
+                    block = (row["block"] or "").encode()
+                    f.write(gzip.compress(record_bytes(fields, block), mtime=0))
+                    n, size, row = n + 1, size + len(block), next(rows, None)
+            store.move(trial, f"{root}/{name}")
+            k += 1
+            yield pa.record_batch([pa.array([name]), pa.array([n], pa.int64())], names=["file", "n_records"])
 
     made = records.select(*names, "block").mapInArrow(run, "file string, n_records long")
-    return records.sparkSession.createDataFrame(made.collect() or [], "file string, n_records long")  # a row for each file
+    return Scratch(records.sparkSession, "warc").table(made, "files")
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of ``.warc`` and ``.warc.gz`` files as columns of ``FIELDS`` and ``block``."""
+    """Records of ``.warc`` and ``.warc.gz`` files as columns of ``FIELDS`` and ``block``; a task holds one file at a time."""
     names = [*FIELDS, "block"]
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
                 raw = data.as_py()
-                rows = [[f.get(w) for w in FIELDS.values()] + [b.decode("utf-8", "replace")] for f, b in parse_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw)]
-                if rows:
-                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
+                rows = []
+                for f, b in parse_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
+                    own = {c: f.get(w) for c, w in FIELDS.items()}
+                    own |= {c: unquote(own[c]) for c in CODED if own[c] is not None}
+                    rows.append([*own.values(), b.decode("utf-8", "replace")])
+                for lo in range(0, len(rows), 1000):
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows[lo : lo + 1000])], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("content")
     return files.mapInArrow(run, ", ".join(f"{n} string" for n in names))

@@ -134,7 +134,7 @@ def test_warc_files(spark):
     files = warc.write_warc(made, folder)
     assert sum(r.n_records for r in files.collect()) == made.count()
     back = warc.read_warc(spark, folder)
-    cols = ["record_id", "warc_type", "refers_to", "target_uri", "source_digest", "block_digest", "block"]
+    cols = ["record_id", "warc_type", "refers_to", "target_uri", "source_headers", "source_digest", "block_digest", "block"]
     key = lambda r: tuple("" if x is None else x for x in r)
     assert sorted(map(key, back.select(cols).collect())) == sorted(map(key, made.select(cols).collect()))
 
@@ -144,3 +144,19 @@ def test_warc_against_sql(spark):
     df = q_warc.op1_warc_derivatives(spark, sf)
     r = connect(sf).execute(q_warc.SQL)
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([d[0] for d in r.description], r.fetchall())
+
+
+def test_redact_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "password=hunter2hunter2 x", "a", "b")], "doc_id long, text string, _spans_ string, _base_ string")
+    assert [tuple(r) for r in secrets.redact(docs).collect()] == [(1, "[SECRET] x", "a", "b")]
+
+
+def test_warc_files_keep_headers(spark):
+    headers = ["HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-A: 100% é\r\n\r\n", None, ""]
+    docs = [(f"<urn:uuid:{i}>", "http://a/", "2024-01-01T00:00:00Z", headers[i % 3], f"<p>text {i}</p>", None) for i in range(7)]
+    made = warc.build_derivatives(spark.createDataFrame(docs, "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string"))
+    folder = new_path(spark, "warc")
+    assert sum(r.n_records for r in warc.write_warc(made.coalesce(1), folder).collect()) == 14
+    cols = ["record_id", "warc_type", "refers_to", "source_headers", "source_digest", "content_type", "block"]
+    key = lambda r: tuple(r)
+    assert sorted(map(key, warc.read_warc(spark, folder).select(cols).collect())) == sorted(map(key, made.select(cols).collect()))
