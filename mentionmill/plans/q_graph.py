@@ -106,9 +106,20 @@ def connected_components(spark, sf_dir):
     return graph.connected_components(e, "a", "b").select(F.col("node").alias("mention"), F.col("component").alias("cluster"))
 
 
-@query()
+_SUM_OF = "coalesce(list_sum([q.p FOR q IN ps IF least(labels[q.i], labels[q.j]) = x AND greatest(labels[q.i], labels[q.j]) = y]), 0)"
+_SIZES_OF = "len(list_filter(labels, lambda l: l = x)) * len(list_filter(labels, lambda l: l = y))"
+_NEAREST = f"""list_sort(flatten([[{{'d': round(1 - {_SUM_OF} / ({_SIZES_OF}), 12), 'x': x, 'y': y}} FOR y IN range(x + 1, len(labels) + 1) IF list_contains(labels, y)]
+    FOR x IN range(1, len(labels) + 1) IF list_contains(labels, x)]))[1]"""
+
+
+@query(f"""WITH RECURSIVE names AS (SELECT block, list_sort(list(DISTINCT m)) AS ms FROM (SELECT block, unnest([a, b]) AS m FROM {B.PREDICTIONS}) GROUP BY block),
+  given AS (SELECT n.block, ms, list({{'i': list_position(ms, a), 'j': list_position(ms, b), 'p': CASE WHEN pred THEN 0.9::DOUBLE ELSE 0.1::DOUBLE END}}) AS ps FROM names n JOIN {B.PREDICTIONS} p USING (block) GROUP BY ALL),
+  r AS (SELECT block, ms, ps, 0 AS step, -1::DOUBLE AS d, range(1, len(ms) + 1) AS labels FROM given
+    UNION ALL SELECT block, ms, ps, step + 1, c.d, [CASE WHEN l = c.y THEN c.x ELSE l END FOR l IN labels] FROM (SELECT *, {_NEAREST} AS c FROM r) WHERE c.d < 0.7),
+  last AS (SELECT block, threshold, ms, max_by(labels, step) AS labels FROM r, (SELECT unnest([0.3, 0.5, 0.7])::DOUBLE AS threshold) WHERE d < threshold GROUP BY ALL)
+  SELECT block, threshold, ms[i] AS mention, ms[labels[i]] AS cluster FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM last)""")
 def average_linkage(spark, sf_dir):
-    """Average linkage per document at several thresholds; its merges are sequential, so SQL has no form."""
+    """Average linkage per document at several thresholds; the SQL merges a pair of each document at a time."""
     p = B.predictions(spark, sf_dir).select("block", "a", "b", F.when(F.col("pred"), 0.9).otherwise(0.1).alias("p"))
     return scoring.average_linkage(p, [0.3, 0.5, 0.7])
 
@@ -126,11 +137,13 @@ def _prf(name: str, rn: str, rd: str, pn: str, pd: str) -> str:
     return f"coalesce({r}, 0) AS {name}_r, coalesce({p}, 0) AS {name}_p, coalesce(2 * ({r}) * ({p}) / nullif(({r}) + ({p}), 0), 0) AS {name}_f"
 
 
-def _metrics_sql(by: str) -> str:
+def _scores_sql(by: str, key: str = B.KEY, response: str = B.RESPONSE) -> str:
+    """Common table expressions up to ``f``, the scores."""
     group = f"GROUP BY {by}" if by else ""
     lead = f"{by}, " if by else ""
-    return f"""WITH cells AS {_CELLS},
-  ks AS (SELECT block, chain AS k, count(*) AS s FROM {B.KEY} GROUP BY ALL), rs AS (SELECT block, chain AS r, count(*) AS s FROM {B.RESPONSE} GROUP BY ALL),
+    cells = _CELLS.replace(B.KEY, key).replace(B.RESPONSE, response)
+    return f"""cells AS {cells},
+  ks AS (SELECT block, chain AS k, count(*) AS s FROM {key} GROUP BY ALL), rs AS (SELECT block, chain AS r, count(*) AS s FROM {response} GROUP BY ALL),
   x AS (SELECT c.*, ks.s AS sk, rs.s AS sr FROM cells c JOIN ks USING (block, k) JOIN rs USING (block, r)),
   xs AS (SELECT block, sum(n - 1) AS muc, sum(n * n / sk::DOUBLE) AS b3r, sum(n * n / sr::DOUBLE) AS b3p, sum(n * (n - 1) / 2.0) AS c2n, sum(n) AS m FROM x GROUP BY block),
   ck AS (SELECT block, sum(n * (n - 1) / 2.0) AS c FROM (SELECT block, k, sum(n) AS n FROM cells GROUP BY ALL) GROUP BY block),
@@ -141,7 +154,12 @@ def _metrics_sql(by: str) -> str:
     sum(kk.c) AS kc, sum(rr.c) AS rc, sum(xs.m * (xs.m - 1) / 2.0 - ck.c - cr.c + c2n) AS nn, sum(kk.m * (kk.m - 1) / 2.0 - kk.c) AS nk, sum(rr.m * (rr.m - 1) / 2.0 - rr.c) AS nr
     FROM kk JOIN rr USING (block) JOIN xs USING (block) JOIN ck USING (block) JOIN cr USING (block) {group}),
   f AS (SELECT {lead}{_prf("ident", "m", "km", "m", "rm")}, {_prf("muc", "muc", "kl", "muc", "rl")}, {_prf("b3", "b3r", "km", "b3p", "rm")},
-    {_prf("bc", "c2n", "kc", "c2n", "rc")}, {_prf("bn", "nn", "nk", "nn", "nr")} FROM t)
+    {_prf("bc", "c2n", "kc", "c2n", "rc")}, {_prf("bn", "nn", "nk", "nn", "nr")}, kc, nk FROM t)"""
+
+
+def _metrics_sql(by: str) -> str:
+    lead = f"{by}, " if by else ""
+    return f"""WITH {_scores_sql(by)}
   SELECT {lead}{", ".join(f"round({m}_{x}, 6) AS {m}_{x}" for m in ("ident", "muc", "b3") for x in "rpf")},
     {", ".join(f"round((bc_{x} + bn_{x}) / 2, 6) AS blanc_{x}" for x in "rpf")} FROM f"""
 
@@ -170,9 +188,23 @@ def ceaf_assignment(spark, sf_dir):
     return B.rounded(cluster_metrics.ceaf_sums(*B.key_response(spark, sf_dir)))
 
 
-@query()
+_GOLD = f"(SELECT doc_id AS block, mention, gold::VARCHAR AS chain FROM {B.MENTIONS})"
+_VOTED = "(SELECT block, mention, cluster::VARCHAR AS chain FROM (" + _CC.format(edges=f"SELECT block AS k, a, b FROM (SELECT *, both_n - one_n + {_OWN.format(2)} AS score FROM {_COUNTED}) WHERE score >= 1", nodes=_NODES) + "))"
+#: Every one-to-one assignment of a block's chains, key chain by key chain; the bits of ``mask`` are the response chains in use.
+_ASSIGNED = """w AS (SELECT block, dense_rank() OVER (PARTITION BY block ORDER BY k) AS i, 1::BIGINT << (dense_rank() OVER (PARTITION BY block ORDER BY r) - 1)::INT AS bit, n::DOUBLE AS n,
+    2.0::DOUBLE * n / (ks.s + rs.s) AS phi FROM cells JOIN ks USING (block, k) JOIN rs USING (block, r)),
+  options AS (SELECT * FROM w UNION ALL SELECT DISTINCT block, i, 0::BIGINT, 0::DOUBLE, 0::DOUBLE FROM w),
+  held AS (SELECT DISTINCT block, 0::BIGINT AS i, 0::BIGINT AS mask, 0::DOUBLE AS m, 0::DOUBLE AS e FROM w
+    UNION SELECT o.block, o.i, h.mask | o.bit, h.m + o.n, round(h.e + o.phi, 12) FROM held h JOIN options o ON o.block = h.block AND o.i = h.i + 1 AND (h.mask & o.bit) = 0),
+  best AS (SELECT sum(m) AS m, sum(e) AS e FROM (SELECT block, max(m) AS m, max(e) AS e FROM held GROUP BY block)),
+  total AS (SELECT (SELECT sum(s) FROM ks) AS km, (SELECT sum(s) FROM rs) AS rm, (SELECT count(*) FROM ks) AS kn, (SELECT count(*) FROM rs) AS rn, m, e FROM best)"""
+_BLANC = ", ".join(f"round(CASE WHEN kc = 0 THEN bn_{x} WHEN nk = 0 THEN bc_{x} ELSE (bc_{x} + bn_{x}) / 2 END, 6) AS blanc_{x}" for x in "rpf")
+
+
+@query(f"""WITH RECURSIVE {_scores_sql("", _GOLD, _VOTED)}, {_ASSIGNED}, c AS (SELECT {_prf("ceafm", "m", "km", "m", "rm")}, {_prf("ceafe", "e", "kn", "e", "rn")} FROM total)
+  SELECT {", ".join(f"round({m}_{x}, 6) AS {m}_{x}" for m in ("ident", "muc", "b3", "ceafm", "ceafe") for x in "rpf")}, {_BLANC}, round((muc_f + b3_f + ceafe_f) / 3, 6) AS conll_f FROM f, c""")
 def conll_f1(spark, sf_dir):
-    """All metrics and the CoNLL mean of clustering the predictions, against the gold tags; assignments have no SQL form."""
+    """All metrics and the CoNLL mean of clustering the predictions, against the gold tags; the SQL tries every assignment of a document's few chains."""
     p = B.predictions(spark, sf_dir)
     m = B.mentions(spark, sf_dir)
     key = m.select(F.col("doc_id").alias("block"), "mention", F.col("gold").cast("string").alias("chain"))

@@ -59,9 +59,16 @@ def span_match(spark, sf_dir):
     return matching.span_match(p, g, ["doc_id", "sent_id"]).select("doc_id", "sent_id", "text", "start", "pred_pos", "gold_pos")
 
 
-@query()
+@query(f"""WITH RECURSIVE p AS (SELECT *, row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY pos) AS n FROM {_PRED}),
+  g AS (SELECT doc_id, sent_id, list({{'pos': pos, 'start': start, 'text': text}} ORDER BY pos) AS golds FROM {_GOLD} GROUP BY doc_id, sent_id),
+  r AS (SELECT doc_id, sent_id, golds, 0::BIGINT AS n, 0::BIGINT AS pred, NULL::STRUCT(pos BIGINT, start BIGINT, text VARCHAR) AS g, []::BIGINT[] AS taken, ''::VARCHAR AS text, 0::BIGINT AS start FROM g
+    UNION ALL SELECT doc_id, sent_id, golds, n, pos, g, CASE WHEN g IS NULL THEN taken ELSE list_append(taken, g.pos) END, text, start FROM (
+      SELECT r.doc_id, r.sent_id, r.golds, p.n, p.pos, p.text, p.start, r.taken, list_filter(r.golds, lambda h: NOT list_contains(r.taken, h.pos) AND
+        (h.start = p.start OR (h.text = p.text AND abs(h.start - p.start) <= 1)))[1] AS g FROM r JOIN p ON p.doc_id = r.doc_id AND p.sent_id = r.sent_id AND p.n = r.n + 1))
+  SELECT doc_id, sent_id, (pred % {B.PLACES})::INT AS pred_pos, (g.pos % {B.PLACES})::INT AS gold_pos, CASE WHEN g.start = start AND g.text = text THEN 'span' WHEN g.text = text THEN 'head' ELSE 'inside' END AS how
+  FROM r WHERE g IS NOT NULL""")
 def relaxed_match(spark, sf_dir):
-    """Greedy one-to-one by span, head or containment; its choice is sequential, so SQL has no form."""
+    """Greedy one-to-one by span, head or containment; the SQL goes through the predicted mentions of a sentence one after another."""
     p, g = _sides(spark, sf_dir)
     wide = lambda df: df.select("doc_id", "sent_id", (F.col("pos") % B.PLACES).cast("int").alias("pos"), "text", F.col("start").cast("int").alias("start"), (F.col("start") + 1).cast("int").alias("end"), F.col("text").alias("head"), F.array(F.col("start"), F.col("start") + 1).alias("tokens"))
     return matching.relaxed_match(wide(p), wide(g), ["doc_id", "sent_id"])
