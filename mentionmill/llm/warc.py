@@ -133,16 +133,23 @@ def responses_from_pages(pages: DataFrame) -> DataFrame:
     )
 
 
+#: Columns of the records that are made.
+MADE = ("record_id", "warc_type", "refers_to", "target_uri", "date", "content_type", "source_headers", "source_digest", "content_length", "block_digest", "block")
+
+
 def build_derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Two records for each response of ``record_id, target_uri, date, http_headers, payload, payload_digest``.
 
     Returns the ``keep`` columns and ``record_id, warc_type, refers_to,
     target_uri, date, content_type, source_headers, source_digest,
-    content_length, block_digest, block``.
+    content_length, block_digest, block``.  A kept column with the name of one of
+    these gives way to it; other columns are not read, whatever their names.
     """
+    keep = [c for c in keep if c.lower() not in MADE]
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
     html, headers = F.coalesce(F.col("payload"), F.lit("")), F.coalesce(F.col("http_headers"), F.lit(""))
     base = responses.select(
-        *[F.col(c) for c in keep], F.col("record_id").alias("_id"), F.col("target_uri").alias("_uri"), F.col("date").alias("_date"),
+        kept.alias("_kept"), F.col("record_id").alias("_id"), F.col("target_uri").alias("_uri"), F.col("date").alias("_date"),
         headers.alias("_headers"), F.coalesce(F.col("payload_digest"), digest(html)).alias("_digest"),
         without_markup(html).alias("_bare"), F.regexp_extract(html, TITLE, 1).alias("_named"), links(html).alias("_links"),
     )
@@ -159,10 +166,10 @@ def build_derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataF
         F.struct(F.lit("metadata").alias("kind"), F.lit("application/warc-fields").alias("type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("kind"), F.lit("text/plain; charset=utf-8").alias("type"), F.col("_text").alias("block")),
     )
-    two = base.select(*keep, "_id", "_uri", "_date", "_headers", "_digest", F.explode(rows).alias("r"))
+    two = base.select("_kept", "_id", "_uri", "_date", "_headers", "_digest", F.explode(rows).alias("r"))
     block = F.col("r.block")
     return two.select(
-        *keep, record_id(F.col("r.kind"), F.col("_id")).alias("record_id"), F.col("r.kind").alias("warc_type"), F.col("_id").alias("refers_to"),
+        *[F.col(f"_kept.`{c}`") for c in keep], record_id(F.col("r.kind"), F.col("_id")).alias("record_id"), F.col("r.kind").alias("warc_type"), F.col("_id").alias("refers_to"),
         F.col("_uri").alias("target_uri"), F.col("_date").alias("date"), F.col("r.type").alias("content_type"), F.col("_headers").alias("source_headers"),
         F.col("_digest").alias("source_digest"), F.octet_length(block).cast("long").alias("content_length"), digest(block).alias("block_digest"),
         block.alias("block"),

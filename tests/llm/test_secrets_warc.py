@@ -160,3 +160,10 @@ def test_warc_files_keep_headers(spark):
     cols = ["record_id", "warc_type", "refers_to", "source_headers", "source_digest", "content_type", "block"]
     key = lambda r: tuple(r)
     assert sorted(map(key, warc.read_warc(spark, folder).select(cols).collect())) == sorted(map(key, made.select(cols).collect()))
+
+
+def test_warc_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([("<urn:uuid:1>", "http://a/", "d", "h", "<p>t</p>", None, 7, "mine", "x")], "record_id string, target_uri string, date string, http_headers string, payload string, payload_digest string, _id long, block string, r string")
+    got = warc.build_derivatives(docs, keep=("_id", "r", "block")).collect()
+    assert {(r["_id"], r["r"]) for r in got} == {(7, "x")} and {r.block for r in got if r.warc_type == "conversion"} == {"t"}
+    assert len(warc.build_derivatives(docs).columns) == len(warc.MADE)

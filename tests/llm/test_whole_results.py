@@ -90,3 +90,31 @@ def test_many_secrets_in_one_text(spark):
                 out += t[at:a] + "[SECRET]"
             at = max(at, b)
         assert redacted[d] == out + t[at:]
+
+
+def test_very_long_texts(spark):
+    """Six million characters, and a word of 200,000, through every operator on texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from mentionmill.llm import jaccard_join, language_id, packing, sentencepiece_backend, token_files, toxicity
+    from mentionmill.storage import new_path
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    words = [f"word{i % 9973}" for i in range(600_000)]
+    texts = [" ".join(words), " ".join(words[:-3] + ["token=abcdefgh12", "you", "idiot"]), "ab " + "y" * 200_000 + " z", "short text"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    assert {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()} == {0: 0, 1: 0, 2: 2, 3: 3}
+    tok = Tokenizer.from_file(path)
+    want = {i: len(tok.encode(t, add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    folder = new_path(spark, "long")
+    assert {r.doc_id: r.n_tokens for r in token_files.read_token_files(spark, folder, token_files.write_token_files(docs, folder, path, 2)).collect()} == want
+    packed = packing.pack(packing.piece_rows(docs, path, 1, 4096), 4096).groupBy("doc_id").agg(F.sum("length").alias("n")).collect()
+    assert {r.doc_id: r.n for r in packed} == want
+    assert all(r.parity and r.round_trip for r in sentencepiece_backend.encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model")).collect())
+    assert {r.doc_id: r.n_assign for r in secrets.scan(docs).collect()} == {0: 0, 1: 1, 2: 0, 3: 0}
+    model = language_id.learn(spark.createDataFrame([(1, "word the", "en"), (2, "le mot", "fr")], "doc_id long, text string, lang string"))
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}[0] == "en"
+    rows = [(i, "you idiot" if i % 2 else "fine day", i % 2) for i in range(60)]
+    trained = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("toxic"), spark.createDataFrame(rows, "doc_id long, text string, toxic int").drop("text"))
+    assert len(toxicity.score(docs, trained).collect()) == 4
