@@ -73,14 +73,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     if plain:
         first = first.mapInArrow(_contracted, first.schema)
 
-    def written(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+    def written(df: DataFrame, name: str, narrow: bool = False) -> tuple[DataFrame, tuple]:
         """The written edges, and their count and checksum, observed while they are written."""
         seen = Observation()
         digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-        out = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")), name)
+        out = scratch.table(df.observe(seen, F.count(F.lit(1)).alias("n"), digest.alias("digest")), name, narrow)
         return out, (seen.get["n"], seen.get["digest"])
 
-    cur, state = written(first if plain else first.distinct(), "edges")
+    cur, state = written(first if plain else first.distinct(), "edges", plain)
     for k in range(max_rounds):
         if state[0] == 0:
             break

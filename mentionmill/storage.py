@@ -44,8 +44,15 @@ class Scratch:
         self.spark, self.label = spark, label
         self.paths: dict[int, str] = {}
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` and return a DataFrame that reads the written files."""
+    def table(self, df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+        """Write ``df`` and return a DataFrame that reads the written files.
+
+        ``narrow``: its rows are few or small beside what they were made of, so they
+        are gathered first, in as many files as their size needs.  Each file that
+        is made on a local disk costs a fork of the executor's JVM (``chmod``).
+        """
+        if narrow:
+            df = df.hint("rebalance")
         path = new_path(self.spark, f"{self.label}-{name}")
         schema = df.schema
         df.write.parquet(path)

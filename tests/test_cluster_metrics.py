@@ -141,11 +141,11 @@ def test_hubs_are_split(spark, monkeypatch):
 
     plans, table = [], Scratch.table
 
-    def recorded(self, df, name):
+    def recorded(self, df, name, *more):
         if name.startswith("large"):
             df.collect()
             plans.append(df._jdf.queryExecution().executedPlan().toString())
-        return table(self, df, name)
+        return table(self, df, name, *more)
 
     monkeypatch.setattr(Scratch, "table", recorded)
     monkeypatch.setattr(graph, "HELD", 3)
