@@ -55,7 +55,7 @@ from .texthash import blocks, doc_words, mix, shingles, small_batches
 _U = np.uint64
 POSITIONS = 20  # bits of a position inside a segment
 BLOCK_ROWS, BLOCK_SHINGLES = 2048, 1 << 21
-SKETCH_WORDS = 1 << 23  # of all dense sketches of a task
+SKETCH_WORDS = 1 << 20  # of all dense sketches of a task
 HELD, RANGE = 1 << 20, 1 << 21  # shingles of a task's block, and of a hash range
 TURNS = 2
 
@@ -289,7 +289,8 @@ def forest(ids: list[int], sets: list[np.ndarray], pct: int, side: np.ndarray |
         js = js[(label[js] != label[i]) & (size[js] * pct <= size[i] * 100) & (size[i] * pct <= size[js] * 100)]
         if not len(js):
             continue
-        ham = np.bitwise_count(sketch[js] ^ sketch[i]).sum(1, dtype=np.int64)
+        step = max(1, (1 << 16) // sketch.shape[1])
+        ham = np.concatenate([np.bitwise_count(sketch[js[a : a + step]] ^ sketch[i]).sum(1, dtype=np.int64) for a in range(0, len(js), step)])
         most = slack(size[js] + size[i], pct)
         hit = np.flatnonzero(ham <= most)
         for j in js[hit[np.argsort(ham[hit], kind="stable")]]:
@@ -351,7 +352,7 @@ class _May:
 
 
 def _candidates(base: DataFrame, sized: DataFrame, k: int, pct: int, scratch: Scratch) -> DataFrame:
-    """``doc_id, keys, shs`` of one text of each class that may be linked to another."""
+    """``doc_id, n, keys, shs`` of one text of each class that may be linked to another."""
     spark = base.sparkSession
     asked, texts = sized.agg(F.coalesce(F.sum("asked"), F.lit(0)), F.count("doc_id")).first()
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -369,7 +370,7 @@ def _candidates(base: DataFrame, sized: DataFrame, k: int, pct: int, scratch: Sc
         own = base.join(reps.select("doc_id"), "doc_id", "left_semi")
         near = own.mapInArrow(_keyed(k, pct, None), "doc_id long, n long, d1 long, d2 long, keys array<long>, shs binary")
     one = ["doc_id", "d1", "d2", "n"]
-    return scratch.table(near.join(reps, one).dropDuplicates(one).select("doc_id", "keys", "shs"), "sets")
+    return scratch.table(near.join(reps, one).dropDuplicates(one).select("doc_id", "n", "keys", "shs"), "sets")
 
 
 def _families(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -387,29 +388,29 @@ def _families(rows: DataFrame, scratch: Scratch) -> DataFrame:
 def _links(sets: DataFrame, pct: int, scratch: Scratch) -> DataFrame:
     """``src, dst``: a spanning forest of the true links."""
     rows = sets.select("doc_id", F.explode("keys").alias("key"), F.col("doc_id").alias("label"))
-    family = _families(rows, scratch)
-    held = sets.select(F.col("doc_id").alias("node"), "shs", F.col("doc_id").alias("label")).join(family, "node")
+    sizes = sets.select("doc_id", "n")
+    members = sizes.withColumn("label", F.col("doc_id")).join(_families(rows, scratch).withColumnRenamed("node", "doc_id"), "doc_id")
     found = None
     for turn in range(TURNS + 1):
-        held = scratch.table(held, f"held{turn}")
-        parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum(F.octet_length("shs")) / (8 * BLOCK_SHINGLES)))
-        size = scratch.table(held.groupBy("family").agg(parts.alias("parts")), f"size{turn}")
-        dealt = held.join(size, "family").withColumn("own", F.pmod(F.xxhash64("node", F.lit(turn)), F.col("parts")))
+        members = scratch.table(members, f"members{turn}")  # of each set its family, label and size only
+        scratch.release_shuffles()
+        parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("long")
+        size = scratch.table(members.groupBy("family").agg(parts.alias("parts")), f"size{turn}")
+        dealt = members.join(size, "family").withColumn("own", F.pmod(F.xxhash64("doc_id", F.lit(turn)), F.col("parts")))
+        dealt = dealt.drop("n").distinct().join(sets.select("doc_id", "shs"), "doc_id")
         dealt = dealt.withColumn("other", F.explode(F.expr("sequence(0L, parts - 1)")) if turn == TURNS else F.col("own"))
-        dealt = dealt.select(
-            "family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", F.col("node").alias("doc_id"), "label", "shs"
-        )
-        new = scratch.table(dealt.groupBy("family", "x", "y").applyInArrow(_verify(pct), "src long, dst long"), f"links{turn}")
+        dealt = dealt.select("family", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "doc_id", "label", "shs")
+        new = scratch.table(dealt.groupBy("family", "x", "y").applyInArrow(_verify(pct), "src long, dst long"), f"links{turn}", narrow=True)
         found = new if found is None else found.unionByName(new)
         wide = size.where("parts > 1")
         if turn == TURNS or wide.isEmpty():
             return found
-        comp = scratch.table(connected_components(found), f"comp{turn}")
-        held = held.drop("label").join(wide.select("family"), "family", "left_semi").join(comp, "node", "left")
-        held = held.select("node", "shs", F.coalesce("component", "node").alias("label"))
-        labels = scratch.table(held.select(F.col("node").alias("doc_id"), "label").distinct(), f"labels{turn}")
-        rows = sets.select("doc_id", F.explode("keys").alias("key")).join(labels, "doc_id")
-        held = held.join(_families(rows, scratch), "node")
+        comp = connected_components(found).withColumnRenamed("node", "doc_id")
+        left = members.drop("label").join(wide.select("family"), "family", "left_semi").drop("family").join(comp, "doc_id", "left")
+        left = scratch.table(left.select("doc_id", "n", F.coalesce("component", "doc_id").alias("label")), f"labels{turn}")
+        own = sets.select("doc_id", "keys").join(left.select("doc_id", "label").distinct(), "doc_id")
+        rows = own.select("doc_id", F.explode("keys").alias("key"), "label")
+        members = left.join(_families(rows, scratch).withColumnRenamed("node", "doc_id"), "doc_id")
     return found
 
 
@@ -421,9 +422,10 @@ def jaccard_components(
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sized = scratch.table(base.mapInArrow(_digests(k, pct), "doc_id long, n long, d1 long, d2 long, asked long"), "sized")
+    sized = scratch.table(base.mapInArrow(_digests(k, pct), "doc_id long, n long, d1 long, d2 long, asked long"), "sized", narrow=True)
     sets = _candidates(base, sized, k, pct, scratch)
-    links = scratch.table(_links(sets, pct, scratch), "links")
+    scratch.release_shuffles()
+    links = _links(sets, pct, scratch)
     scratch.drop(sets)
     scratch.release_shuffles()
     classes = sized.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
