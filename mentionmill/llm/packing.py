@@ -146,7 +146,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, nearly: int = NEARLY) -> DataF
     """Adds ``sequence_id`` and ``offset`` to ``piece_rows``."""
     spark = pieces.sparkSession
     scratch = Scratch(spark, "pack")
-    held = scratch.table(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    held = scratch.table(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces", narrow=True)
     n = held.count()
     parts = max(1, math.ceil(n / PART_ROWS))
     # dealt by the written rows' own numbers, so a repeated task packs the same pieces and repeated rows spread

@@ -88,7 +88,7 @@ def write_token_files(
         F.col("doc_id").asc_nulls_first()
     )
     made = sorted_docs.mapInArrow(_writer(folder, tokenizer, end_id), "part long, k long, file string, n_docs long, n_tokens long")
-    return _with_starts(Scratch(spark, "manifest").table(made, "files"))
+    return _with_starts(Scratch(spark, "manifest").table(made, "files", narrow=True))
 
 
 def _with_starts(made: DataFrame) -> DataFrame:
