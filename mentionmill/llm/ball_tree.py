@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 
 from .vector_search import search
 
-LEAF = 128
+LEAF, AT_ONCE = 128, 1024
 _EXACT = float(1 << 53)
 _LONG = (1 << 63) - 1
 
@@ -62,9 +62,12 @@ def kernel(scale: int, leaf: int = LEAF):
         uids, x = uids[tree.order], x[tree.order]
         norm = np.sqrt((queries**2).sum(1))
         slackness = 1e-9 * (norm * (np.abs(tree.center).max() + tree.radius.max()) + 1)
-        upper = queries @ tree.center.T + norm[:, None] * tree.radius + slackness[:, None]
         out = []
-        for q, up, bound in zip(queries, upper, bounds):
+        for n, (q, bound) in enumerate(zip(queries, bounds)):
+            if n % AT_ONCE == 0:  # bounds of all nodes for some queries at a time
+                some = slice(n, n + AT_ONCE)
+                upper = queries[some] @ tree.center.T + norm[some, None] * tree.radius + slackness[some, None]
+            up = upper[n % AT_ONCE]
             low = -np.inf if bound is None else bound
             ids, scores = np.empty(0, np.int64), np.empty(0)
             heap = [(-up[0], 0)]

@@ -3,8 +3,11 @@
 Both searches share one plan.  Equal vectors are one candidate with its k + 1
 smallest ids (the window's limit is applied before the shuffle, so a hot vector
 costs k + 1 rows a task); nothing beyond those can be in a top k.  Candidates
-are hashed into shards of about ``SHARD_ROWS`` rows, distinct query vectors into
-blocks of about ``BLOCK_ROWS``; a task searches one shard for one block.  In a
+are hashed into shards, distinct query vectors into blocks; a task searches one
+shard for one block.  What is sent for this grows with the rows times the queries,
+divided by the size of shards and blocks: so a block holds up to ``BLOCK_BYTES`` of
+vectors, and so does a shard where there are more than enough for all tasks;
+smaller tables have shards of about ``SHARD_ROWS`` rows.  In a
 first wave a query visits its home shard.  Its kth score there bounds the
 result from below, and the second wave, over all other shards, gets that bound
 and returns only what reaches it.
@@ -26,7 +29,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..storage import Scratch
 
-SHARD_ROWS, BLOCK_ROWS = 8192, 4096
+SHARD_ROWS, BLOCK_ROWS, BLOCK_BYTES = 8192, 1 << 16, 1 << 25
 
 
 def usable(df: DataFrame, id_col: str, vec_col: str, nonzero: bool = False) -> DataFrame:
@@ -62,8 +65,11 @@ def search(
     asked = rows.where(F.col("vec_id") % every == 0)
     keys = asked.groupBy("h", "v").agg(F.min("vec_id").alias("qkey"))
     keys = scratch.table(keys, "keys")
-    n_class, n_query = classes.count(), keys.count()
-    shards, parts = max(1, -(-n_class // SHARD_ROWS)), max(1, -(-n_query // BLOCK_ROWS))
+    (n_class, wide), n_query = classes.agg(F.count(F.lit(1)), F.coalesce(F.max("dim"), F.lit(1))).first(), keys.count()
+    most = max(256, BLOCK_BYTES // (8 * wide))
+    tasks = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = max(1, -(-n_class // most), min(tasks, -(-n_class // SHARD_ROWS)))
+    parts = max(1, -(-n_query // min(BLOCK_ROWS, most)))
     cand = classes.select(
         "uid", "v", "dim", F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"), F.explode(F.expr(f"sequence(0L, {parts - 1}L)")).alias("part")
     )

@@ -49,11 +49,27 @@ def inner(a, b):
 def test_exact_top_k(vectors, monkeypatch, shard_rows, block_rows):
     monkeypatch.setattr(vector_search, "SHARD_ROWS", shard_rows)
     monkeypatch.setattr(vector_search, "BLOCK_ROWS", block_rows)
+    if block_rows < 4096:
+        monkeypatch.setattr(vector_search, "BLOCK_BYTES", 1 << 10)
     data, df = vectors
     got = sorted(tuple(r) for r in top_inner_products(df).collect())
     assert got == [(q, r, c, -s) for q, r, c, s in brute(data, 50, 5, inner)]
 
 
+def test_bounds_of_some_queries_at_a_time(monkeypatch):
+    from mentionmill.llm import ball_tree
+
+    rng = np.random.default_rng(5)
+    x, q = rng.standard_normal((500, 7)), rng.standard_normal((41, 7))
+    whole = ball_tree.kernel(256, 16)(np.arange(500), x, q, [None] * 41, 6)
+    monkeypatch.setattr(ball_tree, "AT_ONCE", 4)
+    for (a, s), (b, t) in zip(whole, ball_tree.kernel(256, 16)(np.arange(500), x, q, [None] * 41, 6)):
+        assert a.tolist() == b.tolist() and s.tolist() == t.tolist()
+    for (a, s), v in zip(whole, q):
+        want = sorted(((-int(np.floor(256 * x[i]) @ np.floor(256 * v)), i) for i in range(500)))[:6]
+        assert list(zip((-s).tolist(), a.tolist())) == want
+
+
 def test_huge_components(spark):
     data = [(50, [1e30, 1.0]), (1, [1e30, 2.0]), (2, [1.0, 1.0]), (3, [-1e30, 0.0])]
     got = [(r["rank"], r.vec_id) for r in top_inner_products(spark.createDataFrame(data, "vec_id long, embedding array<double>")).orderBy("rank").collect()]
