@@ -238,7 +238,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Toxicity:
     known = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("double")).alias("toxic"))
     known = sample_rows(known, "doc_id", most)  # a bounded number of ids, so it may be broadcast
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("toxic", "text")
-    rows = Scratch(docs.sparkSession, "toxicity").table(rows, "rows")  # the sample, read three times
+    rows = Scratch(docs.sparkSession, "toxicity").table(rows, "rows", narrow=True)  # the sample, read three times
     base = rows.groupBy("toxic").count().collect()
     n_pos, n_neg = (sum(r["count"] for r in base if (r.toxic > 0) == t) for t in (True, False))
     seen = pa.schema([("stem", pa.bool_()), ("key", pa.int64()), ("pos", pa.int64()), ("neg", pa.int64())])
