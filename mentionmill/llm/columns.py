@@ -9,3 +9,8 @@ def unused(names: list[str], like: str) -> str:
     while like in taken:
         like += "_"
     return like
+
+
+def quoted(name: str) -> str:
+    """A column's name as it stands in an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
