@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .columns import unused
+from .columns import quoted, unused
 from .texthash import blocks, mix, small_batches
 
 BUCKETS, SAMPLE, ORDERS, ALPHA = 1 << 16, 16_384, (2, 3, 4), 0.5
@@ -257,8 +257,8 @@ def beside(docs: DataFrame, keep: list[str], text_col: str, predict, added: str,
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     judge = F.pandas_udf(run, "struct<" + ", ".join(x.replace(" ", ":", 1) for x in added.split(", ")) + ">")
     found = into or unused(keep, "_found_")
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], judge(F.col(f"`{text_col}`")).alias(found))
+    out = docs.select(*[F.col(quoted(c)) for c in keep], judge(F.col(quoted(text_col))).alias(found))
     if into:
         return out
     stay = [c for c in keep if c.lower() not in names]
-    return out.select(*[F.col(f"`{c}`") for c in stay], *[F.col(f"`{found}`.{n}").alias(n) for n in names])
+    return out.select(*[F.col(quoted(c)) for c in stay], *[F.col(f"{quoted(found)}.{n}").alias(n) for n in names])
