@@ -96,13 +96,18 @@ def kernel(scale: int, leaf: int = LEAF):
 
 
 def _wide(uids, x, queries, bounds, k):
-    """Components too large for exact doubles: Python integers, scores kept within 64 bits."""
+    """Components too large for exact doubles: Python integers, ranked as they are; only what is returned is kept within 64 bits.
+
+    Scores that leave a task have 64 bits, so those beyond it meet as equals where
+    several shards are merged.
+    """
     big = lambda m: [[int(v) if np.isfinite(v) else (_LONG if v > 0 else -_LONG) for v in r] for r in m.tolist()]
+    kept = lambda v: max(-_LONG, min(_LONG, v))
     x, out = big(x), []
     for q, bound in zip(big(queries), bounds):
-        s = [max(-_LONG, min(_LONG, sum(a * b for a, b in zip(q, r)))) for r in x]
-        top = sorted((i for i in range(len(s)) if bound is None or s[i] >= bound), key=lambda i: (-s[i], uids[i]))[:k]
-        out.append((np.array([uids[i] for i in top], np.int64), np.array([s[i] for i in top], np.int64)))
+        s = [sum(a * b for a, b in zip(q, r)) for r in x]
+        top = sorted((i for i in range(len(s)) if bound is None or kept(s[i]) >= bound), key=lambda i: (-s[i], uids[i]))[:k]
+        out.append((np.array([uids[i] for i in top], np.int64), np.array([kept(s[i]) for i in top], np.int64)))
     return out
 
 

@@ -3,36 +3,39 @@
 Vectors get binary codes: signs after a learned rotation (iterative
 quantisation on a bounded sample; several rotations, each from its own start,
 give about ``BITS`` bits; below ``FEW`` dimensions all but the first are random
-and cut at quantiles of the sample).  Codes are cut into substrings of about ``WIDTH`` bits
-and each substring's values in a shard are indexed.  To find every code within
+and cut at quantiles of the sample).  A shard's codes are cut into substrings of
+about log2(rows) bits, 8 to 16, and each substring has a directory: for each of
+its 2**bits values where the rows that hold it stand.  To find every code within
 Hamming radius r of a query, substring i is probed at radius s_i with
 sum(s_i + 1) = r + 1: by the pigeonhole principle a code within r is within s_i
-on some substring i.  A probe looks up every value of its ball where these are
-fewer than the index's values, and else compares the query with those values.
-Everything the probes give is reranked by Euclidean distance on the original
-vectors, so what lies beyond r helps too.
+on some substring i.  A probe is a lookup in the directory for each value of its
+ball; no probe reads the codes one by one.  What the probes give is compared as
+whole codes, and the codes within r are reranked by Euclidean distance on the
+original vectors.
 
-r is learned from the sample: its probes admit ``COVER`` of the sample's own
-nearest neighbours, as many of each as the k nearest of the whole table are on
-average in the sample.  A query for which a shard gives too few codes is probed
-again at a larger radius.  A shard of vectors of a length that the sample lacks
-learns its codes from its own vectors.
+r is learned from the sample: ``COVER`` of the sample's own nearest neighbours
+have codes within it, as many of each as the k nearest of the whole table are on
+average in the sample.  A query for which a shard has fewer than ``LEAST`` times k
+codes within r is probed again at a larger radius.  A shard of vectors of a length that the sample
+lacks learns its codes from its own vectors.
 
 See ``vector_search`` for nulls, ties, repeated rows and extra columns.
 """
 
 from __future__ import annotations
 
+from functools import cache
 from itertools import combinations
-from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from .vector_search import search, usable
 
-SAMPLE, BITS, WIDTH, COVER, ROUNDS, FEW = 4096, 128, 43, 0.95, 12, 16
-_U = np.uint64
+SAMPLE, BITS, COVER, ROUNDS, FEW = 4096, 128, 0.97, 12, 16
+WIDTHS = 8, 16
+#: Times k codes that are reranked at least.
+LEAST = 4
 
 
 class Codes:
@@ -59,15 +62,13 @@ class Codes:
         turn, cut = np.hstack(turns), np.concatenate(cut)
         self.bits = max(64, len(cut) // 64 * 64) if len(cut) >= 64 else len(cut)
         self.turn, self.cut = turn[:, : self.bits], cut[: self.bits]
-        parts = substrings(self.encode(x), cuts_of(8 * -(-self.bits // 8)))
-        k, m = max(1, min(round(k * share), len(x) - 1)), len(parts)
+        codes, k = self.encode(x), max(1, min(round(k * share), len(x) - 1))
         seen = []
         for i in np.linspace(0, len(x) - 1, min(512, len(x))).astype(int):
             dist = ((x - x[i]) ** 2).sum(1)
             dist[i] = np.inf
             near = np.argsort(dist)[: k if len(x) > 1 else 0]
-            # substring j alone admits a code from radius m * h + j on, h being their distance there
-            seen.append(np.min([m * np.bitwise_count(p[near] ^ p[i]).astype(np.int64) + j for j, p in enumerate(parts)], axis=0))
+            seen.append(np.bitwise_count(codes[near] ^ codes[i]).sum(1, dtype=np.int64))
         seen = np.concatenate(seen) if seen else np.zeros(0)
         self.radius = int(np.quantile(seen, COVER, method="higher")) if len(seen) else self.bits
 
@@ -76,58 +77,50 @@ class Codes:
         return np.packbits((x - self.mean) @ self.turn >= self.cut, axis=1)
 
 
-def cuts_of(bits: int) -> np.ndarray:
-    """Where codes of so many bits are cut."""
-    return np.linspace(0, bits, -(-bits // WIDTH) + 1).astype(int)
+def cuts_of(bits: int, rows: int) -> np.ndarray:
+    """Where codes of so many bits are cut, for an index of so many rows."""
+    width = min(max(int(rows).bit_length(), WIDTHS[0]), WIDTHS[1])
+    return np.linspace(0, bits, max(1, -(-bits // width)) + 1).astype(int)
 
 
 def substrings(codes: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
     """Each substring of the codes as a column of numbers."""
-    bits, out = np.unpackbits(codes, axis=1), []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        padded = np.zeros((len(codes), 64), np.uint8)
-        padded[:, : b - a] = bits[:, a:b]
-        out.append(np.packbits(padded, axis=1, bitorder="little").view("<u8")[:, 0])
-    return out
+    bits = np.unpackbits(codes, axis=1)
+    return [bits[:, a:b] @ (1 << np.arange(b - a, dtype=np.int64)) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+@cache
+def ball(width: int, reach: int) -> np.ndarray:
+    """All numbers of ``width`` bits with at most ``reach`` ones."""
+    return np.array([sum(1 << b for b in c) for j in range(min(reach, width) + 1) for c in combinations(range(width), j)], np.int64)
 
 
 class MultiIndex:
-    """An index of each substring of one shard's codes: its distinct values and their rows."""
+    """A directory for each substring of one shard's codes; ``lookups`` counts the values looked up."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes, self.cuts = codes, cuts_of(8 * codes.shape[1])
-        self.widths = np.diff(self.cuts)
-        self.values, self.order, self.first = [], [], []
-        for part in substrings(codes, self.cuts):
-            values, back = np.unique(part, return_inverse=True)
-            self.values.append(values)
-            self.order.append(np.argsort(back, kind="stable"))
-            self.first.append(np.concatenate([[0], np.cumsum(np.bincount(back, minlength=len(values)))]))
+        self.codes, self.cuts, self.lookups = codes, cuts_of(8 * codes.shape[1], len(codes)), 0
+        self.widths = np.diff(self.cuts).tolist()
+        parts = substrings(codes, self.cuts)
+        self.rows = [np.argsort(part, kind="stable") for part in parts]
+        self.first = [np.concatenate([[0], np.cumsum(np.bincount(part, minlength=1 << w))]) for part, w in zip(parts, self.widths)]
 
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows with some substring near enough; among them all whose code is within ``radius``."""
-        m = len(self.widths)
-        base, more = divmod(radius + 1, m)
+        base, more = divmod(radius + 1, len(self.widths))
         hit = np.zeros(len(self.codes), bool)
         for i, part in enumerate(substrings(code[None], self.cuts)):
             reach = base - 1 + (i < more)
             if reach >= 0:
-                near = self._ball(i, part[0], reach)
-                size = self.first[i][near + 1] - self.first[i][near]
-                at = np.repeat(self.first[i][near] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                hit[self.order[i][at]] = True
+                values = ball(self.widths[i], reach) ^ part[0]
+                self.lookups += len(values)
+                first = self.first[i][values]
+                size = self.first[i][values + 1] - first
+                some = np.flatnonzero(size)
+                first, size = first[some], size[some]
+                hit[self.rows[i][np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]] = True
         return np.flatnonzero(hit)
 
-    def _ball(self, i: int, value: np.uint64, reach: int) -> np.ndarray:
-        """Places of the indexed values of substring i within ``reach`` of ``value``."""
-        values, width = self.values[i], int(self.widths[i])
-        if sum(comb(width, j) for j in range(min(reach, width) + 1)) >= len(values):
-            return np.flatnonzero(np.bitwise_count(values ^ value) <= reach)
-        flips = np.array([sum(1 << b for b in c) for j in range(reach + 1) for c in combinations(range(width), j)], _U)
-        at = np.searchsorted(values, flips ^ value)
-        at[at == len(values)] = 0
-        return at[values[at] == flips ^ value]
-
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose code is within ``radius`` of ``code``: all of them."""
         rows = self.probe(code, radius)
@@ -141,10 +134,10 @@ def kernel(models: dict[int, Codes]):
         out = []
         for q, code, bound in zip(queries, model.encode(queries), bounds):
             radius = model.radius
-            rows = index.probe(code, radius)
-            while len(rows) < min(k, len(x)):
-                radius = min(model.bits, radius + max(1, model.bits // 32))
-                rows = index.probe(code, radius)
+            rows = index.within(code, radius)
+            while len(rows) < min(LEAST * k, len(x)):
+                radius = min(8 * len(code), radius + max(1, model.bits // 32))
+                rows = index.within(code, radius)
             dist = np.sqrt(((x[rows] - q) ** 2).sum(1))
             if bound is not None:
                 keep = dist <= bound

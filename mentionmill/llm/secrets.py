@@ -22,7 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .columns import unused
+from .columns import quoted, unused
 
 #: The base patterns, in Java's syntax.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -139,7 +139,7 @@ def _entropy_spans(text: str, taken: str) -> str:
 
 def with_spans(docs: DataFrame, text_col: str = "text", out: str = "_spans_") -> DataFrame:
     """Adds an array of (s, k, e), sorted: code-point start, kind (1-based in ``KINDS``), end."""
-    t = f"coalesce(`{text_col}`, '')"
+    t = f"coalesce({quoted(text_col)}, '')"
     base = unused([*docs.columns, out], "_base_")
     found = docs.withColumn(base, F.expr(f"concat({_found(t, ASSIGN, 1, 2, 8)}, {_found(t, r'AKIA[A-Z0-9]{12,}', 2)}, {_found(t, HEX, 3)})"))
     return found.withColumn(out, F.expr(f"array_sort(concat({base}, {_entropy_spans(t, base)}))")).drop(base)
@@ -168,7 +168,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
     """The rows with every span of their text replaced by ``mark`` (overlapping spans by one)."""
     names, spans = docs.columns, unused(docs.columns, "_spans_")
     held = with_spans(docs, text_col, spans)
-    t = f"coalesce(`{text_col}`, '')"
+    t = f"coalesce({quoted(text_col)}, '')"
     # (end of the text kept before, start) of each run of overlapping spans; pieces of the text are cut from pieces of it
     runs = _walk(spans, "struct<p:int,s:int>", "greatest({at}, x.e)", "x.s >= {at}", "named_struct('p', {at}, 's', x.s)")
     part = f"array_join(transform(w, x -> concat(substr(g, x.p - w[0].p + 1, x.s - x.p), '{mark}')), '')"
@@ -177,5 +177,5 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> D
         _let(runs, "m", "string", f"array_join(transform(transform(sequence(0, (size(m) - 1) div {PIECE}), i -> slice(m, i * {PIECE} + 1, {PIECE})), w -> {part}), '')")
     )
     cut = f"concat({cut}, substr({t}, array_max(transform({spans}, x -> x.e)) + 1))"
-    new = F.expr(f"if(size({spans}) = 0, `{text_col}`, {cut})")
-    return held.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in names])
+    new = F.expr(f"if(size({spans}) = 0, {quoted(text_col)}, {cut})")
+    return held.select(*[new.alias(c) if c == text_col else F.col(quoted(c)) for c in names])

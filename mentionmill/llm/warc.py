@@ -18,7 +18,9 @@ member a record, with names free for any field.
 from __future__ import annotations
 
 import gzip
+import re
 import uuid
+import zlib
 from html.entities import html5
 from urllib.parse import quote, unquote
 
@@ -26,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..storage import Scratch
+from .columns import quoted
 
 #: Characters that a coded field keeps as they are.
 _PLAIN = " !\"#$&'()*+,/:;<=>?@[]^`{|}"
@@ -146,7 +149,7 @@ def build_derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     these gives way to it; other columns are not read, whatever their names.
     """
     keep = [c for c in keep if c.lower() not in MADE]
-    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.lit(None)
+    kept = F.struct(*[F.col(quoted(c)) for c in keep]) if keep else F.lit(None)
     html, headers = F.coalesce(F.col("payload"), F.lit("")), F.coalesce(F.col("http_headers"), F.lit(""))
     base = responses.select(
         kept.alias("_kept"), F.col("record_id").alias("_id"), F.col("target_uri").alias("_uri"), F.col("date").alias("_date"),
@@ -169,7 +172,7 @@ def build_derivatives(responses: DataFrame, keep: tuple[str, ...] = ()) -> DataF
     two = base.select("_kept", "_id", "_uri", "_date", "_headers", "_digest", F.explode(rows).alias("r"))
     block = F.col("r.block")
     return two.select(
-        *[F.col(f"_kept.`{c}`") for c in keep], record_id(F.col("r.kind"), F.col("_id")).alias("record_id"), F.col("r.kind").alias("warc_type"), F.col("_id").alias("refers_to"),
+        *[F.col(f"_kept.{quoted(c)}") for c in keep], record_id(F.col("r.kind"), F.col("_id")).alias("record_id"), F.col("r.kind").alias("warc_type"), F.col("_id").alias("refers_to"),
         F.col("_uri").alias("target_uri"), F.col("_date").alias("date"), F.col("r.type").alias("content_type"), F.col("_headers").alias("source_headers"),
         F.col("_digest").alias("source_digest"), F.octet_length(block).cast("long").alias("content_length"), digest(block).alias("block_digest"),
         block.alias("block"),
@@ -182,16 +185,43 @@ def record_bytes(fields: dict[str, str], block: bytes) -> bytes:
     return f"{VERSION}\r\n{head}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
 
 
-def parse_records(data: bytes):
-    """(fields, block) of each record of uncompressed WARC data."""
+class CutRecord(ValueError):
+    """A record whose header or block ends before it should, or that gives no length."""
+
+
+def parse_records(data: bytes, cut: list | None = None):
+    """(fields, block) of each record of uncompressed WARC data; fields by their names in lower case.
+
+    Names of fields are read in any case, with or without a blank after the colon,
+    and continuation lines belong to the line before.  A record that is cut, or has
+    no length, is not returned: it is added to ``cut`` as (place, reason), or
+    raised as ``CutRecord`` where that is None.  After one without a length the
+    next record is looked for.
+    """
     at = 0
+
+    def report(reason: str):
+        if cut is None:
+            raise CutRecord(f"record at byte {at}: {reason}")
+        cut.append((at, reason))
+
     while (at := data.find(b"WARC/", at)) >= 0:
-        end = data.index(b"\r\n\r\n", at)
-        lines = data[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        fields = dict(x.split(": ", 1) for x in lines if ": " in x)
-        size = int(fields.get("Content-Length", 0))
-        yield fields, data[end + 4 : end + 4 + size]
-        at = end + 4 + size
+        end = data.find(b"\r\n\r\n", at)
+        if end < 0:
+            return report("its header is cut")
+        head = re.sub("\r\n[ \t]+", " ", data[at:end].decode("utf-8", "replace"))
+        pairs = (x.partition(":") for x in head.split("\r\n")[1:])
+        fields = {name.strip().lower(): value.strip() for name, colon, value in pairs if colon}
+        size = fields.get("content-length", "")
+        if not size.isdecimal():
+            report("it has no length")
+            at = end + 4
+            continue
+        begin = end + 4
+        if begin + int(size) > len(data):
+            return report("its block is cut")
+        yield fields, data[begin : begin + int(size)]
+        at = begin + int(size)
 
 
 #: Column of a record table and its WARC field.  The payload digest of a derivative is that of the payload it refers to.
@@ -237,21 +267,45 @@ def write_warc(records: DataFrame, folder: str) -> DataFrame:
     return Scratch(records.sparkSession, "warc").table(made, "files")
 
 
-def read_warc(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of ``.warc`` and ``.warc.gz`` files as columns of ``FIELDS`` and ``block``; a task holds one file at a time."""
-    names = [*FIELDS, "block"]
+def members(raw: bytes, cut: list):
+    """The gzip members of a file, one at a time; a damaged or cut one ends the file and is reported."""
+    while raw:
+        one = zlib.decompressobj(31)
+        try:
+            data = one.decompress(raw) + one.flush()
+        except zlib.error:
+            return cut.append((0, "a gzip member is damaged"))
+        if not one.eof:
+            cut.append((0, "a gzip member is cut"))
+        yield data
+        raw = one.unused_data
+
+
+def read_warc(spark: SparkSession, folder: str, with_cut: bool = False) -> DataFrame:
+    """Records of ``.warc`` and ``.warc.gz`` files as columns of ``FIELDS`` and ``block``.
+
+    A task holds one compressed file and one of its members at a time.  Records
+    that are cut are left out; with ``with_cut`` each is a row that has only
+    ``cut``, the reason.
+    """
+    names = [*FIELDS, "block", *["cut"] * with_cut]
 
     def run(batches):
         for batch in batches:
             for data in batch.column(0):
-                raw = data.as_py()
-                rows = []
-                for f, b in parse_records(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
-                    own = {c: f.get(w) for c, w in FIELDS.items()}
-                    own |= {c: unquote(own[c]) for c in CODED if own[c] is not None}
-                    rows.append([*own.values(), b.decode("utf-8", "replace")])
-                for lo in range(0, len(rows), 1000):
-                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows[lo : lo + 1000])], names=names)
+                raw, rows, cut = data.as_py(), [], []
+                for part in members(raw, cut) if raw[:2] == b"\x1f\x8b" else [raw]:
+                    for f, b in parse_records(part, cut):
+                        own = {c: f.get(w.lower()) for c, w in FIELDS.items()}
+                        own |= {c: unquote(own[c]) for c in CODED if own[c] is not None}
+                        rows.append([*own.values(), b.decode("utf-8", "replace"), *[None] * with_cut])
+                        if len(rows) >= 1000:
+                            yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
+                            rows = []
+                if with_cut:
+                    rows += [[None] * (len(names) - 1) + [reason] for _, reason in cut]
+                if rows:
+                    yield pa.record_batch([pa.array(c, pa.string()) for c in zip(*rows)], names=names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder).select("content")
     return files.mapInArrow(run, ", ".join(f"{n} string" for n in names))

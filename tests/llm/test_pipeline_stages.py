@@ -65,3 +65,20 @@ def test_awkward_rows_with_all_their_columns_pass_every_stage(spark, awkward):
         assert docs.columns == columns
         assert {(r.score, r.component_id, r._spans_, r.found, r.lang_pred) for r in docs.collect()} == {(0.5, -1, "x", 7, 9)}
     assert P.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_names_with_dots_and_backticks_pass_every_stage(spark, awkward):
+    docs = awkward.withColumnRenamed("v", "a.b").withColumnRenamed("shard", "c`d").withColumnRenamed("piece", "e f")
+    columns = docs.columns
+    for name, f in P.STAGES[:-1]:
+        docs = f(spark, docs, SF)
+        assert docs.columns == columns, name
+        assert {(r["a.b"], r["c`d"], r["e f"]) for r in docs.collect()} == {("x", 7, 9)}
+    assert P.STAGES[-1][1](spark, docs, SF).count() > 0
+
+
+def test_no_rows_pass_every_stage(spark, no_docs):
+    docs = no_docs
+    for _, f in P.STAGES:
+        docs = f(spark, docs, SF)
+        assert docs.count() == 0

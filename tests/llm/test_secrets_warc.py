@@ -167,3 +167,27 @@ def test_warc_keeps_columns_of_any_name(spark):
     got = warc.build_derivatives(docs, keep=("_id", "r", "block")).collect()
     assert {(r["_id"], r["r"]) for r in got} == {(7, "x")} and {r.block for r in got if r.warc_type == "conversion"} == {"t"}
     assert len(warc.build_derivatives(docs).columns) == len(warc.MADE)
+
+
+def test_broken_records_are_reported():
+    good = warc.record_bytes({"WARC-Type": "metadata"}, b"one") + warc.record_bytes({"WARC-Type": "conversion"}, b"two")
+    assert [b for _, b in warc.parse_records(good)] == [b"one", b"two"]
+    low = b"WARC/1.1\r\nwarc-type:metadata\r\ncontent-length:5\r\nX-Note: a\r\n  b\r\n\r\nWARC/\r\n\r\n"
+    assert list(warc.parse_records(low)) == [({"warc-type": "metadata", "content-length": "5", "x-note": "a b"}, b"WARC/")]
+    for data, n, reason in ((good[:-6], 1, "block"), (good[: good.rindex(b"WARC/") + 9], 1, "header"), (b"WARC/1.0\r\nWARC-Type: x\r\n\r\n" + good, 2, "length")):
+        cut = []
+        assert len(list(warc.parse_records(data, cut))) == n and len(cut) == 1 and reason in cut[0][1]
+        with pytest.raises(warc.CutRecord):
+            list(warc.parse_records(data))
+
+
+def test_cut_files_are_read_as_far_as_they_go(spark, tmp_path):
+    import gzip
+
+    one, two = (gzip.compress(warc.record_bytes({"WARC-Type": "metadata"}, b * 50)) for b in (b"a", b"b"))
+    (tmp_path / "x.warc.gz").write_bytes(one + two[:-12])
+    (tmp_path / "y.warc.gz").write_bytes(one + b"\x1f\x8b broken")
+    (tmp_path / "z.warc").write_bytes(gzip.decompress(one) + gzip.decompress(two)[:-20])
+    got = warc.read_warc(spark, str(tmp_path), with_cut=True).collect()
+    assert [r.block for r in got if r.cut is None] == ["a" * 50] * 3 and sum(r.cut is not None for r in got) >= 3
+    assert warc.read_warc(spark, str(tmp_path)).count() == 3

@@ -114,22 +114,54 @@ def test_small_balls_are_looked_up():
             assert index.within(q, radius).tolist() == np.flatnonzero(np.bitwise_count(codes ^ q).sum(1) <= radius).tolist()
 
 
-@pytest.mark.parametrize("table", ["sf0.1/embeddings.parquet", "check_h/embeddings.parquet"])
-def test_probes_admit_few_and_miss_few(table):
-    """The share of a shard that the probes admit, and the recall of what they admit."""
-    import pyarrow.dataset as ds
+def hot_vectors():
+    """A third of the rows are one vector, many others stand near a few centres."""
+    rng = np.random.default_rng(12)
+    centres = rng.standard_normal((40, 64))
+    x = centres[rng.integers(0, 40, 3000)] + 0.6 * rng.standard_normal((3000, 64))
+    return np.concatenate([x, np.repeat(x[:1], 1500, axis=0)]).astype(np.float32).astype(float)
 
-    x = np.array(ds.dataset(f"{DATA}/{table}").to_table(columns=["embedding"]).column("embedding").to_pylist(), float)
+
+@pytest.mark.parametrize("table", ["sf0.1/embeddings.parquet", None])
+def test_probes_are_lookups_that_miss_few(table):
+    """Every probe is a lookup for each value of its balls; what lies within the radius holds nine in ten true neighbours at least."""
+    import pyarrow.parquet as pq
+
+    x = np.array(pq.read_table(f"{DATA}/{table}", columns=["embedding"]).column("embedding").to_pylist(), float) if table else np.unique(hot_vectors(), axis=0)
     model = Codes(np.unique(x[np.random.default_rng(1).permutation(len(x))[:4096]], axis=0), 10, share=min(1, 4096 / len(x)))
-    index = MultiIndex(model.encode(x))
-    admitted, found, asked = [], 0, 0
-    for i in range(0, len(x), len(x) // 100):
+    codes = model.encode(x)
+    index = MultiIndex(codes)
+    assert all(8 <= w <= 16 for w in index.widths) and sum(index.widths) == model.bits
+    admitted, found, asked, queries = [], 0, 0, range(0, len(x), len(x) // 100)
+    for i in queries:
         dist = ((x - x[i]) ** 2).sum(1)
         dist[i] = np.inf
-        near, rows = np.argsort(dist)[:10], index.probe(model.encode(x[i : i + 1])[0], model.radius)
+        near, rows = np.argsort(dist)[:10], index.within(codes[i], model.radius)
+        assert rows.tolist() == np.flatnonzero(np.bitwise_count(codes ^ codes[i]).sum(1) <= model.radius).tolist()
         admitted.append(len(rows) / len(x))
         found, asked = found + len(np.intersect1d(near, rows)), asked + 10
-    assert np.mean(admitted) < 0.3 and found >= 0.9 * asked
+    base, more = divmod(model.radius + 1, len(index.widths))
+    balls = sum(math.comb(w, j) for i, w in enumerate(index.widths) for j in range(base + (i < more)))
+    assert index.lookups == len(queries) * balls
+    assert np.mean(admitted) < 0.2 and found >= 0.9 * asked
+
+
+@pytest.mark.parametrize("hot", [True, False])
+def test_recall_beside_a_hot_vector(spark, hot):
+    x = hot_vectors()
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x if hot else np.unique(x, axis=0))], "vec_id long, embedding array<double>")
+    data = [(r.vec_id, r.embedding) for r in df.collect()]
+    m = np.array([v for _, v in data])
+    got = {}
+    for r in nearest_neighbours(df, every=100).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    hit = asked = 0
+    for q, found in got.items():
+        dist = np.sqrt(((m - m[q]) ** 2).sum(1))
+        dist[q] = np.inf
+        near = np.lexsort((np.arange(len(m)), dist))[:10]
+        hit, asked = hit + len(set(found) & set(near.tolist())), asked + 10
+    assert len(got) == -(-len(m) // 100) and hit >= 0.9 * asked
 
 
 def test_one_id_with_two_vectors(spark):
