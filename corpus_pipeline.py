@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from mentionmill.llm import q_language, q_packing, q_toxicity
-from mentionmill.llm.columns import unused
+from mentionmill.llm.columns import quoted, unused
 from mentionmill.llm.jaccard_join import jaccard_components
 from mentionmill.llm.language_id import identify
 from mentionmill.llm.secrets import redact
@@ -32,7 +32,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         return docs
     found = unused(names, "found")
     own = (F.col(f"{found}.lang_pred") != "und") & (F.col(f"{found}.score") >= LEAST_LANGUAGE) & (F.col(f"{found}.fit") >= LEAST_FIT)
-    return identify(docs, model, keep=names, with_fit=True, into=found).where(own).select(*names)
+    return identify(docs, model, keep=names, with_fit=True, into=found).where(own).select(*map(quoted, names))
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +41,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = q_toxicity.train(docs, labels)
     names = docs.columns
     found = unused(names, "found")
-    return score(docs, model, keep=names, into=found).where(F.col(f"{found}.score") < q_toxicity.THRESHOLD).select(*names)
+    return score(docs, model, keep=names, into=found).where(F.col(f"{found}.score") < q_toxicity.THRESHOLD).select(*map(quoted, names))
 
 
 def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,13 +52,13 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """
     names = docs.columns
     keep = jaccard_components(docs, k=NEAR_WORDS, pct=NEAR_PERCENT).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*names)
+    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]).select(*map(quoted, names))
     return kept.unionByName(docs.where("doc_id is null"))
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts."""
-    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    return redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*map(quoted, docs.columns))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
