@@ -178,6 +178,17 @@ def numbered(rows: DataFrame, order: list, name: str) -> DataFrame:
     return out.withColumn(name, F.col("_before") + F.col("_at") - F.shiftleft("_part", 33) + 1).drop("_part", "_before", "_at")
 
 
+def running_sums(rows: DataFrame, order: Column, columns: list[str]) -> DataFrame:
+    """``columns`` as running sums in an order of distinct values, by range partitions: sums within a partition, plus those of the ones before it."""
+    held = Scratch(rows.sparkSession, "running").table(rows.orderBy(order).withColumn("_part", F.spark_partition_id()), "rows")
+    inner = Window.partitionBy("_part").orderBy(order)
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = held.groupBy("_part").agg(*[F.sum(c).alias(c) for c in columns])  # a row for each partition
+    totals = totals.select("_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in columns])
+    run = held.withColumns({c: F.sum(c).over(inner) for c in columns}).join(totals, "_part")
+    return run.withColumns({c: F.col(c) + F.col(f"_before_{c}") for c in columns}).drop("_part", *[f"_before_{c}" for c in columns])
+
+
 def running_index(rows: DataFrame, order: list, name: str = "index") -> DataFrame:
     """Rows numbered from 0 in an order, as predictions are matched to their pairs."""
     return numbered(rows, order, "_number").withColumn(name, F.col("_number") - 1).drop("_number")

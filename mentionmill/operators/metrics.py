@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def ratio(num, den) -> Column:
@@ -95,24 +95,17 @@ def cell(label: str = "label", pred: str = "pred") -> Column:
 def threshold_sweep(scored: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
     """Errors at every distinct score as threshold (``score >= threshold`` is positive): ``threshold, fp, fn, errors``.
 
-    Rows are first summed per distinct score; the running sums then need a
-    single ordered pass, which is dealt by ranges of the score: each range's
-    totals are added to the running sums inside the ranges.
+    Rows are first summed per distinct score; running sums are then dealt by ranges of the score.
     """
+    from .filters import running_sums
+
     per = scored.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("threshold")).agg(
         F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")
     )
-    spark = scored.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = per.repartitionByRange(parts, F.col("threshold").desc()).withColumn("part", F.spark_partition_id())
-    inner = Window.partitionBy("part").orderBy(F.col("threshold").desc())
-    run = dealt.withColumn("p", F.sum("pos").over(inner)).withColumn("n", F.sum("neg").over(inner))
-    totals = dealt.groupBy("part").agg(F.sum("pos").alias("tp"), F.sum("neg").alias("tn"))  # a row for each range
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = totals.select("part", F.coalesce(F.sum("tp").over(before), F.lit(0)).alias("bp"), F.coalesce(F.sum("tn").over(before), F.lit(0)).alias("bn"))
-    whole = totals.agg(F.sum("tp").alias("all_pos"))
-    got = run.join(F.broadcast(base), "part").crossJoin(F.broadcast(whole))
-    fp, fn = F.col("bn") + F.col("n"), F.col("all_pos") - F.col("bp") - F.col("p")
+    run = running_sums(per, F.col("threshold").desc(), ["pos", "neg"])
+    whole = scored.where(F.col(score).isNotNull()).agg(F.count_if(F.col(label) == 1).alias("all_pos"))
+    got = run.crossJoin(whole)  # one row
+    fp, fn = F.col("neg"), F.col("all_pos") - F.col("pos")
     return got.select("threshold", fp.alias("fp"), fn.alias("fn"), (fp + fn).alias("errors"))
 
 

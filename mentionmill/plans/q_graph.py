@@ -2,7 +2,8 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import cluster_metrics, graph, scoring, stats
+from ..functions import vectors
+from ..operators import cluster_metrics, graph, pairs, scoring, stats, threshold_tree
 from . import bindings as B
 from .registry import query
 
@@ -212,6 +213,54 @@ def conll_f1(spark, sf_dir):
     return B.rounded(cluster_metrics.cluster_scores(key, resp))
 
 
+def _similar(spark, sf_dir):
+    """Pairs of a document's mentions, scored by the cosine of their vectors to one place, with its gold chains."""
+    m = B.mentions(spark, sf_dir, vector=True)
+    p = pairs.within_block(m, "doc_id")
+    scored = p.select(F.col("doc_id").alias("block"), F.col("m1_mention").alias("a"), F.col("m2_mention").alias("b"), F.round(vectors.similarity("m1_vector", "m2_vector"), 1).alias("score"))
+    return scored, m.select(F.col("doc_id").alias("block"), "mention", F.col("gold").cast("string").alias("chain"))
+
+
+#: Every state of a document's clusters, from all alone (no score) on; sums of the metrics' inputs for each; and the last state that a threshold lets each document reach.
+_BY_THRESHOLD = f"""sc AS (SELECT x.doc_id AS block, x.mention AS a, y.mention AS b, round(greatest(0, list_sum([x.vector[i]::DOUBLE * y.vector[i]::DOUBLE FOR i IN range(1, 65)])
+    / sqrt(list_sum([v::DOUBLE * v::DOUBLE FOR v IN x.vector])) / sqrt(list_sum([v::DOUBLE * v::DOUBLE FOR v IN y.vector]))) * 100, 1) AS score FROM {B.MENTIONS} x JOIN {B.MENTIONS} y ON x.doc_id = y.doc_id AND x.pos < y.pos),
+  ts AS (SELECT DISTINCT block, score AS t FROM sc UNION ALL SELECT DISTINCT block, 1000 FROM sc),
+  e AS (SELECT block, t, a, b FROM ts JOIN sc USING (block) WHERE score >= t), both_e AS (SELECT * FROM e UNION SELECT block, t, b, a FROM e),
+  reach AS (SELECT DISTINCT block, t, unnest([a, b]) AS node, node AS seen FROM ts JOIN sc USING (block) UNION SELECT r.block, r.t, r.node, x.b FROM reach r JOIN both_e x ON x.block = r.block AND x.t = r.t AND x.a = r.seen),
+  every AS (SELECT block, t, node AS mention, min(seen) AS r FROM reach GROUP BY ALL),
+  counts AS (SELECT block, t, count(DISTINCT r) AS n FROM every GROUP BY ALL),
+  states AS (SELECT block, n, max(t) AS t FROM counts GROUP BY ALL),
+  resp AS (SELECT block, t, mention, r FROM every SEMI JOIN states USING (block, t)),
+  gold AS (SELECT doc_id AS block, mention, gold::VARCHAR AS k FROM {B.MENTIONS}),
+  ks AS (SELECT block, k, count(*) AS sk FROM gold GROUP BY ALL), rs AS (SELECT block, t, r, count(*) AS sr FROM resp GROUP BY ALL),
+  x AS (SELECT block, t, k, r, count(*) AS n, any_value(sk) AS sk, any_value(sr) AS sr FROM resp JOIN gold USING (block, mention) JOIN ks USING (block, k) JOIN rs USING (block, t, r) GROUP BY block, t, k, r),
+  w AS (SELECT block, t, dense_rank() OVER (PARTITION BY block, t ORDER BY k) AS i, 1::BIGINT << (dense_rank() OVER (PARTITION BY block, t ORDER BY r) - 1)::INT AS bit, 2.0::DOUBLE * n / (sk + sr) AS phi FROM x),
+  options AS (SELECT * FROM w UNION ALL SELECT DISTINCT block, t, i, 0::BIGINT, 0::DOUBLE FROM w),
+  held AS (SELECT DISTINCT block, t, 0::BIGINT AS i, 0::BIGINT AS mask, 0::DOUBLE AS e FROM w
+    UNION SELECT o.block, o.t, o.i, h.mask | o.bit, round(h.e + o.phi, 12) FROM held h JOIN options o ON o.block = h.block AND o.t = h.t AND o.i = h.i + 1 AND (h.mask & o.bit) = 0),
+  ce AS (SELECT block, t, max(e) AS e FROM held GROUP BY ALL),
+  xs AS (SELECT block, t, sum(n - 1) AS muc, sum(n * n / sk::DOUBLE) AS b3r, sum(n * n / sr::DOUBLE) AS b3p FROM x GROUP BY ALL),
+  per AS (SELECT * FROM xs JOIN ce USING (block, t) JOIN (SELECT block, t, sum(sr - 1) AS rl, count(*) AS rn FROM rs GROUP BY ALL) USING (block, t)),
+  asked AS (SELECT DISTINCT score AS threshold FROM sc),
+  last AS (SELECT threshold, block, min(t) AS t FROM asked JOIN states ON t >= threshold GROUP BY ALL),
+  whole AS (SELECT sum(sk) AS km, count(*) AS kn FROM ks), n AS (SELECT count(DISTINCT mention) AS m FROM resp),
+  f AS (SELECT threshold, {_prf("muc", "sum(muc)", "any_value(km - kn)", "sum(muc)", "sum(rl)")}, {_prf("b3", "sum(b3r)", "any_value(km)", "sum(b3p)", "any_value(m)")},
+    {_prf("ceafe", "sum(e)", "any_value(kn)", "sum(e)", "sum(rn)")} FROM last JOIN per USING (block, t), whole, n GROUP BY threshold),
+  out AS (SELECT threshold, muc_f, b3_f, ceafe_f, (muc_f + b3_f + ceafe_f) / 3 AS conll_f FROM f)"""
+
+
+@query(f"WITH RECURSIVE {_BY_THRESHOLD} SELECT threshold, round(muc_f, 6) AS muc_f, round(b3_f, 6) AS b3_f, round(ceafe_f, 6) AS ceafe_f, round(conll_f, 6) AS conll_f FROM out")
+def cluster_metrics_by_threshold(spark, sf_dir):
+    """Cluster F of every metric at every distinct score as threshold; the SQL finds the clusters of each document anew for each score."""
+    return B.rounded(threshold_tree.cluster_metrics_by_threshold(*_similar(spark, sf_dir)))
+
+
+@query(f"WITH RECURSIVE {_BY_THRESHOLD} SELECT threshold, round(conll_f, 6) AS conll_f FROM out ORDER BY round(conll_f, 12) DESC, threshold LIMIT 1")
+def best_cluster_threshold(spark, sf_dir):
+    """The threshold with the best CoNLL mean; the smallest one among equals."""
+    return B.rounded(threshold_tree.best_cluster_threshold(*_similar(spark, sf_dir)))
+
+
 @query(f"""SELECT coalesce(k.block, r.block) AS block, count(*) FILTER (k.chain IS NOT NULL AND r.chain IS NOT NULL) AS common, count(*) FILTER (r.chain IS NULL) AS missed,
   count(*) FILTER (k.chain IS NULL) AS invented FROM {B.KEY} k FULL JOIN {B.RESPONSE} r ON k.block = r.block AND k.mention = r.mention GROUP BY 1""")
 def mention_identification(spark, sf_dir):
