@@ -22,27 +22,22 @@ def read_stream(spark: SparkSession, folder: str, table: str, max_files: int = 8
 
 
 def running_confusion(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """Confusion counts of a stream of predictions (complete or update mode; state is a row for each group)."""
+    """Confusion counts of a stream of predictions (update mode; state is a row for each group)."""
     return predictions.groupBy(*by).agg(*confusion())
 
 
 def windowed_counts(events: DataFrame, ts: str = "ts", size: str = "1 hour", late: str = "2 hours", by: list[str] = ()) -> DataFrame:
-    """Counts and sums per window with a watermark, so state is dropped as time goes on."""
+    """Counts and sums per window (append mode: a window is given once, when the watermark passes its end, and its state dropped)."""
     w = events.withWatermark(ts, late).groupBy(F.window(ts, size), *by).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *by, "n", "total")
 
 
 def sessions(events: DataFrame, key: str, ts: str = "ts", gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+    """Events of a key parted by at least ``gap`` (append mode: given once no event can join)."""
     s = events.withWatermark(ts, late).groupBy(key, F.session_window(ts, gap)).agg(F.count(F.lit(1)).alias("n"))
     return s.select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def dedupe_stream(rows: DataFrame, keys: list[str], ts: str = "ts", late: str = "2 hours") -> DataFrame:
+    """The first row of each combination of keys within the watermark (append mode)."""
     return rows.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
-
-
-def run_to_memory(df: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """Drive a stream over what is there now and return the result table (tests, backfills)."""
-    q = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
