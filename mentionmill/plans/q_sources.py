@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import filters, matching, metrics, pairs, predictors, scoring, stats
 from ..functions.vectors import similarity
-from ..sources import annotated, conll, predictions
+from ..sources import annotated, conll, conll_format, predictions
 from ..storage import new_path
 from . import bindings as B
 from .q_text import _UNTOK
@@ -90,6 +90,40 @@ def conll_mentions(spark, sf_dir):
     return conll.read_conll(spark, _lines(docs, F.col("value"), "conll")).select("doc", "begin", "end", "chain")
 
 
+_SPANS = f"""(WITH n AS (SELECT doc_id, max(i) AS last FROM {_CONLL} GROUP BY doc_id)
+  SELECT 'd' || doc_id AS doc, i::INT AS "begin", i::INT AS "end", c::VARCHAR AS chain FROM {_CONLL} WHERE i % 3 = 0
+  UNION ALL SELECT 'd' || doc_id, i::INT, (i + 1)::INT, 's' FROM {_CONLL} JOIN n USING (doc_id) WHERE i % 6 = 1 AND i < last)"""
+
+
+def _conll_folder(spark, sf_dir):
+    """Mentions of the turns, written by documents and tasks; the folder."""
+    from pyspark.sql import Window
+
+    t = _tokens(spark, sf_dir).select("doc_id", (F.length("token") % 5).cast("string").alias("c"), (F.row_number().over(Window.partitionBy("doc_id").orderBy("sent_id", "i")) - 1).alias("i"))
+    own = t.groupBy("doc_id").agg(F.max("i").alias("last"))
+    one = t.where("i % 3 = 0").select("doc_id", F.col("i").alias("begin"), F.col("i").alias("end"), F.col("c").alias("chain"))
+    two = t.where("i % 6 = 1").join(own, "doc_id").where("i < last").select("doc_id", F.col("i").alias("begin"), (F.col("i") + 1).alias("end"), F.lit("s").alias("chain"))
+    conll_format.register(spark)
+    path = new_path(spark, "conll-format")
+    conll_format.write_mentions(one.unionByName(two).withColumn("doc", F.concat(F.lit("d"), F.col("doc_id").cast("string"))), path)
+    return path
+
+
+@query(f"SELECT * FROM {_SPANS}")
+def conll_format_mentions(spark, sf_dir):
+    """Mentions written and read by the data source of coreference files, cut into small ranges."""
+    path = _conll_folder(spark, sf_dir)
+    return spark.read.format("conll").option("rangeBytes", 1 << 16).load(path).select("doc", "begin", "end", "chain")
+
+
+@query(f"SELECT chain, count(*) AS n, sum(\"end\")::BIGINT AS ends FROM {_SPANS} WHERE doc IN ('d1', 'd3', 'd8') AND \"begin\" > 5 GROUP BY chain")
+def conll_format_documents(spark, sf_dir):
+    """A few documents by the source's option; the others' lines are not parsed."""
+    path = _conll_folder(spark, sf_dir)
+    df = spark.read.format("conll").option("docs", '["d1", "d3", "d8"]').load(path)
+    return df.where("begin > 5").groupBy("chain").agg(F.count(F.lit(1)).alias("n"), F.sum("end").alias("ends"))
+
+
 @query(f"""WITH n AS (SELECT doc_id, count(*) AS n FROM {_CONLL} GROUP BY doc_id)
   SELECT 'all' AS file, 'd' || doc_id AS doc, (coalesce(sum(n + 3) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin_line FROM n""")
 def conll_document_index(spark, sf_dir):
