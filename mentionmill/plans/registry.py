@@ -21,7 +21,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import q_graph, q_matching, q_metrics, q_pairs, q_relational, q_sources, q_stats, q_streaming, q_tables, q_text  # noqa: F401
+    from . import q_graph, q_matching, q_metrics, q_pairs, q_relational, q_sketches, q_sources, q_stats, q_streaming, q_tables, q_text  # noqa: F401
 
 
 _load()
