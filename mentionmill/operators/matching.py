@@ -145,12 +145,22 @@ def mixed_experiments(near: DataFrame, wd: DataFrame, cd: DataFrame, key: list[s
 
 
 def drop_nested(mentions: DataFrame, block: list[str] = ("doc", "chain")) -> DataFrame:
-    """Mentions that lie in no other mention of their chain and document; equal spans drop each other."""
+    """Mentions that lie in no other mention of their chain and document; equal spans of two mentions drop each other.
+
+    In the order of starts, the longest first, a span lies in another one exactly
+    if some end before it is not smaller: a running maximum, and no pairs.  Rows
+    with a null in what is compared stay; repeated rows of a mention are one.
+    """
     block = list(block)
-    other = mentions.select(*block, F.col("mention").alias("_o"), F.col("start").alias("_s"), F.col("end").alias("_e"))
-    inside = (F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")) & (F.col("mention") != F.col("_o"))
-    m, o = mentions.alias("m"), other.alias("o")
-    return m.join(o, [F.col(f"m.{b}") == F.col(f"o.{b}") for b in block] + [inside], "left_anti")
+    whole = F.lit(True)
+    for c in (*block, "mention", "start", "end"):
+        whole = whole & F.col(c).isNotNull()
+    before = Window.partitionBy(*block).orderBy("start", F.col("end").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    same = Window.partitionBy(*block, "start", "end")
+    rows = mentions.where(whole).withColumn("_reach", F.coalesce(F.max("end").over(before).cast("long"), F.lit(-(1 << 63))))
+    rows = rows.withColumn("_reach", F.min("_reach").over(same)).withColumn("_alone", F.min("mention").over(same) == F.max("mention").over(same))
+    kept = rows.where((F.col("_reach") < F.col("end")) & F.col("_alone")).drop("_reach", "_alone")
+    return kept.unionByName(mentions.where(~whole))
 
 
 def token_sequence_at(sentence: str | Column, mention: str | Column) -> Column:
@@ -171,10 +181,12 @@ def reindex_tokens(docs: DataFrame, mentions: DataFrame) -> DataFrame:
     or after it.  Tokens that cannot be placed give a null list.
     """
 
-    def solve(t: pd.DataFrame) -> pd.DataFrame:
-        clean = list(t.clean_tokens.iloc[0])
+    def solve(doc: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if doc.empty or own.empty:
+            return pd.DataFrame(columns=["doc_id", "m_id", "tokens_ids"])
+        clean = list(doc.clean_tokens.iloc[0])
         out, at, before = [], 0, None
-        for m in sorted(t.to_dict("records"), key=lambda r: (r["raw_ids"][0], r["m_id"])):
+        for m in sorted(own.to_dict("records"), key=lambda r: (r["raw_ids"][0], r["m_id"])):
             if before is not None and before[1]:
                 at = before[1][0] if before[0][-1] >= m["raw_ids"][-1] else before[1][-1]
             places = []
@@ -192,8 +204,9 @@ def reindex_tokens(docs: DataFrame, mentions: DataFrame) -> DataFrame:
             before = (m["raw_ids"], places)
         return pd.DataFrame(out, columns=["doc_id", "m_id", "tokens_ids"])
 
-    joined = mentions.join(docs.select("doc_id", "clean_tokens"), "doc_id")
-    return joined.groupBy("doc_id").applyInPandas(solve, "doc_id string, m_id string, tokens_ids array<int>")
+    # a document's tokens and its mentions meet once, not the tokens with each mention
+    sides = docs.select("doc_id", "clean_tokens").groupBy("doc_id").cogroup(mentions.groupBy("doc_id"))
+    return sides.applyInPandas(solve, "doc_id string, m_id string, tokens_ids array<int>")
 
 
 def align_tokens(gold: DataFrame, pieces: DataFrame, block: str = "doc_id") -> DataFrame:

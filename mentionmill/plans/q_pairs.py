@@ -1,9 +1,13 @@
 """Queries on pair generation, scopes and labels."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions.vectors import similarity
 from ..operators import filters, metrics, pairs
+from ..sources import pair_store
+from ..storage import new_path
 from . import bindings as B
 from .registry import query
 
@@ -142,3 +146,30 @@ def within_document_subset_of_cross_document(spark, sf_dir):
     keys = ["m1_mention", "m2_mention"]
     lost = pairs.subset_check(pairs.within_block(m, "doc_id"), pairs.within_block(m, "topic"), keys)
     return lost.agg(F.count(F.lit(1)).alias("missing"))
+
+
+def _store(spark, sf_dir) -> str:
+    m = B.mentions(spark, sf_dir).select("topic", "doc_id", "mention", "gold", "pos")
+    table = f"mentions_{uuid.uuid4().hex[:12]}"
+    pair_store.write_store(m, table, new_path(spark, "store"), buckets=8)
+    return table
+
+
+_STORED = "SELECT topic, count(*) AS n, count(*) FILTER (same) AS same FROM (SELECT x.topic, x.gold = y.gold AS same FROM {m} x JOIN {m} y ON x.doc_id = y.doc_id AND x.pos < y.pos) WHERE {w} GROUP BY topic"
+
+
+def _counted(pairs_):
+    return pairs_.groupBy(F.col("m1_topic").alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("m1_gold") == F.col("m2_gold")).alias("same"))
+
+
+@query(_STORED.format(m=B.MENTIONS, w="topic IN (1, 4)"))
+def stored_pairs_of_topics(spark, sf_dir):
+    """Pairs from the bucketed store, of two topics; other topics' folders are not read."""
+    return _counted(pair_store.stored_pairs(spark, _store(spark, sf_dir), [1, 4]))
+
+
+@query(_STORED.format(m=B.MENTIONS, w="topic IN (SELECT r_regionkey + 2 FROM region WHERE r_name LIKE 'A%')"))
+def stored_pairs_of_joined_topics(spark, sf_dir):
+    """The same for topics that another table gives at run time."""
+    topics = B.read(spark, sf_dir, "region").where("r_name like 'A%'").select((F.col("r_regionkey") + 2).cast("long").alias("topic"))
+    return _counted(pair_store.stored_pairs(spark, _store(spark, sf_dir), topics))

@@ -2,8 +2,10 @@
 
 from pyspark.sql import functions as F
 
+from ..operators.predictors import KeywordPredictor
 from ..storage import new_path
 from ..streaming import chains, joins, scoring
+from ..streaming.answers import AnswerLog
 from ..streaming.runs import Closing, Output
 from . import bindings as B
 from .q_graph import _CC, _NODES
@@ -102,3 +104,16 @@ def views_with_or_without_purchases(spark, sf_dir):
     """The join by time of tables, bucket by bucket."""
     got = joins.within(*_kinds(B.read(spark, sf_dir, "events")), "user_id", "ts", 12 * 3600, outer=True)
     return got.select(F.col("l_event_id").alias("view"), F.col("r_event_id").alias("purchase"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN contains(text, 'the') THEN 'Yes' ELSE 'No' END AS answer FROM conversations")
+def resumable_answers(spark, sf_dir):
+    """Every turn asked once in several batches; a second run finds nothing to ask."""
+    rows = B.read(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prompt"))
+    folder = new_path(spark, "prompts")
+    rows.repartition(3, "conv_id").write.parquet(folder)
+    prompts = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    log = AnswerLog(spark, new_path(spark, "answers"), KeywordPredictor("the"))
+    log.run(prompts)
+    log.run(prompts)
+    return log.read().select("conv_id", "turn", "answer")
