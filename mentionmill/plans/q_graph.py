@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import cluster_metrics, graph, pairs, scoring, stats, threshold_tree
+from ..operators import cluster_metrics, graph, pair_scorer, pairs, scoring, stats, threshold_tree
 from . import bindings as B
 from .registry import query
 
@@ -280,3 +280,17 @@ def response_without_repeats(spark, sf_dir):
 def gold_clusters(spark, sf_dir):
     m = B.mentions(spark, sf_dir).withColumn("is_event", F.lit(True))
     return stats.gold_clusters(m, 0).select("topic", "gold", "mentions")
+
+
+@query()
+def pair_scorer_threshold(spark, sf_dir):
+    """A logistic scorer of a document's pairs, fitted on four topics of five and held out on the others; its best threshold there."""
+    p = pairs.within_block(B.mentions(spark, sf_dir, vector=True), "doc_id")
+    rows = p.select(
+        (vectors.similarity("m1_vector", "m2_vector") / 100).alias("cosine"), F.log1p(F.abs(F.col("m2_pos") - F.col("m1_pos")).cast("double")).alias("apart"),
+        (F.col("m1_sent_id") == F.col("m2_sent_id")).cast("double").alias("same_sentence"), (F.col("m1_gold") == F.col("m2_gold")).cast("int").alias("label"), (F.col("m1_topic") % 5 == 0).alias("held"),
+    )
+    features = ["cosine", "apart", "same_sentence"]
+    w = pair_scorer.fit(rows, features, held="held")
+    scored = rows.where("held").select("label", F.round(pair_scorer.probability(w, features), 4).alias("score"))
+    return pair_scorer.best_f1_threshold(scored).select(F.round("threshold", 3).alias("threshold"), F.round("f1", 3).alias("f1"))
