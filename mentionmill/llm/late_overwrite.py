@@ -161,13 +161,14 @@ class Layout:
         exact = F.col("id").eqNullSafe(F.col("late_id"))
         late_ids = best.select(F.col(key).alias("late_id"), F.col(quoted(self.arrived)).alias("comes"))
         wins = F.col("comes").isNotNull() & (F.col("stood").isNull() | (F.col("comes") >= F.col("stood")))
-        met = s.table(start.join(late_ids, exact).select("id", "old_day", wins.alias("wins")), "met")
-        kept = best.join(met.where("not wins").select("id"), F.col(key).eqNullSafe(F.col("id")), "left_anti")
+        # joins on ids are merged, never broadcast: both sides grow with the input
+        met = s.table(start.join(late_ids.hint("merge"), exact).select("id", "old_day", wins.alias("wins")), "met")
+        kept = best.join(met.where("not wins").select("id").hint("merge"), F.col(key).eqNullSafe(F.col("id")), "left_anti")
         kept = kept.withColumn(day, day_of(kept, self.at))
         days = met.where("wins").select(F.col("old_day").alias(day)).union(kept.select(day)).distinct()
         days = s.table(days, "days", narrow=True)  # a row for each day of the calendar at most
         stay = self.read().join(F.broadcast(days), day, "left_semi")
-        stay = stay.join(met.where("wins").select("id"), F.col(key).eqNullSafe(F.col("id")), "left_anti")
+        stay = stay.join(met.where("wins").select("id").hint("merge"), F.col(key).eqNullSafe(F.col("id")), "left_anti")
         columns = [F.col(quoted(c)) for c in self.names]
         stood = s.table(self.files().join(F.broadcast(days.withColumnRenamed(day, "day")), "day", "left_semi"), "stood", narrow=True)
         self.write(stay.select(*columns).unionByName(kept.select(*columns)))
