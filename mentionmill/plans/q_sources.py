@@ -339,3 +339,31 @@ def annotated_mentions(spark, sf_dir):
     t = annotated.tables(annotated.parse_annotations(files.unionByName(bad)))
     m = annotated.mentions_of(t["markables"], t["tokens"], t["relations"])
     return m.select("doc_id", "m_id", "sent_id", "tokens_str", "mention_type", "coref_chain", "is_continuous", "is_singleton")
+
+
+@query(f"SELECT topic, mention, 'a \"q\", ' || chr(10) || gold AS note FROM {B.MENTIONS}")
+def pair_csv_files(spark, sf_dir):
+    """Rows written as CSV with a header, quotes and line ends in their cells, and read back."""
+    m = B.mentions(spark, sf_dir).select("topic", "mention", F.concat(F.lit('a "q", \n'), F.col("gold").cast("string")).alias("note"))
+    path = new_path(spark, "pair-csv")
+    predictions.write_pairs(m, path, "csv")
+    return spark.read.csv(path, header=True, escape='"', multiLine=True, schema="topic long, mention long, note string")
+
+
+@query(f"SELECT count(DISTINCT topic) AS files, sum(length(mention::VARCHAR) + 1)::BIGINT AS bytes FROM {B.MENTIONS}")
+def folder_of_files(spark, sf_dir):
+    """Names and sizes of the files that an experiment leaves, one for each topic."""
+    m = B.mentions(spark, sf_dir).select("topic", "mention")
+    path = new_path(spark, "folder")
+    m.repartition("topic").write.partitionBy("topic").csv(path)
+    return predictions.folder(spark, f"{path}/topic=*").agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+@query(f"SELECT doc_id, string_agg(mention || ' é', chr(10) ORDER BY mention) || chr(10) AS text FROM {B.MENTIONS} GROUP BY doc_id")
+def scanned_corpus(spark, sf_dir):
+    """Texts of a corpus folder with a folder for each document."""
+    m = B.mentions(spark, sf_dir).select("doc_id", "mention", F.concat(F.col("mention").cast("string"), F.lit(" é")).alias("value"))
+    path = new_path(spark, "corpus")
+    m.repartition("doc_id").sortWithinPartitions("doc_id", "mention").select("doc_id", "value").write.partitionBy("doc_id").text(path)
+    found = annotated.scan_files(spark, path, "*.txt")
+    return found.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id"), "text")
