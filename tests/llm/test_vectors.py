@@ -225,3 +225,11 @@ def test_top_k_against_sql(spark):
     df = q_vectors.op3_ball_tree(spark, sf)
     r = connect(sf).execute(q_vectors.SQL3)
     assert rows(df.columns, [tuple(x) for x in df.collect()]) == rows([d[0] for d in r.description], r.fetchall())
+
+
+def test_scores_beyond_64_bits_are_ranked_as_they_are():
+    from mentionmill.llm import ball_tree
+
+    x, q = np.array([[1e8], [1e9], [1e10], [1e16]]), np.array([[1e16]])
+    ids, scores = ball_tree.kernel(256)(np.arange(1, 5), x, q, [None], 2)[0]
+    assert ids.tolist() == [4, 3] and scores.tolist() == [2**63 - 1] * 2
