@@ -53,6 +53,42 @@ TURN_MENTIONS = f"""(SELECT doc_id, sent_id, i - 1 AS start, tokens[i] AS text,
   FROM (SELECT *, unnest(range(1, len(tokens) + 1)) AS i FROM {SENTENCES}))"""
 
 
+#: Words of the conversations that stand for others, with their number where it is known.
+PRONOUNS = {"it": "one", "la": "one", "le": "one", "el": "one", "der": "one", "les": "many", "los": "many", "las": "many", "die": None}
+
+
+def phrase_mentions(spark, sf_dir) -> DataFrame:
+    """Every word of four letters or more with the one or two such words right before it, and every pronoun, by place in its conversation."""
+    words = F.transform("tokens", lambda t: F.regexp_replace(F.lower(t), r"[^\p{L}]", ""))
+    flat = sentences(spark, sf_dir).select("doc_id", "sent_id", words.alias("words")).select("*", F.posexplode("words").alias("i", "head"))
+    before = lambda k: F.coalesce(F.get("words", F.col("i") - k), F.lit(""))
+    long = lambda x: F.length(x) >= 4
+    mods = F.when(long(before(1)) & long(before(2)), F.array(before(2), before(1))).when(long(before(1)), F.array(before(1))).otherwise(F.array().cast("array<string>"))
+    pronoun = F.col("head").isin(*PRONOUNS)
+    number = F.when(F.col("head").isin(*[w for w, n in PRONOUNS.items() if n == "one"]), "one").when(F.col("head").isin(*[w for w, n in PRONOUNS.items() if n == "many"]), "many")
+    number = F.when(pronoun, number).when(F.endswith("head", F.lit("s")), "many").when(F.endswith("head", F.lit("e")), "one")
+    mods = F.when(pronoun, F.array().cast("array<string>")).otherwise(mods)
+    place = F.col("sent_id") * (1 << 16) + F.col("i")
+    return flat.where(pronoun | long("head")).select(
+        F.col("doc_id").alias("block"), (F.col("doc_id") * (1 << 24) + place).alias("mention"), place.alias("pos"), F.col("sent_id").alias("sent"), pronoun.alias("pronoun"), "head",
+        mods.alias("modifiers"), F.array_join(F.array_append(mods, F.col("head")), " ").alias("text"), number.alias("number"),
+    )
+
+
+def _words(number: str | None) -> str:
+    return ", ".join(f"'{w}'" for w, n in PRONOUNS.items() if number is None or n == number)
+
+
+PHRASE_MENTIONS = f"""(SELECT *, array_to_string(list_append(modifiers, head), ' ') AS text FROM (SELECT doc_id AS block, doc_id * {1 << 24} + sent_id * {1 << 16} + i - 1 AS mention, sent_id * {1 << 16} + i - 1 AS pos,
+    sent_id AS sent, words[i] IN ({_words(None)}) AS pronoun, words[i] AS head,
+    CASE WHEN words[i] IN ({_words(None)}) THEN [] WHEN i > 2 AND length(words[i - 1]) >= 4 AND length(words[i - 2]) >= 4 THEN [words[i - 2], words[i - 1]]
+      WHEN i > 1 AND length(words[i - 1]) >= 4 THEN [words[i - 1]] ELSE [] END AS modifiers,
+    CASE WHEN words[i] IN ({_words("one")}) THEN 'one' WHEN words[i] IN ({_words("many")}) THEN 'many' WHEN words[i] IN ({_words(None)}) THEN NULL
+      WHEN suffix(words[i], 's') THEN 'many' WHEN suffix(words[i], 'e') THEN 'one' END AS number
+  FROM (SELECT doc_id, sent_id, words, unnest(range(1, len(words) + 1)) AS i FROM (SELECT *, [regexp_replace(lower(t), '[^\\p{{L}}]', '', 'g') FOR t IN tokens] AS words FROM {SENTENCES})))
+  WHERE pronoun OR length(head) >= 4)"""
+
+
 def predictions(spark, sf_dir) -> DataFrame:
     """Pairs of the mentions of a document, predicted from their ids; some have no answer."""
     from ..operators.pairs import within_block

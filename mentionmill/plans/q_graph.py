@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import vectors
-from ..operators import cluster_metrics, graph, pair_scorer, pairs, scoring, stats, threshold_tree
+from ..operators import cluster_metrics, graph, pair_scorer, pairs, scoring, sieves, stats, threshold_tree
 from . import bindings as B
 from .registry import query
 
@@ -294,3 +294,43 @@ def pair_scorer_threshold(spark, sf_dir):
     w = pair_scorer.fit(rows, features, held="held")
     scored = rows.where("held").select("label", F.round(pair_scorer.probability(w, features), 4).alias("score"))
     return pair_scorer.best_f1_threshold(scored).select(F.round("threshold", 3).alias("threshold"), F.round("f1", 3).alias("f1"))
+
+
+def _sieve_step(k: int, match: str, ask: str, seen: str) -> str:
+    """Pass ``k`` as SQL on all pairs of a conversation: clusters ``c{k - 1}`` to links ``l{k}`` and clusters ``c{k}``."""
+    return f"""
+  g{k} AS (SELECT cluster, min(mention) AS first, bool_or(NOT pronoun) AS named, list(DISTINCT number) FILTER (number IS NOT NULL) AS numbers FROM c{k - 1} GROUP BY ALL),
+  h{k} AS (SELECT * FROM c{k - 1} JOIN g{k} USING (cluster)),
+  l{k} AS (SELECT x.mention, x.cluster, x.sent, max_by({{'mention': y.mention, 'cluster': y.cluster, 'sent': y.sent}}, y.pos) AS near FROM h{k} x JOIN h{k} y ON x.block = y.block AND y.pos < x.pos AND {match}
+    AND (x.numbers IS NULL OR y.numbers IS NULL OR list_has_any(x.numbers, y.numbers)) WHERE x.mention = x.first AND {ask} AND {seen} GROUP BY ALL),
+  k{k} AS (SELECT * FROM l{k} WHERE NOT {str(k == 3)} OR sent - near.sent <= 2),
+  w{k} AS (SELECT cluster, near.cluster AS goal FROM k{k} UNION ALL SELECT w.cluster, k.near.cluster FROM w{k} w JOIN k{k} k ON k.cluster = w.goal),
+  r{k} AS (SELECT cluster, min(goal) AS root FROM w{k} GROUP BY ALL),
+  c{k} AS (SELECT c.* REPLACE (coalesce(root, c.cluster) AS cluster, coalesce(antecedent, near.mention) AS antecedent, coalesce(sieve, CASE WHEN near IS NOT NULL THEN '{("exact", "head", "pronoun")[k - 1]}' END) AS sieve)
+    FROM c{k - 1} c LEFT JOIN r{k} USING (cluster) LEFT JOIN k{k} USING (mention))"""
+
+
+_SIEVED = f"""WITH RECURSIVE c0 AS (SELECT *, mention AS cluster, NULL::BIGINT AS antecedent, NULL::VARCHAR AS sieve FROM {B.PHRASE_MENTIONS}),
+  c1 AS (SELECT c.* REPLACE (CASE WHEN pronoun THEN mention ELSE min(mention) OVER (PARTITION BY block, pronoun, text) END AS cluster,
+      CASE WHEN NOT pronoun THEN lag(mention) OVER w END AS antecedent, CASE WHEN NOT pronoun AND lag(mention) OVER w IS NOT NULL THEN 'exact' END AS sieve)
+    FROM c0 c WINDOW w AS (PARTITION BY block, pronoun, text ORDER BY pos)),
+  {_sieve_step(2, "x.head = y.head AND list_has_all(y.modifiers, x.modifiers)", "NOT x.pronoun", "NOT y.pronoun")},
+  {_sieve_step(3, "true", "NOT x.named", "y.named")}"""
+#: Passes from precise to lenient: the whole text; the head, if the modifiers and the numbers agree; pronouns, if the numbers agree, at most two turns back.
+_PASSES = [
+    sieves.Pass("exact", keys=("text",)),
+    sieves.Pass("head", keys=("head",), modifiers="modifiers", attributes=("number",)),
+    sieves.Pass("pronoun", attributes=("number",), pronouns=True, reach=2),
+]
+
+
+@query(f"{_SIEVED} SELECT block, mention, cluster, antecedent, sieve FROM c3")
+def sieve_chains(spark, sf_dir):
+    """Chains of phrases and pronouns by three passes; the SQL looks at all pairs of a conversation."""
+    return sieves.sieve(B.phrase_mentions(spark, sf_dir), _PASSES)
+
+
+@query(f"{_SIEVED} SELECT sieve, count(*) AS links FROM c3 WHERE sieve IS NOT NULL GROUP BY ALL")
+def sieve_pass_counts(spark, sf_dir):
+    """Mentions that each pass tied to an earlier one."""
+    return sieves.pass_counts(sieves.sieve(B.phrase_mentions(spark, sf_dir), _PASSES))
