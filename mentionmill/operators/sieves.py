@@ -87,9 +87,8 @@ def nearest_before(asks: DataFrame, seen: DataFrame, keys: list[str]) -> DataFra
     return found.join(carried, [*keys, "stretch"], "left").select(*keys, "pos", "ask.*", F.coalesce("inner", "carried").alias("near"))
 
 
-def _links(mentions: DataFrame, rule: Pass) -> DataFrame:
+def _links(held: DataFrame, rule: Pass) -> DataFrame:
     """``mention, cluster, near``: the antecedent of each cluster's first mention, where there is one."""
-    held = _held(mentions, rule)
     asks = held.where((F.col("mention") == F.col("head_mention")) & (~F.col("named") if rule.pronouns else ~F.col("pronoun")))
     seen = held.where(F.col("named") if rule.pronouns else ~F.col("pronoun"))
     by = ["block", *[f"k{i}" for i in range(len(rule.keys))]]
@@ -133,7 +132,8 @@ def sieve(mentions: DataFrame, passes: list[Pass]) -> DataFrame:
     state = start.withColumn("cluster", F.col("mention")).withColumn("antecedent", F.lit(None).cast("long")).withColumn("sieve", F.lit(None).cast("string"))
     state = scratch.table(state, "start")
     for k, rule in enumerate(passes):
-        links = scratch.table(_links(state.where("block is not null and pos is not null and sent is not null"), rule), f"links{k}")
+        held = scratch.table(_held(state.where("block is not null and pos is not null and sent is not null"), rule), f"held{k}")
+        links = scratch.table(_links(held, rule), f"links{k}", narrow=True)
         comp = connected_components(links.select(F.col("cluster").alias("src"), F.col("near.cluster").alias("dst")))
         tied = links.select("mention", F.col("near.mention").alias("to"))
         new = state.join(comp.select(F.col("node").alias("cluster"), "component"), "cluster", "left").join(tied, "mention", "left")
@@ -142,7 +142,7 @@ def sieve(mentions: DataFrame, passes: list[Pass]) -> DataFrame:
             F.coalesce("antecedent", "to").alias("antecedent"), F.when(F.col("to").isNotNull(), F.lit(rule.name)).otherwise(F.col("sieve")).alias("sieve"),
         )
         new = scratch.table(new, f"pass{k}")
-        scratch.drop(state, links)
+        scratch.drop(state, held, links)
         state = new
     return state.select("block", "mention", "cluster", "antecedent", "sieve")
 
