@@ -39,15 +39,16 @@ class Pass:
 
 
 def _held(mentions: DataFrame, rule: Pass) -> DataFrame:
-    """Mentions of the rule's kind, with their cluster's values in ``v0, v1, ...`` and their modifiers as a sorted set."""
+    """Mentions of the rule's kind, with the keys as ``k0, k1, ...``, their cluster's values as ``v0, v1, ...`` and their modifiers as a sorted set."""
     values = [F.collect_set(a).alias(f"v{i}") for i, a in enumerate(rule.attributes)]
     clusters = mentions.groupBy("cluster").agg(F.min_by("mention", F.struct("pos", "mention")).alias("head_mention"), F.bool_or(~F.col("pronoun")).alias("named"), *values)
     placed = mentions.join(clusters, "cluster")
     mods = F.array_sort(F.array_distinct(F.filter(F.coalesce(F.col(rule.modifiers), F.array()), lambda x: x.isNotNull()))) if rule.modifiers else F.array().cast("array<string>")
-    out = placed.withColumn("mods", mods)
+    out = placed.select("*", mods.alias("mods"))
     for k in rule.keys:
         out = out.where(F.col(k).isNotNull())
-    return out
+    keys = [F.col(k).alias(f"k{i}") for i, k in enumerate(rule.keys)]
+    return out.select("block", *keys, *[f"v{i}" for i in range(len(rule.attributes))], "mods", "mention", "cluster", "pos", "sent", "pronoun", "named", "head_mention")
 
 
 def _subsets(asked: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
@@ -65,26 +66,24 @@ def _subsets(asked: DataFrame, held: DataFrame, by: list[str]) -> DataFrame:
 
 
 def nearest_before(asks: DataFrame, seen: DataFrame, keys: list[str]) -> DataFrame:
-    """``asks`` with ``near`` (pos, mention, sent, cluster): the last row of ``seen`` before each one under the same keys.
+    """``mention, cluster, sent`` of ``asks`` with ``near`` (pos, mention, sent, cluster): the last row of ``seen`` before each one under the same keys.
 
-    Both have ``pos`` and ``sent``, which rise together.  Rows are put in order by
+    Both have ``pos`` and ``sent``, which rise together.  Keys are never null; they
+    are shuffled as 128 bits of hashes, shorter than words and sets of words.  Rows are put in order by
     key and stretch of sentences; the last row of a stretch is carried to those
     after it, so a key of a third of all rows is many tasks' work.
     """
     stretch = F.floor(F.col("sent") / STRETCH).alias("stretch")
-    what = F.struct("pos", "mention", "sent", "cluster")
-    asks = asks.select("*", stretch)
-    own = [c for c in asks.columns if c not in (*keys, "pos", "stretch")]
-    asks = asks.select(*keys, "pos", "stretch", F.struct(*own).alias("ask"))
-    rows = seen.select(*keys, "pos", stretch, what.alias("it"))
-    ends = rows.groupBy(*keys, "stretch").agg(F.max("it").alias("it"))
-    ends = ends.unionByName(asks.select(*keys, "stretch").distinct(), allowMissingColumns=True).groupBy(*keys, "stretch").agg(F.max("it").alias("it"))
-    before = Window.partitionBy(*keys).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(*keys, "stretch", F.max("it").over(before).alias("carried"))
+    digest = [F.xxhash64(*keys).alias("h0"), F.xxhash64(F.lit(1), *keys).alias("h1")]
+    place = ["h0", "h1", "stretch"]
+    asks = asks.select(*digest, stretch, "pos", F.struct("mention", "cluster", "sent").alias("ask"))
+    rows = seen.select(*digest, stretch, "pos", F.struct("pos", "mention", "sent", "cluster").alias("it"))
     both = rows.unionByName(asks, allowMissingColumns=True)
-    inside = Window.partitionBy(*keys, "stretch").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("h0", "h1").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    carried = both.groupBy(*place).agg(F.max("it").alias("it")).select(*place, F.max("it").over(before).alias("carried")).where("carried is not null")
+    inside = Window.partitionBy(*place).orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("inner", F.max("it").over(inside)).where("ask is not null")
-    return found.join(carried, [*keys, "stretch"], "left").select(*keys, "pos", "ask.*", F.coalesce("inner", "carried").alias("near"))
+    return found.join(carried, place, "left").select("ask.*", F.coalesce("inner", "carried").alias("near"))
 
 
 def _links(held: DataFrame, rule: Pass) -> DataFrame:
@@ -92,8 +91,6 @@ def _links(held: DataFrame, rule: Pass) -> DataFrame:
     asks = held.where((F.col("mention") == F.col("head_mention")) & (~F.col("named") if rule.pronouns else ~F.col("pronoun")))
     seen = held.where(F.col("named") if rule.pronouns else ~F.col("pronoun"))
     by = ["block", *[f"k{i}" for i in range(len(rule.keys))]]
-    named = lambda df: df.select("block", *[F.col(k).alias(f"k{i}") for i, k in enumerate(rule.keys)], *[f"v{i}" for i in range(len(rule.attributes))], "mods", "mention", "cluster", "pos", "sent")
-    asks, seen = named(asks), named(seen)
     if rule.modifiers:
         # a mention is seen under the empty set and under every asked set that its own contains
         more = seen.join(_subsets(asks, seen, by), [*by, "mods"]).drop("mods").withColumnRenamed("want", "mods")
