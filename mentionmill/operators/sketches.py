@@ -13,11 +13,17 @@ sketches have been merged; of n items the heavy hitters' counts are too small or
 too large by n / (0.75 * most_items) at most, and 0 while no more than 0.75 *
 most_items different ones have been seen.
 
+Where a distinct count must be exact, ``bitmaps`` stores the set of whole numbers
+of each cell instead, in pieces of 4 KB for each 32,768 numbers that hold one,
+and ``bitmaps_merged`` unites them.
+
 Null values enter no sketch.  A cell without values gives 0, null and no hitters.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 LG_K, KLL_K, MOST_ITEMS = 12, 400, 1024
@@ -33,6 +39,11 @@ def distinct_error(lg_k: int = LG_K) -> float:
     return 3 * 1.04 / 2 ** (lg_k / 2)
 
 
+def hitters_error(most_items: int = MOST_ITEMS) -> float:
+    """Largest error of a count, as a share of the rows, of a sketch of this size; its map has the next power of two of places."""
+    return 3.5 / 2 ** math.ceil(math.log2(most_items / 0.75))
+
+
 def sketched(rows: DataFrame, by: list[str], counted: str, measured: str, item: str, lg_k: int = LG_K, k: int = KLL_K, most_items: int = MOST_ITEMS) -> DataFrame:
     """``by``, ``n`` and the three sketches: of the distinct ``counted``, of the ``measured`` doubles, of the frequent ``item`` values."""
     return rows.groupBy(*by).agg(
@@ -54,3 +65,14 @@ def merged(cells: DataFrame, by: list[str], quantiles: list[float], top: int, mo
         *by, "n", F.hll_sketch_estimate("d").alias("distinct"), F.when(some, F.array(*at)).alias("quantiles"),
         F.filter(F.call_function("approx_top_k_estimate", F.col("h"), F.lit(top)), lambda x: x["item"].isNotNull()).alias("hitters"),
     )
+
+
+def bitmaps(rows: DataFrame, by: list[str], item: str) -> DataFrame:
+    """``by, bucket, n, bits``: the exact set of the whole numbers ``item`` of each cell, in pieces; rows without one are counted in ``n`` alone."""
+    return rows.groupBy(*by, F.bitmap_bucket_number(item).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.bitmap_construct_agg(F.bitmap_bit_position(item)).alias("bits"))
+
+
+def bitmaps_merged(cells: DataFrame, by: list[str]) -> DataFrame:
+    """``by``, ``n`` and the exact ``distinct`` of united cells."""
+    pieces = cells.groupBy(*by, "bucket").agg(F.sum("n").alias("n"), F.bitmap_count(F.bitmap_or_agg("bits")).alias("d"))
+    return pieces.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("d").alias("distinct"))

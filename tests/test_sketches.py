@@ -2,7 +2,12 @@
 
 import random
 
+import compare
+import duckdb
+import pytest
+
 from mentionmill.operators import sketches
+from mentionmill.plans import registry
 from mentionmill.storage import new_path
 
 SCHEMA = "day int, kind string, counted long, measured double, item string"
@@ -44,3 +49,26 @@ def test_nulls_and_nothing(spark):
     assert (got[2].n, got[2].distinct, got[2].quantiles) == (2, 1, [1.5]) and [(h["item"], h["count"]) for h in got[2].hitters] == [("x", 2)]
     assert (got[3].distinct, got[3].quantiles) == (1, None)
     assert sketches.merged(cells.limit(0), ["day"], [0.5], 3).count() == 0
+
+
+def _events(tmp_path, users: int, n: int):
+    rows = duckdb.sql(f"SELECT i AS event_id, TIMESTAMP '2024-01-01' + INTERVAL (i % 40) DAY AS ts, CASE WHEN i % 50 > 0 THEN i % {users} END AS user_id, 'view' AS event_type, (i % 97)::DOUBLE AS value FROM range({n}) t(i)")
+    rows.write_parquet(f"{tmp_path}/events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["sketches_read_again", "sketches_within_their_bounds"])
+def test_many_users_none_of_whom_stands_out(spark, tmp_path, name):
+    """Distinct users are counted exactly; a type without frequent users still has its row."""
+    sf = _events(tmp_path, 7_001, 30_000)
+    df = registry.QUERIES[name](spark, sf)
+    got = compare.rows(df.columns, [tuple(r) for r in df.collect()])
+    r = compare.connect(sf).execute(registry.ORACLES[name])
+    assert got == compare.rows([d[0] for d in r.description], r.fetchall())
+
+
+def test_sets_of_any_numbers(spark):
+    rows = [(1, -5), (1, 1 << 40), (2, 1 << 40), (2, 0), (2, None), (3, None)]
+    cells = sketches.bitmaps(spark.createDataFrame(rows, "day int, item long"), ["day"], "item")
+    assert [tuple(r) for r in sketches.bitmaps_merged(cells, []).collect()] == [(6, 3)]
+    assert sorted(tuple(r) for r in sketches.bitmaps_merged(cells, ["day"]).collect()) == [(1, 2, 2), (2, 3, 2), (3, 1, 0)]
