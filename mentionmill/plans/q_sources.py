@@ -1,5 +1,7 @@
 """Queries on files and on the operators beside them: each writes what a corpus or an experiment leaves, and reads it back."""
 
+import string
+
 from pyspark.sql import functions as F
 
 from ..functions import text
@@ -159,7 +161,8 @@ def pronoun_tags(spark, sf_dir):
     """Tags of tokens, those of a word list overridden; the list has blanks, comments and both cases."""
     t = _tokens(spark, sf_dir)
     short = t.where("length(token) <= 2").select("token").distinct()
-    path = _lines(short.unionByName(short.select(F.upper("token").alias("token"))).unionByName(spark.createDataFrame([("# no words",), ("",)], "token string")), F.concat(F.lit(" "), "token", F.lit(" ")), "words")
+    other = short.select(F.translate("token", string.ascii_lowercase, string.ascii_uppercase).alias("token"))  # ASCII alone: the upper case of a sharp s is another word
+    path = _lines(short.unionByName(other).unionByName(spark.createDataFrame([("# no words",), ("",)], "token string")), F.concat(F.lit(" "), "token", F.lit(" ")), "words")
     words = [r.word for r in annotated.read_word_list(spark, path).collect()]  # a word list is short
     return t.select("doc_id", "sent_id", F.col("i").cast("long").alias("i"), text.pronoun_override(F.lit("X"), "token", words).alias("tag"))
 

@@ -2,6 +2,8 @@
 
 import random
 
+import compare
+import duckdb
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from mentionmill.operators import matching
 from mentionmill.operators.pairs import within_block
 from mentionmill.operators.predictors import KeywordPredictor
+from mentionmill.plans import registry
 from mentionmill.sources import pair_store
 from mentionmill.storage import new_path
 from mentionmill.streaming.answers import AnswerLog
@@ -108,3 +111,13 @@ def test_reindexing_sends_a_document_once(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "Join" not in plan
     assert matching.reindex_tokens(docs, mentions.where(F.lit(False))).count() == 0
+
+
+def test_short_words_in_both_cases(spark, tmp_path):
+    """The upper case of a sharp s is another word, which must not come onto the list."""
+    rows = duckdb.sql("SELECT 1::BIGINT AS conv_id, 0::BIGINT AS turn, 'user' AS role, 'ß ß. SS. ss, It it la' AS text")
+    rows.write_parquet(f"{tmp_path}/conversations.parquet")
+    df = registry.QUERIES["pronoun_tags"](spark, str(tmp_path))
+    got = compare.rows(df.columns, [tuple(r) for r in df.collect()])
+    r = compare.connect(str(tmp_path)).execute(registry.ORACLES["pronoun_tags"])
+    assert got == compare.rows([d[0] for d in r.description], r.fetchall())
