@@ -8,6 +8,9 @@ first mention come out with prefix ``m1_``, of the second with ``m2_``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -30,11 +33,98 @@ def with_sentence_ordinal(mentions: DataFrame, sentences: DataFrame, doc: str =
     return mentions.join(ranked, [doc, sent])
 
 
+#: Mentions of a block that meet the whole block in one task, and that meet as many others in one step of ``similar_pairs``.
+STRIPE = TILE = 1024
+
+
+def _sized(mentions: DataFrame, block: list[str], size: int) -> DataFrame:
+    """The mentions, with ``_n``: in how many parts of about ``size`` rows the block is cut."""
+    return mentions.join(mentions.groupBy(*block).agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias("_n")), block)
+
+
+def _part(pos: str) -> Column:
+    return F.pmod(F.xxhash64(pos), F.col("_n")).cast("int")
+
+
+def _tasks(df: DataFrame) -> int:
+    """The session's shuffle partitions: pairs are many more bytes than the mentions they are made of, so these are not coalesced."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def within_block(mentions: DataFrame, block: str | list[str], pos: str = "pos") -> DataFrame:
-    """All pairs of a block with the first mention before the second (within-document, cross-document)."""
+    """All pairs of a block with the first mention before the second (within-document, cross-document).
+
+    The first mentions are dealt in stripes of about ``STRIPE``, each of which meets
+    the whole block, so the pairs of a large block are made by many tasks.
+    """
     block = [block] if isinstance(block, str) else block
-    one, two = _sides(mentions, block)
-    return one.join(two, block).where(F.col(f"m1_{pos}") < F.col(f"m2_{pos}"))
+    one, two = _sides(_sized(mentions, block, STRIPE), [*block, "_n"])
+    n = _tasks(mentions)
+    one = one.withColumn("_s", _part(f"m1_{pos}")).drop("_n").repartition(n, *block, "_s")
+    two = two.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").repartition(n, *block, "_s")
+    return one.join(two, [*block, "_s"]).where(F.col(f"m1_{pos}") < F.col(f"m2_{pos}")).drop("_s")
+
+
+def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Vectors as rows of doubles, and their lengths; -1 for one that is null or holds a null."""
+    rows = column.to_pylist() if column.null_count or pc.list_flatten(column).null_count else None
+    if rows is None:
+        sizes = pc.list_value_length(column).to_numpy().astype(np.int64)
+        if len(sizes) and (sizes == sizes[0]).all():
+            return pc.list_flatten(column).to_numpy().astype(np.float64).reshape(len(sizes), sizes[0]), sizes
+        rows = column.to_pylist()
+    sizes = np.array([-1 if r is None or None in r else len(r) for r in rows], np.int64)
+    out = np.zeros((len(rows), max(0, sizes.max(initial=0))))
+    for i, r in enumerate(rows):
+        if sizes[i] > 0:
+            out[i, : sizes[i]] = r
+    return out, sizes
+
+
+def _similarities(x: pa.ChunkedArray, y: pa.ChunkedArray) -> np.ndarray:
+    """``vectors.similarity`` of all vectors of two columns: 0 where a vector is null, without length or of another size."""
+    (a, m), (b, n) = _matrix(x), _matrix(y)
+    width = max(a.shape[1], b.shape[1])
+    a, b = (np.pad(v, ((0, 0), (0, width - v.shape[1]))) for v in (a, b))
+    with np.errstate(all="ignore"):
+        norms = np.sqrt((a * a).sum(1))[:, None] * np.sqrt((b * b).sum(1))
+        out = np.maximum(0.0, a @ b.T / norms) * 100
+    out[(norms == 0) | (m[:, None] != n) | (m[:, None] < 0)] = 0.0
+    return out
+
+
+def similar_pairs(mentions: DataFrame, block: str, pos: str = "pos", vector: str = "vector", least: float | None = None, fold=None, schema: str | None = None) -> DataFrame:
+    """The pairs of ``within_block`` with the ``similarity`` of their vectors (0 to 100) in the vectors' place.
+
+    A block is cut in tiles of about ``TILE`` mentions; two tiles that meet are one
+    matrix product.  ``least``: only pairs of at least that similarity.  ``fold``: makes
+    an Arrow table of ``schema`` of the pairs of two tiles, which then are no rows.
+    """
+    names = [c for c in mentions.columns if c not in (block, vector)]
+    kinds = dict(mentions.dtypes)
+    pairs_ddl = ", ".join([f"`{block}` {kinds[block]}", *(f"`m{k}_{c}` {kinds[c]}" for k in (1, 2) for c in names), "similarity double"])
+
+    def meet(t: pa.Table) -> pa.Table:
+        i, j = t["_i"][0].as_py(), t["_j"][0].as_py()
+        one, two = (t.filter(pc.equal(t["_t"], k)) for k in (i, j))
+        score = _similarities(one[vector], two[vector])
+        p, q = one[pos].to_numpy(), two[pos].to_numpy()
+        one, two = (side.select([block, *names]) for side in (one, two))  # a vector is not copied for each of its pairs
+        wanted = True if least is None else score >= least
+        out = []
+        for turned in (False, True) if i != j else (False,):
+            a, b = np.nonzero(((p[:, None] > q) if turned else (p[:, None] < q)) & wanted)
+            s = score[a, b]
+            (x, a), (y, b) = ((two, b), (one, a)) if turned else ((one, a), (two, b))
+            x, y = x.take(pa.array(a)), y.take(pa.array(b))
+            found = pa.table([x[block], *(x[c] for c in names), *(y[c] for c in names), pa.array(s)], names=[block, *(f"m{k}_{c}" for k in (1, 2) for c in names), "similarity"])
+            out.append(fold(found) if fold else found)
+        return pa.concat_tables(out)
+
+    rows = _sized(mentions.where(F.col(pos).isNotNull()), [block], TILE).withColumn("_t", _part(pos))
+    rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+    rows = rows.withColumn("_i", F.least("_t", "_x")).withColumn("_j", F.greatest("_t", "_x")).drop("_x", "_n")
+    return rows.repartition(_tasks(mentions), block, "_i", "_j").groupBy(block, "_i", "_j").applyInArrow(meet, schema or pairs_ddl)
 
 
 def adjacent_sentences(mentions: DataFrame, block: str | list[str] = "doc_id", pos: str = "pos", ordinal: str = "ord") -> DataFrame:

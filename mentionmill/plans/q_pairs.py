@@ -2,9 +2,10 @@
 
 import uuid
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 
-from ..functions.vectors import similarity
 from ..operators import filters, metrics, pairs
 from ..sources import pair_store
 from ..storage import new_path
@@ -28,9 +29,18 @@ _XY = f"{B.MENTIONS} x JOIN {B.MENTIONS} y"
 )
 def pair_metrics_by_topic(spark, sf_dir):
     """Cross-document pairs of each topic, predicted by cosine similarity, against their gold tags."""
-    p = pairs.with_label(pairs.within_block(B.mentions(spark, sf_dir, vector=True).select("topic", "pos", "gold", "vector"), "topic"))
-    rows = p.select("topic", "label", (similarity("m1_vector", "m2_vector") >= 12.0).cast("int").alias("pred"))
-    return B.rounded(metrics.binary_metrics(rows, ["topic"]))
+    m = B.mentions(spark, sf_dir, vector=True).select("topic", "pos", "gold", "vector")
+    counts = ("tp", "fp", "fn", "tn", "n_invalid")
+
+    def counted(t):
+        label = pc.equal(t["m1_gold"], t["m2_gold"])
+        y, known = pc.fill_null(label, False).to_numpy(), label.is_valid().to_numpy()
+        pred = t["similarity"].to_numpy() >= 12.0
+        n = [(y & pred).sum(), (known & ~y & pred).sum(), (y & ~pred).sum(), (known & ~y & ~pred).sum(), (~known).sum()]
+        return pa.table({"topic": t["topic"][:1], **{c: pa.array([int(x)], pa.int64()) for c, x in zip(counts, n)}}) if len(t) else pa.table({c: pa.array([], pa.int64()) for c in ("topic", *counts)})
+
+    tiles = pairs.similar_pairs(m, "topic", fold=counted, schema="topic long, " + ", ".join(f"{c} long" for c in counts))
+    return B.rounded(metrics.with_scores(tiles.groupBy("topic").agg(*[F.sum(c).alias(c) for c in counts])))
 
 
 def _by_sentences(p, *keys):
