@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..functions import templates, text, vectors
+from ..functions import templates, text
 from ..operators import filters, pairs, predictors, stats
 from ..sources import conll, predictions
 from . import bindings as B
@@ -150,8 +150,8 @@ def plain_text_rebuilt(spark, sf_dir):
 @query(f"""SELECT x.mention AS a, y.mention AS b, round(greatest(0, list_sum([x.vector[i]::DOUBLE * y.vector[i]::DOUBLE FOR i IN range(1, 65)]) / sqrt(list_sum([v::DOUBLE * v::DOUBLE FOR v IN x.vector]))
   / sqrt(list_sum([v::DOUBLE * v::DOUBLE FOR v IN y.vector]))) * 100, 6) AS similarity FROM {B.MENTIONS} x JOIN {B.MENTIONS} y ON x.doc_id = y.doc_id AND x.pos < y.pos""")
 def mention_similarity(spark, sf_dir):
-    p = pairs.within_block(B.mentions(spark, sf_dir, vector=True), "doc_id")
-    return B.rounded(p.select(F.col("m1_mention").alias("a"), F.col("m2_mention").alias("b"), vectors.similarity("m1_vector", "m2_vector").alias("similarity")))
+    p = pairs.similar_pairs(B.mentions(spark, sf_dir, vector=True).select("doc_id", "mention", "pos", "vector"), "doc_id")
+    return B.rounded(p.select(F.col("m1_mention").alias("a"), F.col("m2_mention").alias("b"), "similarity"))
 
 
 @query(f"""SELECT gold, [round(avg(vector[i]::DOUBLE) , 5) FOR i IN [1]][1] AS x1 FROM {B.MENTIONS} GROUP BY gold""".replace("[round(avg(vector[i]::DOUBLE) , 5) FOR i IN [1]][1]", "round(avg(vector[1]::DOUBLE), 5)"))
