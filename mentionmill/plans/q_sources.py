@@ -2,13 +2,14 @@
 
 import string
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import filters, matching, metrics, pairs, predictors, scoring, stats
-from ..functions.vectors import similarity
+from ..operators import filters, graph, matching, metrics, pairs, predictors, scoring, stats
 from ..sources import annotated, conll, conll_format, predictions
-from ..storage import new_path
+from ..storage import Scratch, new_path
 from . import bindings as B
 from .q_text import _UNTOK
 from .registry import query
@@ -221,9 +222,18 @@ _COSINE = """list_sum([x.vector[i]::DOUBLE * y.vector[i]::DOUBLE FOR i IN range(
   SELECT k AS block, node AS mention, min(seen) AS cluster FROM reach GROUP BY ALL""")
 def cluster_across_documents(spark, sf_dir):
     """Components of the mention pairs of a topic, over its documents, whose vectors are near."""
-    p = pairs.within_block(B.mentions(spark, sf_dir, vector=True), "topic")
-    scored = p.select(F.col("topic").alias("block"), F.col("m1_mention").alias("a"), F.col("m2_mention").alias("b"), similarity("m1_vector", "m2_vector").alias("score"))
-    return scoring.cluster(scored, 30.0)
+    m = B.mentions(spark, sf_dir, vector=True).select("topic", "mention", "pos", "vector")
+
+    def stars(t):
+        """The links of two tiles as stars of the same components."""
+        node, low = graph.lowest(t["m1_mention"].to_numpy(), t["m2_mention"].to_numpy())
+        far = node != low
+        return pa.table({"block": pa.array(np.repeat(t["topic"][:1].to_numpy(), far.sum())), "a": pa.array(node[far]), "b": pa.array(low[far]), "score": pa.array(np.full(far.sum(), 30.0))})
+
+    near = pairs.similar_pairs(m, "topic", least=30.0, fold=stars, schema="block long, a long, b long, score double")
+    near = Scratch(spark, "near").table(near, "stars")  # read for the mentions and for the links
+    own = m.select(F.col("topic").alias("block"), F.col("mention").alias("a"), F.col("mention").alias("b"), F.lit(None).cast("double").alias("score"))  # a mention without a near one is alone
+    return scoring.cluster(near.unionByName(own), 30.0)
 
 
 @query("SELECT conv_id, turn, i, CASE i WHEN 1 THEN 'user' ELSE 'assistant' END AS role, CASE i WHEN 1 THEN 'what ' || turn ELSE role || '!' END AS content FROM conversations, (SELECT unnest([1, 2]) AS i)")
