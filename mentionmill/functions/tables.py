@@ -13,11 +13,15 @@ from __future__ import annotations
 
 import xml.etree.ElementTree as ET
 
-from pyspark.sql import SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructType
 
 from ..operators.filters import TAG_TYPES
+from ..operators.graph import lowest
 from ..sources.annotated import _document
 
 
@@ -129,6 +133,52 @@ class AssignChains:
             yield self.block, m, self._top(m)
 
 
+#: Pairs that a task reduces at once.
+HELD = 1 << 18
+
+
+def _reduced(t: pa.Table, threshold: float) -> pa.RecordBatch:
+    """A row for each mention of some pairs: linked to the smallest mention of its chain, or a pair of itself."""
+    t = t.filter(pc.and_(pc.is_valid(t["a"]), pc.is_valid(t["b"])))
+    code = t["block"].combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.concatenate([t[c].combine_chunks().to_numpy(zero_copy_only=False) for c in ("a", "b")])
+    names, at = np.unique(ends, return_inverse=True)
+    u, v = (code * len(names) + x for x in (at[: len(code)], at[len(code) :]))
+    linked = pc.fill_null(pc.greater_equal(t["score"], threshold), False).to_numpy()
+    node, low = lowest(u[linked], v[linked])
+    alone = np.setdiff1d(np.concatenate([u, v]), node)
+    node, low = np.concatenate([node, alone]), np.concatenate([low, alone])
+    kept, first = np.unique(code, return_index=True)
+    count = max(1, len(names))
+    block = t["block"].take(pa.array(first[np.searchsorted(kept, node // count)])).combine_chunks()
+    a, b = (pa.array(names[x % count] if len(names) else [], t.schema.field("a").type) for x in (node, low))
+    score = pa.array(np.full(len(node), float(threshold)), pa.float64(), mask=node == low)
+    return pa.record_batch([block, a, b, score], names=["block", "a", "b", "score"])
+
+
+def reduced_pairs(pairs: DataFrame, threshold: float) -> DataFrame:
+    """Far fewer scored pairs of the same mentions and chains at ``threshold``, for ``assign_chains``, which takes one row at a time.
+
+    Tasks reduce every ``HELD`` of their pairs to one row for each mention.
+    """
+    kinds = dict(pairs.dtypes)
+    rows = pairs.select("block", "a", "b", pairs["score"].cast("double").alias("score"))
+
+    def each(batches):
+        held, size = [], 0
+        for batch in batches:
+            if len(batch):
+                held.append(batch)
+                size += len(batch)
+            if size >= HELD:
+                yield _reduced(pa.Table.from_batches(held), threshold)
+                held, size = [], 0
+        if held:
+            yield _reduced(pa.Table.from_batches(held), threshold)
+
+    return rows.mapInArrow(each, f"block {kinds['block']}, a {kinds['a']}, b {kinds['b']}, score double")
+
+
 def register(spark: SparkSession) -> None:
     spark.udtf.register("markables", Markables)
     spark.udtf.register("assign_chains", AssignChains)

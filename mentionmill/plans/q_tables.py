@@ -45,4 +45,4 @@ def chains_by_table_function(spark, sf_dir):
     """Chains of each document by a table function in SQL."""
     tables.register(spark)
     pairs = B.predictions(spark, sf_dir).selectExpr("block", "a", "b", "cast(pred as double) as score")
-    return spark.sql("SELECT * FROM assign_chains(TABLE({pairs}) PARTITION BY (block), 0.5D)", pairs=pairs)
+    return spark.sql("SELECT * FROM assign_chains(TABLE({pairs}) PARTITION BY (block), 0.5D)", pairs=tables.reduced_pairs(pairs, 0.5))

@@ -50,3 +50,26 @@ def test_wrong_tables_are_named(spark):
         spark.sql("SELECT * FROM assign_chains(TABLE({d}) PARTITION BY (block), 0.5D)", d=df)
     with pytest.raises(Exception, match="no column name"):
         spark.sql("SELECT * FROM markables(TABLE({d}) PARTITION BY block)", d=df)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_chains_of_reduced_pairs(spark, monkeypatch, kind):
+    """Pairs reduced before the function give the same chains, and are at most one row for each mention and ``HELD`` pairs."""
+    monkeypatch.setattr(tables, "HELD", 50)
+    rnd = random.Random(8)
+    rows = [(b, f"{i:03d}", f"{j:03d}", rnd.choice([None, 0.1, 0.1, 0.1, 0.1, 0.5, float("nan")])) for b in ("x", "y", None) for i in range(25) for j in range(i + 1, 25)] + [("z", None, "001", 1.0), ("w", "007", "007", 1.0)]
+    df = spark.createDataFrame(rows, "block string, a string, b string, score double").selectExpr("block", f"cast(a as {kind}) a", f"cast(b as {kind}) b", "score").repartition(1)
+    less = tables.reduced_pairs(df, 0.5)
+    chains = lambda d: sorted(map(str, spark.sql("SELECT * FROM assign_chains(TABLE({d}) PARTITION BY (block), 0.5D)", d=d).collect()))
+    assert chains(less) == chains(df) and len(chains(df)) == 76
+    monkeypatch.setattr(tables, "HELD", 1 << 18)
+    assert tables.reduced_pairs(df, 0.5).count() == 76
+
+
+def test_query_reduces_its_pairs(spark, monkeypatch):
+    from mentionmill.plans import registry
+
+    seen = []
+    real = tables.reduced_pairs
+    monkeypatch.setattr(tables, "reduced_pairs", lambda pairs, t: seen.append(t) or real(pairs, t))
+    assert registry.QUERIES["chains_by_table_function"](spark, "/root/testdata/sf0.001").columns == ["block", "mention", "cluster"] and seen == [0.5]
