@@ -106,6 +106,22 @@ def test_mixing_needs_equal_pairs(spark):
         matching.mixed_experiments(a, a, a.withColumn("k", F.lit(2)), ["k"]).collect()
 
 
+def test_mixing_of_equal_pairs_joins_nothing(spark):
+    """The same rows as a join by pairs gives, without one; a join where the classes of the experiments differ."""
+    rows = [(k, ("wd", "cd", None)[k % 3], (None, 0, 1, 2, 7)[k % 5]) for k in range(60)]
+    near, wd, cd = (spark.createDataFrame([(*r, r[0] * 10 + i if r[0] % 7 else None) for r in rows], "k int, scope string, seq int, pred int").repartition(i + 1) for i in range(3))
+    got = matching.mixed_experiments(near, wd, cd, ["k"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    joined = matching.mixed_experiments(near, wd.drop("scope", "seq"), cd, ["k"])
+    other = matching.mixed_experiments(near, wd.withColumn("seq", F.lit(0)), cd, ["k"])
+    assert all("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in (joined, other))
+    assert got.dtypes == joined.dtypes
+    for df in (got, other):
+        assert sorted(map(str, df.collect())) == sorted(map(str, joined.collect()))
+    with pytest.raises(Exception, match="different pairs"):
+        matching.mixed_experiments(near, wd.where("k > 0"), cd, ["k"]).collect()
+
+
 def test_text(spark):
     df = spark.createDataFrame([("He said `` ca n't '' at 5 p. m. ( ok ) .",)], "t string")
     assert df.select(text.untokenize("t")).first()[0] == "He said \"ca n't\" at 5 p.m. (ok)".replace("ca n't", "can't") + "."
