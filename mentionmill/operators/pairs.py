@@ -8,6 +8,8 @@ first mention come out with prefix ``m1_``, of the second with ``m2_``.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,8 +35,10 @@ def with_sentence_ordinal(mentions: DataFrame, sentences: DataFrame, doc: str =
     return mentions.join(ranked, [doc, sent])
 
 
-#: Mentions of a block that meet the whole block in one task, and that meet as many others in one step of ``similar_pairs``.
+#: Mentions of a block that meet as many others in one step: of ``within_block`` and of ``similar_pairs``.
 STRIPE = TILE = 1024
+#: Pairs that a task makes on average at most.
+TASK_PAIRS = 1 << 21
 
 
 def _sized(mentions: DataFrame, block: list[str], size: int) -> DataFrame:
@@ -51,18 +55,33 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def within_block(mentions: DataFrame, block: str | list[str], pos: str = "pos") -> DataFrame:
+def tasks_of_pairs(mentions: DataFrame, block: str | list[str]) -> int:
+    """So many tasks that each makes about ``TASK_PAIRS`` pairs of a block at most: pairs grow with the square of a block, the session's partitions do not."""
+    block = [block] if isinstance(block, str) else block
+    n = F.count(F.lit(1)).cast("double")
+    found = mentions.dropna(subset=block).groupBy(*block).agg((n * n / 2).alias("_n")).agg(F.sum("_n")).first()[0]
+    return max(_tasks(mentions), math.ceil((found or 0) / TASK_PAIRS))
+
+
+def within_block(mentions: DataFrame, block: str | list[str], pos: str = "pos", tile: str | None = None) -> DataFrame:
     """All pairs of a block with the first mention before the second (within-document, cross-document).
 
-    The first mentions are dealt in stripes of about ``STRIPE``, each of which meets
-    the whole block, so the pairs of a large block are made by many tasks.
+    A block is cut in parts of about ``STRIPE`` mentions; two parts that meet are a
+    tile, and tiles are dealt to as many tasks as their pairs ask for, so a larger
+    block is more tasks and no longer ones.  ``tile``: keep the tile's two parts as
+    a column of that name.  All rows of a pair have the same tile, and rows of one
+    block and tile lie in one partition.
     """
     block = [block] if isinstance(block, str) else block
     one, two = _sides(_sized(mentions, block, STRIPE), [*block, "_n"])
-    n = _tasks(mentions)
-    one = one.withColumn("_s", _part(f"m1_{pos}")).drop("_n").repartition(n, *block, "_s")
-    two = two.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_n").repartition(n, *block, "_s")
-    return one.join(two, [*block, "_s"]).where(F.col(f"m1_{pos}") < F.col(f"m2_{pos}")).drop("_s")
+    n = tasks_of_pairs(mentions, block)
+    parts = F.sequence(F.lit(0), F.col("_n") - 1)
+    at = lambda k, x: (F.lit(1 << 32) * k + x).alias("_tile")
+    one = one.withColumn("_s", F.explode(parts)).select(*block, at(_part(f"m1_{pos}"), F.col("_s")), *[c for c in one.columns if c not in (*block, "_n")])
+    two = two.withColumn("_s", F.explode(parts)).select(*block, at(F.col("_s"), _part(f"m2_{pos}")), *[c for c in two.columns if c not in (*block, "_n")])
+    one, two = (side.repartition(n, *block, "_tile") for side in (one, two))
+    out = one.join(two, [*block, "_tile"]).where(F.col(f"m1_{pos}") < F.col(f"m2_{pos}"))
+    return out.withColumnRenamed("_tile", tile) if tile else out.drop("_tile")
 
 
 def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,7 +143,7 @@ def similar_pairs(mentions: DataFrame, block: str, pos: str = "pos", vector: str
     rows = _sized(mentions.where(F.col(pos).isNotNull()), [block], TILE).withColumn("_t", _part(pos))
     rows = rows.withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     rows = rows.withColumn("_i", F.least("_t", "_x")).withColumn("_j", F.greatest("_t", "_x")).drop("_x", "_n")
-    return rows.repartition(_tasks(mentions), block, "_i", "_j").groupBy(block, "_i", "_j").applyInArrow(meet, schema or pairs_ddl)
+    return rows.repartition(tasks_of_pairs(mentions, block), block, "_i", "_j").groupBy(block, "_i", "_j").applyInArrow(meet, schema or pairs_ddl)
 
 
 def adjacent_sentences(mentions: DataFrame, block: str | list[str] = "doc_id", pos: str = "pos", ordinal: str = "ord") -> DataFrame:
@@ -173,6 +192,58 @@ def with_scope(pairs: DataFrame, doc: str = "doc_id", sent: str = "sent_id") ->
     return pairs.withColumn("scope", F.when(same, "wd").otherwise("cd")).withColumn("seq", F.when(same, gap))
 
 
+def scope_counts(mentions: DataFrame, block: str, doc: str = "doc_id", sent: str = "sent_id", gold: str = "gold", pos: str = "pos") -> DataFrame:
+    """``name, n, links``: how many pairs of ``within_block`` each scope has, and how many of them have one gold tag (null: of none is it known).
+
+    Mentions are counted, no pairs made: a group of n has n * (n - 1) / 2, less those
+    at one place.  Pairs of one sentence or the next are those of all windows of two
+    sentences, less those of the sentences, which lie in two.  Sentences are whole numbers.
+    """
+    here = lambda name, inner, at, held=True: F.when(F.lit(held), F.struct(F.lit(name).alias("group"), inner.cast("string").alias("inner"), at.cast("long").alias("at")))
+    none, d, t = F.lit(None), F.col(doc), F.col(sent)
+    placed = d.isNotNull() & t.isNotNull()
+    groups = F.array(here("all", none, none), here("wd", d, none, d.isNotNull()), here("placed", d, none, placed), here("sent", d, t, placed), here("window", d, t - 1, placed), here("window", d, t, placed))
+    tag = F.col(gold).cast("string")
+    kind = lambda name, value, held=True: F.when(F.lit(held), F.struct(F.lit(name).alias("kind"), value.cast("string").alias("tag")))
+    kinds = F.array(kind("n", none), kind("known", none, tag.isNotNull()), kind("links", tag, tag.isNotNull()))
+    given = lambda a: F.explode(F.filter(a, lambda x: x.isNotNull()))
+    rows = mentions.where(F.col(block).isNotNull() & F.col(pos).isNotNull()).select(F.col(block).alias("_b"), F.col(pos).alias("_p"), groups.alias("_g"), kinds.alias("_k"))
+    rows = rows.select("_b", "_p", "_k", given(F.col("_g")).alias("g")).select("_b", "_p", "g.*", given(F.col("_k")).alias("k")).select("_b", "_p", "group", "inner", "at", "k.*")
+    key = ["_b", "group", "inner", "at", "kind", "tag"]
+    each = rows.groupBy(*key, "_p").agg(F.count(F.lit(1)).alias("c")).groupBy(*key).agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("q"))
+    sums = each.agg(*[F.coalesce(F.sum(F.when((F.col("group") == g) & (F.col("kind") == k), F.expr("(n * n - q) div 2"))), F.lit(0)).alias(f"{g}_{k}") for g in ("all", "wd", "placed", "sent", "window") for k in ("n", "known", "links")])
+    of = {
+        "2s": lambda k: F.col(f"window_{k}") - F.col(f"sent_{k}"), "wd-": lambda k: F.col(f"placed_{k}") - F.col(f"window_{k}") + F.col(f"sent_{k}"), "wd+": lambda k: F.col(f"wd_{k}"),
+        "cd-": lambda k: F.col(f"all_{k}") - F.col(f"wd_{k}"), "cd+": lambda k: F.col(f"all_{k}"),
+    }
+    found = [F.struct(F.lit(s).alias("name"), of[s]("n").alias("n"), F.when(of[s]("known") > 0, of[s]("links")).alias("links")) for s in SCOPES]
+    return sums.select(F.explode(F.array(*found)).alias("x")).select("x.*")
+
+
+def indexed(mentions: DataFrame, block: str, pos: str = "pos", name: str = "index", tile: str | None = None) -> DataFrame:
+    """The pairs of ``within_block`` with their place from 0 in the order of block and both places.
+
+    A pair's place is what comes before its block, its first mention and its second
+    one; these are counted at the mentions, so no pair is sorted.
+    """
+    from .filters import running_sums
+
+    rows = mentions.where(F.col(block).isNotNull() & F.col(pos).isNotNull())
+    order = Window.partitionBy(block).orderBy(pos)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    at = rows.groupBy(block, pos).agg(F.count(F.lit(1)).alias("_c"))
+    at = at.select("*", F.sum("_c").over(order).alias("_upto"), F.sum("_c").over(Window.partitionBy(block)).alias("_n"))
+    at = at.withColumn("_own", F.col("_c") * (F.col("_n") - F.col("_upto"))).withColumn("_first", F.coalesce(F.sum("_own").over(before), F.lit(0)))
+    blocks = running_sums(at.groupBy(block).agg(F.sum("_own").alias("_all"), F.sum("_own").alias("_end")), F.col(block), ["_end"])
+    starts = blocks.select(block, (F.col("_end") - F.col("_all")).alias("_start"))
+    at = at.join(starts, block).select(block, pos, "_c", "_upto", (F.col("_first") + F.col("_start")).alias("_first"))
+    copy = F.row_number().over(Window.partitionBy(block, pos).orderBy(F.lit(0))) - 1
+    held = ["_c", "_upto", "_first", "_copy"]
+    p = within_block(rows.withColumn("_copy", copy).join(at, [block, pos]), block, pos, tile)
+    place = F.expr("m1__first + m1__c * (m2__upto - m2__c - m1__upto) + m1__copy * m2__c + m2__copy")
+    return p.withColumn(name, place.cast("long")).drop(*[f"m{k}_{c}" for k in (1, 2) for c in held])
+
+
 def with_label(pairs: DataFrame, gold: str = "gold") -> DataFrame:
     return pairs.withColumn("label", (F.col(f"m1_{gold}") == F.col(f"m2_{gold}")).cast("int"))
 
@@ -207,3 +278,20 @@ def unordered(a: str, b: str) -> tuple[Column, Column]:
 def subset_check(inner: DataFrame, outer: DataFrame, keys: list[str]) -> DataFrame:
     """Pairs of the narrower strategy that the wider one lacks; none are expected."""
     return inner.select(*keys).exceptAll(outer.select(*keys))
+
+
+def strategy_subset(mentions: DataFrame, inner: str, outer: str, pos: str = "pos", mention: str = "mention") -> DataFrame:
+    """``subset_check`` of the pairs within ``inner`` blocks against those within ``outer`` blocks of the same mentions.
+
+    A pair within an inner block is lost exactly if its ends have no common outer block, so
+    only inner blocks with several outer ones (or none) make pairs, and no pair is
+    shuffled.  That holds where a mention has one place and one block of either kind;
+    else all pairs of both strategies are compared.
+    """
+    keys = [f"m1_{mention}", f"m2_{mention}"]
+    places = F.countDistinct(F.struct(inner, outer, pos))
+    if mentions.where(F.col(mention).isNull()).limit(1).count() or mentions.groupBy(mention).agg(places.alias("n")).where("n > 1").limit(1).count():
+        return subset_check(within_block(mentions, inner, pos), within_block(mentions, outer, pos), keys)
+    mixed = mentions.groupBy(inner).agg(F.countDistinct(outer).alias("_n"), F.count_if(F.col(outer).isNull()).alias("_none")).where("_n > 1 or _none > 0").select(inner)
+    p = within_block(mentions.join(mixed, inner, "left_semi"), inner, pos)
+    return p.where(~F.coalesce(F.col(f"m1_{outer}") == F.col(f"m2_{outer}"), F.lit(False))).select(*keys)
