@@ -124,11 +124,8 @@ def pairs_full_product(spark, sf_dir):
   UNION ALL SELECT 'wd-', count(*), sum(label)::BIGINT FROM p WHERE scope = 'wd' AND seq > 1 UNION ALL SELECT 'wd+', count(*), sum(label)::BIGINT FROM p WHERE scope = 'wd'
   UNION ALL SELECT 'cd-', count(*), sum(label)::BIGINT FROM p WHERE scope = 'cd' UNION ALL SELECT 'cd+', count(*), sum(label)::BIGINT FROM p""")
 def pair_scopes(spark, sf_dir):
-    """Pairs in each of the five scopes, counted in one pass."""
-    p = pairs.with_label(pairs.with_scope(pairs.within_block(B.mentions(spark, sf_dir), "topic")))
-    hits = F.array(*[F.when(pairs.scope_filter(s), F.lit(s)) for s in pairs.SCOPES])
-    flat = p.select("label", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("name"))
-    return flat.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("links"))
+    """Pairs in each of the five scopes, counted in one pass over the mentions."""
+    return pairs.scope_counts(B.mentions(spark, sf_dir), "topic")
 
 
 @query(f"""SELECT x.doc_id, x.pos AS m1_pos, y.pos AS m2_pos FROM {_XY} ON x.doc_id = y.doc_id AND x.pos < y.pos WHERE abs(x.sent_id - y.sent_id) <= 1 AND y.sent_id - x.sent_id <= 1""")
@@ -152,9 +149,7 @@ def pair_label_by_overlap(spark, sf_dir):
 @query("SELECT 0::BIGINT AS missing")
 def within_document_subset_of_cross_document(spark, sf_dir):
     """Within-document pairs that the cross-document strategy lacks: none."""
-    m = B.mentions(spark, sf_dir)
-    keys = ["m1_mention", "m2_mention"]
-    lost = pairs.subset_check(pairs.within_block(m, "doc_id"), pairs.within_block(m, "topic"), keys)
+    lost = pairs.strategy_subset(B.mentions(spark, sf_dir), "doc_id", "topic")
     return lost.agg(F.count(F.lit(1)).alias("missing"))
 
 
