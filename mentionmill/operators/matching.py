@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -103,16 +105,39 @@ def overlap_match(pred: DataFrame, gold: DataFrame, block: list[str], share: flo
     return shared.where(F.col("c") > share * F.col("n")).groupBy(*block, "pred").agg(F.min_by("gold", "pos").alias("gold"))
 
 
-def left_with_default(gold_pairs: DataFrame, pred_pairs: DataFrame, value: str = "pred", default: int = 0) -> DataFrame:
-    """Gold pairs with their prediction, ``default`` where there is none; ends in any order."""
+def left_with_default(gold_pairs: DataFrame, pred_pairs: DataFrame, value: str = "pred", default: int = 0, by: list[str] | None = None) -> DataFrame:
+    """Gold pairs with their prediction, ``default`` where there is none; ends in any order.
+
+    ``by``: columns of both that all rows of a pair share.  Pairs that already lie by
+    them (``pairs.within_block`` with a tile) meet where they are, a tile at a time.
+    """
     key = lambda df: df.withColumn("_x", F.least("a", "b")).withColumn("_y", F.greatest("a", "b"))
-    right = key(pred_pairs).select("_x", "_y", value).dropDuplicates(["_x", "_y"])
-    out = key(gold_pairs).join(right, ["_x", "_y"], "left").drop("_x", "_y")
-    return out.withColumn(value, F.coalesce(value, F.lit(default)))
+    if by is None:
+        right = key(pred_pairs).select("_x", "_y", value).dropDuplicates(["_x", "_y"])
+        out = key(gold_pairs).join(right, ["_x", "_y"], "left").drop("_x", "_y")
+        return out.withColumn(value, F.coalesce(value, F.lit(default)))
+    kinds, names = dict(gold_pairs.dtypes) | {value: dict(pred_pairs.dtypes)[value]}, [*gold_pairs.columns, value]
+
+    def meet(gold: pa.Table, pred: pa.Table) -> pa.Table:
+        right = pred.group_by(["_x", "_y"], use_threads=False).aggregate([(value, "first", pc.ScalarAggregateOptions(skip_nulls=False))]).rename_columns(["_x", "_y", value])
+        out = gold.join(right, ["_x", "_y"], join_type="left outer", use_threads=False).select(names)
+        i = names.index(value)
+        return out.set_column(i, value, pc.fill_null(out[value], default))
+
+    right = key(pred_pairs).select(*[F.col(c).alias(f"_{i}") for i, c in enumerate(by)], "_x", "_y", value)  # both may be made of the same pairs
+    one, two = key(gold_pairs).groupBy(*by), right.groupBy(*[f"_{i}" for i in range(len(by))])
+    return one.cogroup(two).applyInArrow(meet, ", ".join(f"`{c}` {kinds[c]}" for c in names))
+
+
+#: Rows that are sent to all executors to look ends of pairs up; more are joined by a shuffle of the pairs.
+LOOKED_UP = 1 << 20
 
 
 def lookup_ends(pairs: DataFrame, info: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Columns of both ends of each pair, looked up by id; Spark broadcasts ``info`` where it is small."""
+    """Columns of both ends of each pair, looked up by id; ``info`` is broadcast where it has at most ``LOOKED_UP`` rows, as pairs are many more."""
+    info = info.select(key, *columns)
+    if info.limit(LOOKED_UP + 1).count() <= LOOKED_UP:
+        info = F.broadcast(info)
     out = pairs
     for end, prefix in (("a", "m1_"), ("b", "m2_")):
         out = out.join(info.select(F.col(key).alias(end), *[F.col(c).alias(prefix + c) for c in columns]), end, "left")
