@@ -32,26 +32,36 @@ def parse_document(lines: list[str]) -> list[tuple[int, int, str]]:
     return sorted(out)
 
 
+#: Documents that are parsed together.
+DOCUMENTS = 500
+
+
 def read_conll(spark: SparkSession, path: str) -> DataFrame:
-    """``file, doc, begin, end, chain`` of every mention; places are line numbers inside the document."""
+    """``file, doc, begin, end, chain`` of every mention; places are line numbers inside the document.
+
+    Files are cut before the first lines of their documents, so a task takes some
+    documents of a file and never a whole one.
+    """
 
     def run(batches):
         for pdf in batches:
-            rows = []
-            for name, text in zip(pdf.file, pdf.value):
-                doc, lines = None, []
-                for line in text.splitlines():
-                    if m := re.match(_BEGIN, line):
-                        doc, lines = m.group(1), []
-                    elif line.startswith("#end"):
-                        rows += [(name, doc, *x) for x in parse_document(lines)]
-                        doc = None
-                    elif doc is not None and not line.startswith("#") and line.strip():
-                        lines.append(line)
-            yield pd.DataFrame(rows, columns=["file", "doc", "begin", "end", "chain"])
-
-    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
-    return files.mapInPandas(run, "file string, doc string, begin int, end int, chain string")
+            for lo in range(0, len(pdf), DOCUMENTS):
+                rows = []
+                for name, text in zip(pdf.file[lo : lo + DOCUMENTS], pdf.value[lo : lo + DOCUMENTS]):
+                    doc, lines = None, []
+                    # the cut takes the words from the first line of all documents but a file's first
+                    for line in (text if text.startswith("#begin document") else f"#begin document{text}").splitlines():
+                        if m := re.match(_BEGIN, line):
+                            doc, lines = m.group(1), []
+                        elif line.startswith("#end"):
+                            rows += [(name, doc, *x) for x in parse_document(lines)]
+                            doc, lines = None, []
+                        elif doc is not None and not line.startswith("#") and line.strip():
+                            lines.append(line)
+                yield pd.DataFrame(rows, columns=["file", "doc", "begin", "end", "chain"])
+
+    texts = spark.read.text(path, lineSep="\n#begin document").select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"), "value")
+    return texts.mapInPandas(run, "file string, doc string, begin int, end int, chain string")
 
 
 def document_index(lines: DataFrame) -> DataFrame:

@@ -126,3 +126,17 @@ def test_what_is_written_is_what_is_read(spans):
     except ValueError:
         return
     assert conll.parse_document(lines) == sorted(rows)
+
+
+def test_documents_of_a_file_are_read_apart(spark, tmp_path):
+    """No row that a task is given holds more than a document; documents without an end and lines outside of any are left out."""
+    doc = lambda k: f"#begin document (d{k}); part 000\nx\t0\t(a{k}\n\n# note\nx\t1\ta{k})\n#end document\n"
+    (tmp_path / "f.conll").write_text("before\n" + "".join(map(doc, range(40))) + "#begin document (open); part 000\nx\t0\t(z)\n" + doc(40) + "#begin document (last); part 000\nx\t0\t(z)\n")
+    got = conll.read_conll(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(("f.conll", f"d{k}", 0, 1, f"a{k}") for k in range(41))
+    assert "wholetext" not in got._jdf.queryExecution().toString().lower()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        assert conll.read_conll(spark, str(tmp_path)).rdd.getNumPartitions() > 3 and conll.read_conll(spark, str(tmp_path)).count() == 41
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
