@@ -131,11 +131,10 @@ def conll_format_documents(spark, sf_dir):
   SELECT 'all' AS file, 'd' || doc_id AS doc, (coalesce(sum(n + 3) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS begin_line FROM n""")
 def conll_document_index(spark, sf_dir):
     """First line of each document of a file that holds them all."""
-    from pyspark.sql import Window
-
     docs = _conll_documents(spark, sf_dir).withColumn("l", F.split("value", "\n"))
-    before = F.coalesce(F.sum(F.size("l")).over(Window.partitionBy(F.lit(0)).orderBy("doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    lines = docs.withColumn("at", before).select("at", F.posexplode("l").alias("i", "value")).select(F.lit("all").alias("file"), (F.col("at") + F.col("i")).alias("line"), "value")
+    n = docs.select("doc_id", F.size("l").cast("long").alias("n"))
+    before = filters.running_sums(n.withColumn("upto", F.col("n")), F.col("doc_id"), ["upto"]).select("doc_id", (F.col("upto") - F.col("n")).alias("at"))
+    lines = docs.join(before, "doc_id").select("at", F.posexplode("l").alias("i", "value")).select(F.lit("all").alias("file"), (F.col("at") + F.col("i")).alias("line"), "value")
     return conll.document_index(lines)
 
 
