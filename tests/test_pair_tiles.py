@@ -74,3 +74,11 @@ def test_left_join_by_tile(spark):
 def test_adjacency_of_many_tasks(spark):
     p = spark.createDataFrame([(1, 1, 2, True), (1, 2, 1, True), (1, 1, 3, True), (1, 2, 3, False), (1, 4, 5, None), (2, 1, 2, True)], "block long, a long, b long, pred boolean").repartition(4)
     assert rows(scoring.adjacency(p)) == rows(spark.createDataFrame([(1, 1, [2, 3]), (1, 2, [1]), (1, 3, [1]), (1, 4, []), (1, 5, []), (2, 1, [2]), (2, 2, [1])], "block long, m long, neighbours array<long>"))
+
+
+def test_adjacency_shuffles_lists(spark):
+    """No row of two ends is made of a pair: tasks list their own pairs by either end."""
+    p = spark.createDataFrame([(k, i, j, i % 2 == j % 2) for k in range(3) for i in range(12) for j in range(i + 1, 12)], "block long, a long, b long, pred boolean").repartition(4)
+    got = scoring.adjacency(p)
+    assert "Generate" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got) == sorted(((k, i, [j for j in range(12) if j != i and j % 2 == i % 2]) for k in range(3) for i in range(12)), key=str)
