@@ -55,12 +55,15 @@ def _tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def tasks_of_pairs(mentions: DataFrame, block: str | list[str]) -> int:
-    """So many tasks that each makes about ``TASK_PAIRS`` pairs of a block at most: pairs grow with the square of a block, the session's partitions do not."""
+def tasks_of_pairs(mentions: DataFrame, block: str | list[str], least: int | None = None) -> int:
+    """So many tasks that each makes about ``TASK_PAIRS`` pairs of a block at most: pairs grow with the square of a block, the session's partitions do not.
+
+    ``least``: at least so many; the session's partitions, if not given.
+    """
     block = [block] if isinstance(block, str) else block
     n = F.count(F.lit(1)).cast("double")
     found = mentions.dropna(subset=block).groupBy(*block).agg((n * n / 2).alias("_n")).agg(F.sum("_n")).first()[0]
-    return max(_tasks(mentions), math.ceil((found or 0) / TASK_PAIRS))
+    return max(_tasks(mentions) if least is None else least, math.ceil((found or 0) / TASK_PAIRS))
 
 
 def within_block(mentions: DataFrame, block: str | list[str], pos: str = "pos", tile: str | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..operators import pairs
 from ..operators.predictors import KeywordPredictor
 from ..storage import new_path
 from ..streaming import chains, joins, scoring
@@ -64,9 +65,10 @@ def streaming_chains(spark, sf_dir):
     minutes = (F.col("a") * 7 + F.col("b") * 3) % 50
     rows = p.select("block", "a", "b", F.col("pred").cast("double").alias("score"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(mins=minutes.cast("int"))).alias("at"))
     folder, out = new_path(spark, "arriving"), Output(spark, "chains")
-    part = lambda k: rows.where((F.col("a") + F.col("b")) % 2 == k).repartition(3, "b").write.mode("append").parquet(folder)
+    files = pairs.tasks_of_pairs(B.mentions(spark, sf_dir), "doc_id", least=3)
+    part = lambda k: rows.where((F.col("a") + F.col("b")) % 2 == k).coalesce(files).write.mode("append").parquet(folder)
     part(0)
-    end = Closing(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder), "at")
+    end = Closing(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", -(-2 * files // 3)).parquet(folder), "at")
     df = chains.growing_chains(end.rows, 1.0)
     with chains.state_in_rocksdb(spark):
         out.append(df)

@@ -3,7 +3,9 @@
 Predictions arrive in any order and any batches.  A block's union-find lives in
 the state store, a row for each mention; a batch reads and writes only the
 mentions that it touches and those above them.  A chain goes by its smallest
-mention, as in a batch, so the order of arrival does not matter.
+mention, as in a batch, so the order of arrival does not matter.  Before that the
+tasks that read a batch contract its predictions of each block and time to a row
+or so for each mention, so what is shuffled and followed one by one is not pairs.
 
 Each batch gives what changed: a row for every new mention, and one for every
 chain that became part of another (its old name with the new one).  Such rows
@@ -19,11 +21,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.graph import connected_components
+from ..operators.graph import HELD, connected_components, lowest
 
 #: Rows of an output batch.
 ROWS = 10_000
@@ -115,16 +120,61 @@ def state_in_rocksdb(spark: SparkSession):
         spark.conf.set(name, old) if old else spark.conf.unset(name)
 
 
+def _contracted(threshold: float):
+    """Predictions ``block, a, b, score, at`` of a task, ``HELD`` at a time, as fewer with the same chains.
+
+    Those of one block and time become stars of links that reach the threshold, and
+    a row for each mention without one, so what is late stays late.  Those without
+    both ends become one, of their latest time.
+    """
+
+    def stars(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        whole = pc.and_(t["a"].is_valid(), t["b"].is_valid())
+        if not pc.all(whole, min_count=0).as_py():
+            at = pa.array([pc.max(t.filter(pc.invert(whole))["at"]).as_py()], t.schema.field("at").type)
+            yield pa.record_batch([at if f.name == "at" else pa.array([-np.inf]) if f.name == "score" else pa.nulls(1, f.type) for f in t.schema], schema=t.schema)
+            t = t.filter(whole)
+        if not len(t):
+            return
+        coded = lambda c: pa.chunked_array(c, c[0].type).combine_chunks().dictionary_encode("encode")
+        block, at, ends = coded(t["block"].chunks), coded(t["at"].chunks), coded([*t["a"].chunks, *t["b"].chunks])
+        times, names = len(at.dictionary), len(ends.dictionary)
+        place = (block.indices.to_numpy().astype(np.int64) * times + at.indices.to_numpy()) * names
+        u, v = np.split(ends.indices.to_numpy() + np.tile(place, 2), 2)
+        tied = t["score"].to_numpy() >= threshold
+        node, low = lowest(u[tied], v[tied])
+        far = node != low
+        node, low = node[far], low[far]
+        alone = np.setdiff1d(np.concatenate([u, v]), np.concatenate([node, low]))
+        one, two = np.concatenate([node, alone]), np.concatenate([low, alone])
+        score = np.where(np.arange(len(one)) < len(node), float(threshold), -np.inf)
+        take = lambda of, k: of.dictionary.take(pa.array(k))
+        yield pa.record_batch([take(block, one // names // times), take(ends, one % names), take(ends, two % names), pa.array(score), take(at, one // names % times)], schema=t.schema)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += len(batch)
+            if size >= HELD:
+                yield from stars(pa.Table.from_batches(held))
+                held, size = [], 0
+        if size:
+            yield from stars(pa.Table.from_batches(held))
+
+    return run
+
+
 def growing_chains(scored: DataFrame, threshold: float, late: str = "1 hour", quiet_ms: int = 3_600_000) -> DataFrame:
     """``block, mention, cluster, final`` of a stream ``block, a, b, score, at`` (append mode).
 
     Start it inside ``state_in_rocksdb``.  A score of null or NaN links nothing; rows
     without both ends only move the watermark.  A block is one task of each batch, as
-    its links follow each other; its work there is what the batch touches.
+    its links follow each other; its work there is the mentions that the batch touches.
     """
     kinds = dict(scored.dtypes)
     rows = scored.select("block", "a", "b", F.nanvl(F.col("score").cast("double"), F.lit(-float("inf"))).alias("score"), "at").fillna(-float("inf"), ["score"])
-    rows = rows.withWatermark("at", late)
+    rows = rows.mapInArrow(_contracted(threshold), rows.schema).withWatermark("at", late)
     # it names the time, so that it is not pushed below the watermark
     rows = rows.where(F.when(F.col("at").isNotNull(), F.col("a").isNotNull() & F.col("b").isNotNull()))
     return rows.groupBy("block").transformWithStateInPandas(

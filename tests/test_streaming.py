@@ -3,13 +3,14 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from mentionmill.operators.scoring import cluster
 from mentionmill.storage import new_path
 from mentionmill.streaming import joins, scoring
-from mentionmill.streaming.chains import growing_chains, settled, state_in_rocksdb
+from mentionmill.streaming.chains import _contracted, growing_chains, settled, state_in_rocksdb
 from mentionmill.streaming.runs import Closing, Output
 
 T0 = dt.datetime(2024, 1, 1)
@@ -57,6 +58,18 @@ def test_chains_of_batches_out_of_order_equal_one_batch(spark):
     assert out.progress[-1].stateOperators[0].numRowsTotal == 0  # finished blocks hold no state
 
 
+def test_tasks_contract_their_predictions():
+    """A row or so for each mention of a block and time, with the same chains; rows without both ends are one."""
+    kinds = [("block", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("score", pa.float64()), ("at", pa.timestamp("us", "UTC"))]
+    at = [T0.replace(tzinfo=dt.timezone.utc) + dt.timedelta(minutes=k) for k in range(3)]
+    rows = [(block, a, b, 0.9 if a % 3 == b % 3 else 0.1, at[k]) for block in ("x", None) for k in (0, 1) for a in range(30) for b in range(a + k, 30)]
+    rows += [("x", 1, None, 0.9, at[2]), ("x", None, None, 0.9, at[0]), ("y", 5, 5, 0.9, at[0])]
+    batch = pa.record_batch([pa.array(c, t) for c, (_, t) in zip(zip(*rows), kinds)], schema=pa.schema(kinds))
+    got = [tuple(r.values()) for b in _contracted(0.5)([batch]) for r in b.to_pylist()]
+    assert [r for r in got if r[1] is None] == [(None, None, None, float("-inf"), at[2])] and len(got) == 2 + 4 * 27
+    assert {(r[0], r[4], r[1], r[2]) for r in got if r[1] is not None} == {(b, t, m, m % 3) for b in ("x", None) for t in at[:2] for m in range(3, 30)} | {("y", at[0], 5, 5)}
+
+
 def test_finished_blocks_go_and_late_rows_change_nothing(spark):
     hour = lambda h: T0 + dt.timedelta(hours=h)
     folder, out = new_path(spark, "arriving"), Output(spark, "chains")
