@@ -20,13 +20,14 @@ from __future__ import annotations
 import heapq
 from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..storage import Scratch
 from .cluster_metrics import _prf
 from .filters import numbered, running_sums
-from .graph import connected_components, spanning_forest
+from .graph import connected_components, heaviest, spanning_forest
 
 #: What a merge changes.
 CHANGES = ["muc_num", "resp_links", "b3_rnum", "b3_pnum", "ceafe_num", "resp_chains"]
@@ -219,6 +220,61 @@ def _streamed(batches):
         yield changed(mentions, edges)
 
 
+def _forest(u: np.ndarray, v: np.ndarray, score: np.ndarray, n: int) -> np.ndarray:
+    """Places of the edges of a maximum spanning forest of n nodes; on a matrix, where the edges fill it."""
+    if n * n > 16 * len(u):
+        return heaviest(u, v, score)
+    weight, place = np.full((n, n), -np.inf), np.full((n, n), -1, np.int32)
+    weight[u, v] = weight[v, u] = score
+    if (weight[u, v] != score).any():  # a pair with several scores
+        return heaviest(u, v, score)
+    place[u, v] = place[v, u] = np.arange(len(u), dtype=np.int32)
+    np.fill_diagonal(weight, -np.inf)
+    best, near, out = np.full(n, -np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
+    kept = []
+    for _ in range(n):
+        x = int(best.argmax())
+        if best[x] == -np.inf:
+            x = int(out.argmin())  # the first node of a component
+        else:
+            kept.append(place[near[x], x])
+        out[x] = True
+        closer = (weight[x] > best) & ~out
+        near[closer], best[closer] = x, weight[x, closer]
+        best[x] = -np.inf
+    return np.array(kept, np.int64)
+
+
+def thinned(pairs: pa.Table, a: str, b: str, score: str, step: float) -> pa.Table:
+    """Those of a block's pairs that decide ``cluster_metrics_by_threshold`` of all of them, their scores rounded to multiples of ``step``.
+
+    Clusters at every threshold come from a maximum spanning forest, which is one of the
+    rounded scores too, as rounding keeps the order.  The smallest and the largest score in
+    each half step hold every rounded score.  Mentions that have no score stay in one pair.
+    """
+    if not len(pairs):
+        return pairs
+    n = len(pairs)
+    ends = pa.concat_arrays([pairs[c].combine_chunks() for c in (a, b)]).dictionary_encode()
+    node = ends.indices.to_numpy().astype(np.int64)
+    value = pairs[score].combine_chunks().to_numpy(zero_copy_only=False).astype(float)
+    some = np.flatnonzero(~np.isnan(value))
+    u, v, held = node[:n][some], node[n:][some], value[some]
+    rows = [some[_forest(u, v, held, len(ends.dictionary))]]
+    order = np.argsort(held, kind="stable")
+    cell = np.floor(held[order] / (step / 2))
+    change = np.flatnonzero(np.diff(cell))
+    if len(order):
+        rows += [some[order[np.append(0, change + 1)]], some[order[np.append(change, len(order) - 1)]]]
+    seen = np.zeros(len(ends.dictionary), bool)
+    for r in rows:
+        seen[node[r]] = seen[node[n + r]] = True
+    if not seen.all():
+        names, first = np.unique(node, return_index=True)
+        rows.append(first[~seen[names]] % n)
+    return pairs.take(pa.array(np.unique(np.concatenate(rows))))
+
+
 def cluster_metrics_by_threshold(scored: DataFrame, gold: DataFrame) -> DataFrame:
     """``threshold, muc_f, b3_f, ceafe_f, conll_f`` for every distinct score of ``scored`` as threshold.
 

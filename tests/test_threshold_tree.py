@@ -119,3 +119,23 @@ def test_a_large_unit_takes_time_in_proportion_to_its_merges():
 
     small, large = seconds(5_000), seconds(20_000)
     assert large < 10 * small
+
+
+@pytest.mark.parametrize("share, seed", [(1.0, 1), (0.5, 2), (0.05, 3)])
+def test_thinned_pairs_decide_every_threshold(spark, share, seed):
+    """Before, every pair was joined with the numbers of its mentions and shuffled."""
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    from mentionmill.operators import threshold_tree
+
+    rng = random.Random(seed)
+    rows = [(1, i, j, rng.choice([rng.random(), rng.choice([0.1, 0.25, 0.35, 0.9]), float("nan")])) for i in range(60) for j in range(i) if rng.random() < share]
+    rows += [(1, 100, 101, float("nan"))]
+    t = pa.table(dict(zip(("block", "a", "b", "score"), map(list, zip(*rows)))))
+    few = threshold_tree.thinned(t, "a", "b", "score", 0.1)
+    assert len(few) < len(t) or share < 0.1
+    ddl = "block long, a long, b long, score double"
+    gold = spark.createDataFrame([(1, i, f"c{i % 4}") for i in range(0, 60)] + [(1, 100, "c1")], "block long, mention long, chain string")
+    got, want = (sorted(tuple(round(x, 9) for x in r) for r in threshold_tree.cluster_metrics_by_threshold(spark.createDataFrame([tuple(r.values()) for r in x.to_pylist()], ddl).withColumn("score", F.round("score", 1)), gold).collect()) for x in (few, t))
+    assert got == want and len(got) >= 9
