@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
+from itertools import groupby, islice
+
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from .arrow_rows import rows
+
 
 def span_match(pred: DataFrame, gold: DataFrame, block: list[str], text: str = "text", start: str = "start") -> DataFrame:
     """Predicted and gold mentions with the same text and start, one to one in source order (``pos``)."""
@@ -25,24 +30,70 @@ def relaxed_match(pred: DataFrame, gold: DataFrame, block: list[str]) -> DataFra
     tag = lambda df, side: df.select(*block, F.lit(side).alias("side"), *cols)
     kinds = dict(pred.dtypes)
 
-    def solve(t: pd.DataFrame) -> pd.DataFrame:
-        golds = t[t.side == "g"].sort_values("pos").to_dict("records")
-        taken, out = set(), []
-        for p in t[t.side == "p"].sort_values("pos").to_dict("records"):
-            for k, g in enumerate(golds):
-                if k in taken:
-                    continue
-                shared = bool(set(p["tokens"]) & set(g["tokens"]))
-                inside = (p["start"] >= g["start"] and p["end"] <= g["end"]) or (g["start"] >= p["start"] and g["end"] <= p["end"])
-                how = "span" if p["text"] == g["text"] and p["start"] == g["start"] else "head" if shared and p["head"] == g["head"] else "inside" if shared and inside else None
-                if how:
-                    taken.add(k)
-                    out.append((*(t[b].iloc[0] for b in block), p["pos"], g["pos"], how))
-                    break
-        return pd.DataFrame(out, columns=[*block, "pred_pos", "gold_pos", "how"])
+    k = len(block)
+
+    def solve(batches):
+        schema, out = None, []
+
+        def packed():
+            names = [*block, "pred_pos", "gold_pos", "how"]
+            types = [*schema.types[:k], pa.int32(), pa.int32(), pa.string()]
+            return pa.record_batch([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], names=names)
+
+        def read():
+            nonlocal schema
+            for batch in batches:
+                schema = batch.schema
+                yield from rows([batch])
+
+        for own, some in groupby(read(), key=lambda r: r[:k]):
+            sides = {"p": [], "g": []}
+            for r in some:
+                sides[r[k]].append(r[k + 1 :])
+            out += [(*own, *m) for m in _greedy(sides["p"], sides["g"])]
+            if len(out) >= 1 << 14:
+                yield packed()
+                out = []
+        if out:
+            yield packed()
 
     schema = ", ".join([*(f"{b} {kinds[b]}" for b in block), "pred_pos int", "gold_pos int", "how string"])
-    return tag(pred, "p").unionByName(tag(gold, "g")).groupBy(*block).applyInPandas(solve, schema)
+    both = tag(pred, "p").unionByName(tag(gold, "g"))
+    return both.repartition(*block).sortWithinPartitions(*block, "pos").mapInArrow(solve, schema)
+
+
+def _greedy(preds: list[tuple], golds: list[tuple]):
+    """(pos, gold's pos, how) of a sentence's mentions ``pos, text, start, end, head, tokens`` in order.
+
+    A gold mention that fits has the span or a token of the predicted one, so only such are looked at.
+    """
+    by: dict = defaultdict(list)  # places of the gold mentions of a span or a token, in order
+    for i, (_, text, start, _, _, tokens) in enumerate(golds):
+        by[text, start].append(i)
+        for t in set(tokens):
+            by[t].append(i)
+    first: dict = defaultdict(int)  # those before this one in a list are taken
+    free = [True] * len(golds)
+    for pos, text, start, end, head, tokens in preds:
+        best, how = len(golds), None
+        for key in ((text, start), *set(tokens)):
+            if (near := by.get(key)) is None:
+                continue
+            at = first[key]
+            while at < len(near) and not free[near[at]]:
+                at += 1
+            first[key] = at
+            for i in islice(near, at, None):
+                if i >= best:
+                    break
+                if free[i]:
+                    _, t, s, e, h, _ = golds[i]
+                    if (kind := "span" if text == t and start == s else "head" if head == h else "inside" if (start >= s and end <= e) or (s >= start and e <= end) else None):
+                        best, how = i, kind
+                        break
+        if how:
+            free[best] = False
+            yield pos, golds[best][0], how
 
 
 #: Entity types that are no arguments' neighbours.
